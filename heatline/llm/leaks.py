@@ -161,17 +161,23 @@ class Items:
         return sorted(found)
 
 
+def _blocks(bench: DataFrame, item_col: str, item_text: str, block: int, **how) -> Iterator:
+    """The items in blocks, each sent to the tasks; a block's size has a bound, the number of blocks has none."""
+    spark = bench.sparkSession
+    bench = bench.select(F.col(item_col).cast("long").alias("k"), F.col(item_text).alias("t")).filter("t is not null and k is not null")
+    blocks = -(-bench.count() // block)
+    for b in range(blocks):
+        rows = bench.filter(F.pmod(F.xxhash64("k"), F.lit(blocks)) == b).collect() if blocks > 1 else bench.collect()
+        yield spark.sparkContext.broadcast(Items(sorted((r.k, r.t) for r in rows), **how))
+
+
 def find(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block: int = BLOCK, **how) -> DataFrame:
     """(id, item, word_start, word_end, distance), a row for each document and item found in it.
 
     A narrow map over the documents for each block of items; no shuffle."""
     spark, kind = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
-    bench = bench.select(F.col(item_col).cast("long").alias("k"), F.col(item_text).alias("t")).filter("t is not null and k is not null")
-    blocks = -(-bench.count() // block)
     out = spark.createDataFrame([], f"`{id_col}` {kind}, `{item_col}` long, word_start long, word_end long, distance long")
-    for b in range(blocks):
-        rows = bench.filter(F.pmod(F.xxhash64("k"), F.lit(blocks)) == b).collect() if blocks > 1 else bench.collect()
-        sent = spark.sparkContext.broadcast(Items(sorted((r.k, r.t) for r in rows), **how))
+    for sent in _blocks(bench, item_col, item_text, block, **how):
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             items = sent.value
@@ -188,7 +194,14 @@ def find(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: st
     return out
 
 
-def clean(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """docs without those that hold an item. Rows that share an id share a fate."""
-    bad = find(docs, bench, id_col, text_col, **how).select(F.col(id_col).alias("_bad")).distinct()
-    return docs.hint("merge").join(bad, docs[id_col].eqNullSafe(F.col("_bad")), "left_anti")
+def clean(docs: DataFrame, bench: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block: int = BLOCK, **how) -> DataFrame:
+    """The rows of docs that hold no item, all columns kept. A narrow map for each block of items, so no text is shuffled."""
+    at = docs.columns.index(text_col)
+    for sent in _blocks(bench, item_col, item_text, block, **how):
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array([not sent.value.find(t) for t in batch.column(at).to_pylist()], pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
