@@ -3,7 +3,7 @@
 An ASCII surface matches at word boundaries, in any case, and not before `.digit` (so a later version is no hit). Its
 first alphanumeric run is its anchor: the boundaries force that run to be a whole run of the text, so the equi-join of
 runs and anchors loses no match, and the pattern is verified on what it brings. A surface with other characters matches
-as a substring; its anchor is its first two characters, met by the text's two-character pieces. Surfaces without an anchor
+as a substring; its anchor is the first pair of characters with such a one, met by the text's pairs. Surfaces without an anchor
 (one character, or no alphanumeric) are few and broadcast, if their number allows.
 """
 
@@ -31,7 +31,7 @@ def surfaces_with_anchor(surfaces: DataFrame) -> DataFrame:
     """surfaces(..., surface) + anchor; null where there is none."""
     run = F.lower(F.regexp_extract("surface", "[A-Za-z0-9]+", 0))
     ascii_ = F.col("surface").rlike(r"^[\x00-\x7F]+$")
-    wide = F.when(F.length("surface") >= 2, F.substring(F.lower("surface"), 1, 2))
+    wide = F.when(F.length("surface") >= 2, F.nullif(F.regexp_extract(F.lower("surface"), r"(?s)(^[^\x00-\x7F].|.[^\x00-\x7F])", 1), F.lit("")))
     return surfaces.filter(F.coalesce(F.trim("surface"), F.lit("")) != "").withColumn("anchor", F.when(ascii_, F.nullif(run, F.lit(""))).otherwise(wide))
 
 
@@ -78,7 +78,7 @@ def original_case(keyword: Column, text: Column) -> Column:
     """A keyword as the text writes it, with hyphens and spaces in any mix; itself if the text doesn't have it."""
     parts = F.transform(F.split(keyword, "[- ]"), lambda p: F.concat(F.lit(r"\Q"), p, F.lit(r"\E")))
     near = F.concat(F.lit(r"(?i)(?<![a-z0-9])("), F.array_join(parts, "[- ]"), F.lit(r")(?!\.\d)(?![a-z0-9])"))
-    return F.when(keyword.rlike("[A-Za-z]"), F.coalesce(F.nullif(F.regexp_extract(text, near, 1), F.lit("")), keyword)).otherwise(keyword)
+    return F.when(keyword.rlike("[A-Za-z]"), F.coalesce(F.nullif(F.call_function("regexp_extract", text, near, F.lit(1)), F.lit("")), keyword)).otherwise(keyword)
 
 
 def dictionary_keywords(cards: DataFrame, lexicon: DataFrame, stopwords: list[str], key: str = "url", title: str = "title", most: int = 3) -> DataFrame:

@@ -205,7 +205,7 @@ def _(spark, sf):
     return L.canonical(w, L.load(spark), "w").filter(~F.col("w").isin(list(L.ACRONYMS)))
 
 
-@add("c33_source_suffix", "select url, title from cards where not contains(title, '|')", "cards")
+@add("c33_source_suffix", "select url, regexp_replace(title, '\\s+$', '') as title from cards where not contains(title, '|')", "cards")
 def _(spark, sf):
     c = cards(spark, sf).filter(~F.col("title").contains("|"))
     return c.select("url", X.strip_source_suffix(F.concat("title", F.lit(" | "), "source")).alias("title"))

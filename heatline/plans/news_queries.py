@@ -225,7 +225,7 @@ def _(spark, sf):
     return search.substring_search(scored_cards(spark, sf).drop("summary_zh", "summary_en"), "ThOn").select("url", "score")
 
 
-_WORDS_SQL = "list_filter(string_split(lower(q), ' '), lambda w: w <> '')"
+_WORDS_SQL = "list_filter(string_split_regex(lower(q), '\\s+'), lambda w: w <> '')"
 _HITS = "len(list_filter(ws, lambda w: contains(lower({0}), w)))"
 _PART = "{1} * (" + _HITS + " / len(ws)) * (case when length({0}) < 80 then 1.0 else 0.8 end)::double"
 

@@ -127,7 +127,7 @@ def _(spark, sf):
     return user_events(spark, sf).select("id", F.try_variant_get(S.parsed_data(F.col("event_data")), "$.k", "string").alias("k"))
 
 
-@add("c36_c37_c43_clients", "select id, user_id::varchar || '.1' as ip, case when event_id % 2 = 0 then 'cn' else 'en' end as lang, event_id % 3 = 0 as flag from (select event_id as id, * from events)")
+@add("c36_c37_c43_clients", "select id, user_id::varchar || '.1' as ip, case when event_id % 2 = 0 then 'zh' else 'global' end as lang, event_id % 3 = 0 as flag from (select event_id as id, * from events)")
 def _(spark, sf):
     e = read(spark, sf, "events")
     hop = F.concat(F.lit(" "), F.col("user_id").cast("string"), F.lit(".1 , 10.0.0.1"))

@@ -11,7 +11,11 @@ from heatline.functions import lexicon as L
 from heatline.operators import boards, cards, match, search, terms
 from heatline.plans.refresh import refresh_terms
 
-AS_OF = F.lit("2024-01-31 12:00:00").cast("timestamp")
+
+
+def as_of():
+    return F.lit("2024-01-31 12:00:00").cast("timestamp")
+
 DAY = datetime.date
 
 
@@ -94,7 +98,7 @@ def test_refresh(spark):
     at = datetime.datetime(2024, 1, 29)
     old = spark.createDataFrame([("open-thing", "open-thing", None, None, at, 0), ("gone-term", "Gone", None, "Gone", at, 3)], "term string, display string, display_zh string, display_en string, first_seen_at timestamp, likes long")
     snaps = spark.createDataFrame([("open-thing", "2024-01-30-08", 1, 1, 1, 0.0), ("openthing", "2024-01-30-08", 1, 1, 1, 0.0)], "term string, cycle string, news_cnt long, win7_cnt long, score_sum long, signal_sum double")
-    pool = refresh_terms(df, current, models, old, snaps, L.load(spark), AS_OF, "2024-01-31-08", L.STOPWORDS, L.MEDIA)
+    pool = refresh_terms(df, current, models, old, snaps, L.load(spark), as_of(), "2024-01-31-08", L.STOPWORDS, L.MEDIA)
     t = {r.canon: r for r in pool.terms.collect()}
     assert "openthing" not in t and t["open-thing"].mentions == 4 and t["open-thing"].win7 == 2
     assert t["open-thing"].hot == 10 * 3.0 + 20 * 1.5 and float(t["open-thing"].rise) == 0.0  # two in the window now and in the twins' last cycle
@@ -125,10 +129,10 @@ def test_names_and_explanations(spark):
     now = datetime.datetime(2024, 1, 31, 10)
     e = spark.createDataFrame([("a", 5.0, None, None, None, 1, 1), ("b", 9.0, "z", "e", now, 1, 1), ("s", 9.0, None, None, None, 1, 1), ("o", 1.0, "z", "e", datetime.datetime(2024, 1, 29), 1, 1)], "canon string, hot double, explain_zh string, explain_en string, explain_updated_at timestamp, mentions long, win7 long")
     static = spark.createDataFrame([("s", None, "said")], "canon string, zh string, en string")
-    assert [r.canon for r in terms.to_explain(e, AS_OF, static).collect()] == ["a", "o"]
+    assert [r.canon for r in terms.to_explain(e, as_of(), static).collect()] == ["a", "o"]
     levels = {r.canon: (r.level, r.explanation) for r in terms.explanation(e, static).collect()}
     assert levels["s"] == ("static", "said") and levels["b"] == ("pool", "z") and levels["a"][0] == "template"
-    done = {r.canon: r for r in terms.apply_explanations(e, spark.createDataFrame([("a", "新", "new"), ("o", "", "x")], "canon string, zh string, en string"), AS_OF).collect()}
+    done = {r.canon: r for r in terms.apply_explanations(e, spark.createDataFrame([("a", "新", "new"), ("o", "", "x")], "canon string, zh string, en string"), as_of()).collect()}
     assert done["a"].explain_zh == "新" and done["a"].explain_updated_at.hour == 12 and done["o"].explain_updated_at.day == 29
 
 

@@ -7,7 +7,11 @@ from pyspark.sql import functions as F
 from heatline.operators import traffic as T
 from heatline.streaming import traffic as S
 
-AS_OF = F.lit("2024-01-31").cast("timestamp")
+
+
+def as_of():
+    return F.lit("2024-01-31").cast("timestamp")
+
 
 
 def brute_limit(times, limit, window):
@@ -104,7 +108,7 @@ def test_limit_stream(spark, tmp_path):
 
 def test_overview_with_sketch(spark):
     df = visits(spark).withColumn("date", F.to_date("ts"))
-    exact, about = T.overview(df, AS_OF).first(), T.overview(df, AS_OF, exact=False).first()
+    exact, about = T.overview(df, as_of()).first(), T.overview(df, as_of(), exact=False).first()
     assert exact.total_pv == 61 and exact.total_uv == 6 == about.total_uv and exact.today_pv == 0
 
 
@@ -112,5 +116,5 @@ def test_active_slots(spark):
     d = datetime.date
     rows = [("a", "n", "all", True, 2, None, None, d(2024, 1, 1)), ("b", "n", "cn", True, 1, d(2024, 1, 31), d(2024, 1, 31), d(2024, 1, 1)), ("c", "n", "en", True, 0, None, None, d(2024, 1, 1)), ("d", "n", "cn", False, 0, None, None, d(2024, 1, 1)), ("e", "n", "cn", True, 0, d(2024, 2, 1), None, d(2024, 1, 1))]
     s = spark.createDataFrame(rows, "slot_id string, name string, region string, active boolean, sort_order int, start_date date, end_date date, created_at date")
-    assert [r.slot_id for r in T.active_slots(s, AS_OF, "cn").collect()] == ["b", "a"]
+    assert [r.slot_id for r in T.active_slots(s, as_of(), "cn").collect()] == ["b", "a"]
     assert T.drop_deleted(spark.createDataFrame([("a",), ("zz",)], "slot_id string"), s).count() == 1
