@@ -61,7 +61,7 @@ class Limiter(StatefulProcessor):
         self.handle = handle
         self.state = handle.getValueState("window", "start double, n int")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         start, n = self.state.get() if self.state.exists() else (None, 0)
         frame = pd.concat(list(rows)).sort_values("ts")
         allowed, wait = [], []
@@ -82,8 +82,8 @@ class Limiter(StatefulProcessor):
             self.handle.registerTimer(int((start + self.window) * 1000))
         yield pd.DataFrame({"bucket": key[0], "key": key[1], "ts": frame["ts"], "allowed": allowed, "retry_after": wait})
 
-    def handleExpiredTimer(self, key, timer_values, expired) -> Iterator[pd.DataFrame]:
-        if self.state.exists() and self.state.get()[0] + self.window <= timer_values.getCurrentWatermarkInMs() / 1000:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.state.exists() and self.state.get()[0] + self.window <= timerValues.getCurrentWatermarkInMs() / 1000:
             self.state.clear()
         yield from ()
 
