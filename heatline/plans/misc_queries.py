@@ -132,7 +132,7 @@ def _(spark, sf):
     return cards(spark, sf).agg(F.count("*").alias("n"))
 
 
-@add("u5_model_lists", "select full_id from models", "models")
+@add("u5_model_lists", "select distinct full_id from models", "models")
 def _(spark, sf):
     m = models(spark, sf)
     both = m.withColumn("side", F.lit(0)).unionByName(m.withColumn("side", F.lit(1)))

@@ -10,7 +10,7 @@ from heatline.functions import text as X
 from heatline.operators import boards as B
 from heatline.operators import match
 from heatline.operators import terms as T
-from heatline.plans.refresh import refresh_terms
+from heatline.plans.refresh import cut, refresh_terms
 from heatline.plans.standins import SQL, as_of, models, read, scored_cards, sql
 
 Q, O = {}, {}
@@ -38,17 +38,18 @@ def add(name, body, *views):
     return put
 
 
-def _links(spark, sf):
-    return scored_cards(spark, sf).select("url", F.explode("keywords").alias("canon")).distinct()
+def _links(spark, sf, cards=None):
+    return (scored_cards(spark, sf) if cards is None else cards).select("url", F.explode("keywords").alias("canon")).distinct()
 
 
-def _current(spark, sf):
-    c = scored_cards(spark, sf).filter("doc_id % 3 = 0")
+def _current(spark, sf, cards=None):
+    c = (scored_cards(spark, sf) if cards is None else cards).filter("doc_id % 3 = 0")
     return c.select("url", scores.community(F.col("hn_points"), F.col("reddit_score"), F.col("reddit_comments")).alias("signal"))
 
 
 def _sums(spark, sf):
-    return T.aggregate(_links(spark, sf), scored_cards(spark, sf), _current(spark, sf), as_of())
+    cards = cut(scored_cards(spark, sf))  # three sides use it
+    return T.aggregate(_links(spark, sf, cards), cards, _current(spark, sf, cards), as_of())
 
 
 def _snaps(spark, sf):
@@ -181,8 +182,8 @@ def _(spark, sf):
 
 @add("m4_refresh_terms", None)
 def _(spark, sf):
-    c = scored_cards(spark, sf)
+    c = cut(scored_cards(spark, sf))
     old = c.limit(0).select(F.col("url").alias("term"), F.col("title").alias("display"), F.col("title").alias("display_zh"), F.col("title").alias("display_en"), F.lit(None).cast("timestamp").alias("first_seen_at"), F.lit(0).cast("long").alias("likes"))
     snaps = spark.createDataFrame([], "term string, cycle string, news_cnt long, win7_cnt long, score_sum long, signal_sum double")
-    made = refresh_terms(c, _current(spark, sf), models(spark, sf), old, snaps, L.load(spark), as_of(), "2024-01-31-08", L.STOPWORDS, L.MEDIA)
+    made = refresh_terms(c, _current(spark, sf, c), models(spark, sf), old, snaps, L.load(spark), as_of(), "2024-01-31-08", L.STOPWORDS, L.MEDIA)
     return made.words.select("id", "display", "origin", "news_cnt", "hot", F.col("rise").cast("double").alias("rise"), F.col("novelty").cast("double").alias("novelty"), "dimension", F.size("top_news").alias("top"))
