@@ -10,7 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heatline.llm import leaks, lines, packing, quality, simhash
+from heatline.llm import copies, leaks, lines, packing, quality
 from heatline.llm.common import shared_dir, table
 
 
@@ -26,8 +26,8 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays."""
-    found = simhash.near_duplicates(docs)
+    """Of each group of near-duplicates (5-word shingles, similarity 0.8) the document with the smallest id stays."""
+    found = copies.near_duplicates(docs)
     gone = found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct()
     return docs.hint("merge").join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
 
