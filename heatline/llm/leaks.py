@@ -1,15 +1,9 @@
 """Benchmark decontamination: benchmark items found in documents within an edit distance of SLACK of their words.
 
-The CGK embedding (Chakraborty, Goldenberg and Koucky 2016) walks along a window of words, at each step writing the
-word it stands at and moving on if a random bit of that word and step says so. It maps edit distance to Hamming
-distance, so windows near an item agree with it in many of the written places. Each of TABLES hash tables samples
-SAMPLE places; a window the size of the item that meets it in some table is compared with it by exact banded edit
-distance. At 20 % edits a pair agrees in one sampled pair of places with a probability of a tenth or more, so the
-chance to miss in all 48 tables is under 1 %; leaked passages hold several windows within the bound besides.
-
-Windows are not opened everywhere. An item of L words and a window within k edits of it share at least L + 1 - q - k*q
-of its word q-grams (Ukkonen 1992), so only documents with that many of them, at least one, are walked, and there
-only from starts with so many shared q-grams within k of their diagonal. That bound loses no pair.
+An item of L words and a window within k edits of it share at least L + 1 - q - k*q of its word q-grams (Ukkonen 1992),
+so only documents with that many of them are looked into, and there only at starts with so many shared q-grams within k
+of their diagonal. That bound loses no pair. Each start left is compared by exact edit distance in a band of k words, so
+every item within the bound is found.
 
 Items are a stated query set, sent to the tasks in blocks of BLOCK items, with a pass over the documents for each.
 
@@ -28,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SLACK, TABLES, SAMPLE, BLOCK, SEED = 0.2, 48, 2, 20_000, 11
+SLACK, BLOCK = 0.2, 20_000
 _SPACED = bytes(32 if chr(i) in string.punctuation else i for i in range(256))
 
 
@@ -66,11 +60,31 @@ def best_end(item: list, text: list, start: int, most: int) -> tuple[int, int]:
     return d, start + row.index(d)
 
 
+def within(item: list, text: list, start: int, most: int) -> tuple[int, int] | None:
+    """What best_end() tells, in a band of 2 * most + 1 cells a row; None if the distance is over most."""
+    n, far = min(len(item) + most, len(text) - start), most + 1
+    row = [*range(min(most, n) + 1), far]
+    lo = 0  # row holds the cells lo, lo + 1, ...; cells outside the band are over most
+    for i, x in enumerate(item, 1):
+        new, hi = max(0, i - most), min(n, i + most)
+        then, left = [], far
+        for j in range(new, hi + 1):
+            c = j - lo
+            up = row[c] + 1 if c < len(row) else far
+            d = i if j == 0 else min(up, left + 1, (row[c - 1] if 0 < c <= len(row) else far) + (x != text[start + j - 1]))
+            then.append(d)
+            left = d
+        if not then or min(then) > most:
+            return None
+        row, lo = then, new
+    d = min(row)
+    return d, start + lo + row.index(d)
+
+
 class Items:
-    """A block of items: word numbers, q-grams, and their places in the hash tables."""
+    """A block of items: word numbers and q-grams."""
 
-    def __init__(self, rows: list[tuple[int, str]], slack: float = SLACK, tables: int = TABLES, sample: int = SAMPLE):
-        made = np.random.default_rng(SEED)
+    def __init__(self, rows: list[tuple[int | None, str]], slack: float = SLACK):
         self.items = [(k, w) for k, t in rows if (w := words(t))]
         vocabulary = sorted({w for _, ws in self.items for w in ws})
         self.number = {w: i + 1 for i, w in enumerate(vocabulary)}
@@ -88,29 +102,6 @@ class Items:
                 grams[q][code].append((n, g))
         self.base, self.grams = base, {q: dict(v) for q, v in grams.items() if v}
         self.codes = {q: np.array(sorted(v), np.int64) for q, v in self.grams.items()}
-        longest = max(map(len, self.ids), default=1)
-        self.bits = made.integers(0, 1 << 62, 2 * longest + 2)
-        # For each item the places to sample, within the steps that its walk takes to pass its end.
-        self.draws = made.random((tables, sample))
-        self.keys = [self.sampled(np.array(x), [0], len(x))[0] for x in self.ids]
-
-    def sampled(self, text: np.ndarray, starts: list[int], length: int) -> np.ndarray:
-        """A key for each start and table: the sampled places of the walks over windows of that length."""
-        steps = 2 * length
-        window = np.append(text, np.zeros(1, text.dtype))
-        at = np.array(starts, np.int64)
-        stop = np.minimum(at + length, len(text))
-        seen = np.empty((len(at), steps), np.uint64)
-        for j in range(steps):
-            here = np.where(at < stop, window[np.minimum(at, len(text))], 0).astype(np.uint64)
-            seen[:, j] = here
-            mixed = (here + np.uint64(1)) * np.uint64(int(self.bits[j]) | 1)
-            at = at + ((mixed >> np.uint64(40)) & np.uint64(1)).astype(np.int64)
-        places = (self.draws * steps).astype(int)
-        keys = np.zeros((len(starts), len(places)), np.uint64)
-        for s in range(places.shape[1]):
-            keys = keys * np.uint64(0x9E3779B97F4A7C15) + seen[:, places[:, s]]
-        return keys
 
     def find(self, text: str | None) -> list[tuple[int, int, int, int]]:
         """(item's place, start, end, distance), words; the nearest window of each item found, the first of equals."""
@@ -118,7 +109,8 @@ class Items:
         if not own:
             return []
         get = self.number.get
-        ids = np.array([get(w, 0) for w in own], np.int64)
+        ids_list = [get(w, 0) for w in own]
+        ids = np.array(ids_list, np.int64)
         hits: dict[int, list[int]] = defaultdict(list)
         for q, codes in self.codes.items():
             if len(ids) < q:
@@ -146,15 +138,11 @@ class Items:
             starts = np.unique(np.add.outer(np.unique(near), np.arange(-k, k + 1)))
             starts = starts[(starts >= 0) & (starts < len(ids))]
             starts = starts[np.searchsorted(near, starts + k, "right") - np.searchsorted(near, starts - k) >= self.need[item]].tolist()
-            if not starts:
-                continue
-            met = (self.sampled(ids, starts, length) == self.keys[item]).any(1)
             best = None
-            for s in (s for s, m in zip(starts, met) if m):
-                d, end = best_end(self.items[item][1], own, s, k)
-                if d <= k and (best is None or d < best[3]):
-                    best = (item, s, end, d)
-                    if not d:
+            for s in starts:
+                if near_by := within(self.ids[item], ids_list, s, k if best is None else best[3] - 1):
+                    best = (item, s, near_by[1], near_by[0])
+                    if not best[3]:
                         break
             if best:
                 found.append(best)
@@ -164,11 +152,11 @@ class Items:
 def _blocks(bench: DataFrame, item_col: str, item_text: str, block: int, **how) -> Iterator:
     """The items in blocks, each sent to the tasks; a block's size has a bound, the number of blocks has none."""
     spark = bench.sparkSession
-    bench = bench.select(F.col(item_col).cast("long").alias("k"), F.col(item_text).alias("t")).filter("t is not null and k is not null")
+    bench = bench.select(F.col(item_col).cast("long").alias("k"), F.col(item_text).alias("t")).filter("t is not null")
     blocks = -(-bench.count() // block)
     for b in range(blocks):
         rows = bench.filter(F.pmod(F.xxhash64("k"), F.lit(blocks)) == b).collect() if blocks > 1 else bench.collect()
-        yield spark.sparkContext.broadcast(Items(sorted((r.k, r.t) for r in rows), **how))
+        yield spark.sparkContext.broadcast(Items(sorted(((r.k, r.t) for r in rows), key=lambda r: (r[0] is None, r[0] or 0, r[1])), **how))
 
 
 def find(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block: int = BLOCK, **how) -> DataFrame:
