@@ -29,6 +29,8 @@ from heatline.llm.simhash import components
 
 #: Sets at an element up to which its pairs are compared one by one; how many common shingles are sent to the tasks.
 SMALL, COMMON = 32, 500_000
+#: Shingles are counted in so many buckets; the lesser counts bound what two sets share, before the sets themselves move.
+BUCKETS = 512
 
 
 def shingles(text: str | None, width: int = 5) -> np.ndarray:
@@ -54,9 +56,14 @@ def prefix(found: np.ndarray, least: Fraction, common: np.ndarray) -> np.ndarray
     return found[: len(found) - math.ceil(least * len(found)) + 1]
 
 
+def counts(found: np.ndarray) -> bytes:
+    """How many elements fall into each bucket; 255 stands for that many or more."""
+    return np.minimum(np.bincount(found & (BUCKETS - 1), minlength=BUCKETS), 255).astype(np.uint8).tobytes()
+
+
 def _mapped(docs: DataFrame, make, cols: str) -> DataFrame:
     """(id, text) -> (id, *make(text))."""
-    names, types = [c.split()[0] for c in cols.split(", ")], [{"long": pa.int64(), "array<long>": pa.list_(pa.int64())}[c.split()[1]] for c in cols.split(", ")]
+    names, types = [c.split()[0] for c in cols.split(", ")], [{"long": pa.int64(), "array<long>": pa.list_(pa.int64()), "binary": pa.binary()}[c.split()[1]] for c in cols.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -79,7 +86,23 @@ def _near(rows: DataFrame, pairs: DataFrame, least: Fraction, width: int) -> Dat
     """pairs(a, b) of ids whose sets have the similarity."""
     pairs = written(pairs.distinct(), "pairs")
     ids = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "candidates")
-    sets = written(_mapped(rows.join(ids, "id", "left_semi"), lambda t: (shingles(t, width),), "s array<long>"), "sets")
+    sets = written(_mapped(rows.join(ids, "id", "left_semi"), lambda t: ((found := shingles(t, width)), counts(found), len(found)), "s array<long>, counts binary, n long"), "sets")
+    short = sets.select("id", "counts", "n")
+    both = pairs.hint("merge").join(short.toDF("a", "counts", "n"), "a").hint("merge").join(short.toDF("b", "counts2", "n2"), "b")
+
+    def may(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                x, y = (np.frombuffer(b"".join(part.column(c).to_pylist()), np.uint8).reshape(-1, BUCKETS) for c in ("counts", "counts2"))
+                most = np.minimum(x, y).sum(1, dtype=np.int64)  # no more elements than these are shared
+                p, q, n = least.numerator, least.denominator, np.array(part.column("n").to_pylist()) + np.array(part.column("n2").to_pylist())
+                keep = (most * (p + q) >= n * p) | ((x == 255) & (y == 255)).any(1)
+                yield part.filter(pa.array(keep)).select(["a", "b"])
+
+    pairs = written(both.select("a", "b", "counts", "n", "counts2", "n2").mapInArrow(may, "a long, b long"), "likely")
+    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "likely_ids")
+    sets = sets.select("id", "s").join(ids, "id", "left_semi")
     both = pairs.hint("merge").join(sets.toDF("a", "s"), "a").hint("merge").join(sets.toDF("b", "s2"), "b")
     shared = F.size(F.array_intersect("s", "s2"))
     return written(both.filter(shared * least.denominator >= (F.size("s") + F.size("s2") - shared) * least.numerator).select("a", "b").distinct(), "near")
