@@ -10,7 +10,7 @@ Escaping puts a backslash after the first character of each control string, and
 stand there, so undoing it takes exactly one away: it is reversible for every text. Thus a control string in the
 output is always the template's own, and the loss mask (bodies of the assistant's turns) can be read back from it.
 
-Null texts and null roles are empty. Turns are in order of turn, then role and text, so ties have a defined order;
+Null texts and null roles are empty. Turns are in order of turn, then of role and parts as given, so ties have a defined order;
 repeated rows are turns of their own. Rows with a null conversation id form one conversation. Other columns are not
 read. An empty table gives an empty result. A conversation is one output row, so it has to fit in one.
 """
@@ -61,8 +61,9 @@ def attachments(parts: Column) -> Column:
 
 def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", parts_col: str = "parts") -> DataFrame:
     """(conv id, formatted, attachments, expanded_tokens): one row per conversation."""
-    rows = turns.select(F.col(conv_col), F.struct(F.col(turn_col).alias("turn"), F.coalesce(escape(F.col(role_col)), F.lit("")).alias("role"), body(F.col(parts_col)).alias("body"), attachments(F.col(parts_col)).alias("att")).alias("t"))
-    chats = rows.groupBy(conv_col).agg(F.array_sort(F.collect_list("t")).alias("t"))
+    raw = F.struct(F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.col(parts_col).alias("parts"))
+    chats = turns.select(F.col(conv_col), raw.alias("t")).groupBy(conv_col).agg(F.array_sort(F.collect_list("t")).alias("t"))
+    chats = chats.withColumn("t", F.transform("t", lambda t: F.struct(escape(t["role"]).alias("role"), body(t["parts"]).alias("body"), attachments(t["parts"]).alias("att"))))
     formatted = F.array_join(F.transform("t", lambda t: F.concat(F.lit("<|turn|>"), t["role"], F.lit("<|body|>"), t["body"], F.lit("<|end|>"))), "")
     found = F.flatten(F.transform("t", lambda t, i: F.transform(t["att"], lambda a: F.struct(i.alias("turn"), a["type"].alias("type"), a["part"].alias("part"), a["ref"].alias("ref"), a["tokens"].alias("tokens")))))
     out = chats.select(conv_col, formatted.alias("formatted"), found.alias("attachments"))

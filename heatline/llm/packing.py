@@ -1,6 +1,8 @@
 """Packing by power-of-two decomposition: a document of n tokens is cut into pieces whose lengths are powers of two, at
 most the sequence length; pieces of equal length share a bucket and each is a sequence of its own. No sequence crosses
-documents, and as each has a power of two for its length, nothing is padded.
+documents, and as each has a power of two for its length, nothing is padded. A task gathers the pieces of each bucket
+and passes them on together, FLUSH bytes at most, so every batch holds sequences of one length; to_buckets() writes a
+folder for each length.
 
 Token ids equal those of the byte-level BPE file read by `tokenizers` (its special strings in a text are ordinary
 text). The same vocabulary is applied through `tiktoken`, chunk by chunk with a bounded cache: where a space stands
@@ -23,6 +25,8 @@ from pyspark.sql import DataFrame
 END_ID = 1
 #: Chunks kept with their ids in each Python worker.
 CACHE = 300_000
+#: Bytes of ids that a task gathers in a bucket before it passes them on.
+FLUSH = 4 << 20
 _UNSAFE = re.compile(r"\s\x20|\x20\s")
 
 
@@ -76,28 +80,33 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most:
         encode = encoder(tokenizer)
         end = np.array([END_ID], "<u4").tobytes()
         sequence = TaskContext.get().partitionId() << 33
+        ready: list[list[tuple]] = [[] for _ in range(most.bit_length())]
         for batch in batches:
-            out: list[tuple] = []
-            where: list[int] = []
+            ids_type = batch.column(0).type
             for row, text in enumerate(batch.column(1).to_pylist()):
                 ids = encode(text or "") + end
-                n, start = len(ids) // 4, 0
+                n, start, key = len(ids) // 4, 0, batch.column(0)[row].as_py()
                 for length in pieces(n, most):
-                    part = ids[4 * start : 4 * (start + length)]
-                    out.append((start, length, zlib.crc32(part), n, sequence, 0, length.bit_length() - 1, part))
-                    where.append(row)
+                    part, bucket = ids[4 * start : 4 * (start + length)], length.bit_length() - 1
+                    ready[bucket].append((key, start, length, zlib.crc32(part), n, sequence, 0, bucket, part))
                     start, sequence = start + length, sequence + 1
-                if len(out) > 50_000:
-                    yield emit(batch, out, where)
-                    out, where = [], []
-            if out:
-                yield emit(batch, out, where)
-
-    def emit(batch: pa.RecordBatch, out: list[tuple], where: list[int]) -> pa.RecordBatch:
-        cols = list(zip(*out))
-        arrays = [batch.column(0).take(pa.array(where, pa.int64())), *(pa.array(c, pa.int64()) for c in cols[:7])]
+                    if len(ready[bucket]) * (4 * length + 64) > FLUSH:
+                        yield emit(ready[bucket], ids_type)
+                        ready[bucket] = []
+        for gathered in ready:
+            if gathered:
+                yield emit(gathered, ids_type)
+
+    def emit(rows: list[tuple], ids_type: pa.DataType) -> pa.RecordBatch:
+        cols = list(zip(*rows))
+        arrays = [pa.array(cols[0], ids_type), *(pa.array(c, pa.int64()) for c in cols[1:8])]
         if with_ids:
-            arrays.append(pa.array([np.frombuffer(x, "<u4").astype(np.int32) for x in cols[7]], pa.list_(pa.int32())))
+            arrays.append(pa.array([np.frombuffer(x, "<u4").astype(np.int32) for x in cols[8]], pa.list_(pa.int32())))
         return pa.RecordBatch.from_arrays(arrays, [id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "bucket", *["ids"] * with_ids])
 
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, bucket long" + ", ids array<int>" * with_ids)
+
+
+def to_buckets(pieces: DataFrame, path: str) -> None:
+    """Writes pieces with a folder for each bucket, so that a reader draws batches of one sequence length."""
+    pieces.write.partitionBy("bucket").parquet(path)

@@ -29,12 +29,17 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_LOGIN = re.compile(r"://([^\s/@:]{1,256}:[^\s/@]{1,256})@")
+_LOGIN = re.compile(r"://([^\s/@:]+:[^\s/@]+)@")
 _IBAN = re.compile(r"[:\s#]{0,3}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?![A-Za-z0-9])")
-_ACCOUNT = re.compile(r"(?: (?:no|nr|number)\b)?[.:#\s]{1,4}([0-9][0-9-]{4,18}[0-9])(?![0-9])")
-_SECRET = re.compile(r"\s{0,2}[=:]\s{0,2}[\"']?([A-Za-z0-9_+/.-]{8,256})")
+_ACCOUNT = re.compile(r"(?: (?:no|nr|number|nummer|numéro|número)\b)?[.:#\s]{1,4}([0-9][0-9-]{4,18}[0-9])(?![0-9])")
+_SECRET = re.compile(r"\s{0,2}[=:]\s{0,2}[\"']?([A-Za-z0-9_+/.-]{8,})")
 
-_CUES = {"iban": ("IBAN", "iban"), "account": ("account", "Account", "ACCOUNT", "acct", "Acct"), "secret": ("password", "Password", "PASSWORD", "passwd", "token", "Token", "TOKEN", "secret", "Secret", "api_key", "API_KEY", "apikey")}
+#: Identifier cues in the languages of the texts; each is looked for in lower case, in capitals and with one capital.
+_CUES = {
+    "iban": ("iban",),
+    "account": ("account", "acct", "kontonummer", "konto", "compte", "cuenta", "conto", "conta", "rekening"),
+    "secret": ("password", "passwd", "passwort", "kennwort", "mot de passe", "contraseña", "senha", "wachtwoord", "token", "secret", "api_key", "apikey", "api-key"),
+}
 
 
 def luhn(digits: str) -> bool:
@@ -64,7 +69,7 @@ def automaton():
     for d in "0123456789":
         found.add_word(d, ("0", 1))
     for kind, cues in _CUES.items():
-        for cue in cues:
+        for cue in {c for cue in cues for c in (cue, cue.upper(), cue.capitalize())}:
             found.add_word(cue, (kind, len(cue)))
     found.make_automaton()
     return found
@@ -81,7 +86,7 @@ def spans(text: str, cues) -> list[tuple[int, int, int]]:
                 continue
             if at >= ip_end and (m := _IP.match(text, at)):
                 ip_end = m.end()
-                if all(len(p.lstrip("0")) < 4 and int(p) < 256 for p in m[0].split(".")):
+                if all(len(p) < 4 and int(p or 0) < 256 for p in (x.lstrip("0") for x in m[0].split("."))):
                     found.append((at, 1, ip_end))
             if at >= card_end and (m := _CARD.match(text, at)):
                 card_end = m.end()

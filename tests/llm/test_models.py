@@ -23,7 +23,7 @@ def test_packing_equals_the_tokenizer(spark):
     made = random.Random(2)
     texts = [None, "", " ", "a", "  two  spaces ", "line\n next", "tab\t x", "x  y", "end ", "<|endoftext|> in", "it's 12 o'clock!!  \n\n ok", "é" * 5000]
     texts += ["".join(made.choices(["the", " ", "  ", "\n", "'s", "12", "!", "ß", " a", " ", "\t"], k=30)) for _ in range(300)]
-    texts += [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").limit(60).collect()]
+    texts += [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     rows = packing.pack(df).collect()
     by = {}
@@ -32,12 +32,23 @@ def test_packing_equals_the_tokenizer(spark):
         assert r.start == len(by.setdefault(r.doc_id, []))
         assert zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32
         by[r.doc_id] += r.ids
-    for i, t in enumerate(texts):
-        assert by[i] == [*own.encode(t or "", add_special_tokens=False).ids, 1], t
+    for i, (t, e) in enumerate(zip(texts, own.encode_batch([t or "" for t in texts], add_special_tokens=False))):
+        assert by[i] == [*e.ids, 1], t
     assert len({r.sequence_id for r in rows}) == len(rows)
     assert packing.pack(df.limit(0)).count() == 0
 
 
+def test_buckets_and_repeated_rows(spark, tmp_path, monkeypatch):
+    rows = [(7, "a b c d e", "x"), (7, "a b c d e", "x"), (None, "w " * 9000, "y")]
+    made = packing.pack(spark.createDataFrame(rows, "doc_id long, text string, bucket string"), most=64)
+    by = {}
+    for r in made.collect():
+        by.setdefault(r.doc_id, []).append((r.start, r.length))
+    assert sorted(by[7]) == sorted(2 * [(0, 4), (4, 2)]) and sum(n for _, n in by[None]) == 9002
+    packing.to_buckets(made, f"{tmp_path}/b")
+    assert {(r.bucket, r.length) for r in spark.read.parquet(f"{tmp_path}/b").collect()} <= {(k, 1 << k) for k in range(7)}
+
+
 def test_pieces():
     assert packing.pieces(5000, 2048) == [2048, 2048, 512, 256, 128, 8]
     for n in range(1, 300):
@@ -61,13 +72,94 @@ def test_lm_base_scores_are_exact(spark, head):
             for w in [*(t or "").lower().split(), "\n"]:
                 counts[w] = counts.get(w, 0) + 1
     n, v = sum(counts.values()), len(counts)
-    out = brown.score(spark.createDataFrame(rows, "doc_id long, text string"), head=head, clustered=20, classes=5).collect()
+    out = brown.score(spark.createDataFrame(rows, "doc_id long, text string"), head=head, core=20, classes=5).collect()
     assert len(out) == len(rows)
     want = sorted((-1 if d is None else d, held(d), len((t or "").split()) + 1, sum(w in counts for w in [*(t or "").lower().split(), "\n"]), round(sum(math.log10((counts.get(w, 0) + 1) / (n + v + 1)) for w in [*(t or "").lower().split(), "\n"]), 6)) for d, t in rows)
     assert sorted((-1 if r.doc_id is None else r.doc_id, r.held_out, r.n_tokens, r.n_known, round(r.base_score, 6)) for r in out) == want
     assert all(r.train_tokens == n and r.score < 0 for r in out)
 
 
+def plain_likelihood(pairs, of):
+    """Log likelihood of class bigrams, up to what doesn't depend on the classes."""
+    table = {}
+    for a, row in enumerate(pairs):
+        for b, n in enumerate(row):
+            table[of[a], of[b]] = table.get((of[a], of[b]), 0) + n
+    out, into = {}, {}
+    for (a, b), n in table.items():
+        out[a], into[b] = out.get(a, 0) + n, into.get(b, 0) + n
+    log = lambda xs: sum(x * math.log(x) for x in xs if x)
+    return log(table.values()) - log(out.values()) - log(into.values())
+
+
+def test_exchange_ends_where_no_single_move_is_better():
+    made = np.random.default_rng(5)
+    pairs = made.poisson(3, (13, 13)) * made.integers(0, 2, (13, 13))
+    of = [*brown.exchange(pairs, 4, 50).tolist(), 4]
+    best = plain_likelihood(pairs, of)
+    assert best > plain_likelihood(pairs, [*(i % 4 for i in range(12)), 4])
+    for w in range(12):
+        for k in range(4):
+            assert plain_likelihood(pairs, [*of[:w], k, *of[w + 1 :]]) <= best + 1e-6
+
+
+def test_further_words_get_the_best_class_and_scores_are_the_models(spark):
+    """Classes and scores of all texts against a plain model: every head word outside the core is tried in each class."""
+    rows = [(i, t) for i, t in rows_of(spark, 120) if i is not None]
+    rows = list(dict(rows).items())
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    held = lambda d: zlib.crc32(str(d).encode()) % 7 == 2
+    texts = [[w.encode() for w in (t or "").lower().split()] for d, t in rows if not held(d)]
+    count = {}
+    for t in texts:
+        for w in [*t, brown.END]:
+            count[w] = count.get(w, 0) + 1
+    words = sorted(count, key=lambda w: (-count[w], w))
+    core = [w for w in words if w != brown.END][:15]
+    number = {w: i for i, w in enumerate(words)}
+    pairs = np.zeros((len(words), len(words)))
+    for t in texts:
+        for a, b in zip([brown.END, *t], [*t, brown.END]):
+            pairs[number[a], number[b]] += 1
+    small = np.zeros((16, 16))
+    at = [core.index(w) if w in core else 15 for w in words]
+    np.add.at(small, np.ix_(at, at), pairs)
+    cluster = dict(zip(core, brown.exchange(small, 4, 8).tolist()))
+    of = {w: cluster.get(w, 4) for w in words}
+    for w in words:
+        if w not in cluster and w != brown.END:
+            tried = [plain_likelihood(pairs, [k if v == w else of[v] for v in words]) for k in range(4)]
+            cluster[w] = tried
+    scored = {r.doc_id: r for r in brown.score(docs, core=15, classes=4).collect()}
+    one = np.eye(5)[[*(of[w] for w in core), 4]]
+    got = brown.assign(docs.filter(~F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))).select("text"), {w: of[w] for w in core}, number, one.T @ small @ one)
+    for w, tried in cluster.items():
+        if isinstance(tried, list):
+            assert tried[got[w]] >= max(tried) - 1e-6
+    of = {w: 4 if w == brown.END else got.get(w, of[w]) for w in words}  # the end token's own class; 5: rare
+    moves, mass, kinds = np.zeros((6, 6)), np.zeros(6), np.zeros(6)
+    for t in texts:
+        for a, b in zip([brown.END, *t], [*t, brown.END]):
+            moves[of[a], of[b]] += 1
+    for w in words:
+        mass[of[w]] += count[w]
+        kinds[of[w]] += 1
+    share = (mass + 1) / (mass + 1).sum()
+    for d, t in rows:
+        want, before = 0.0, 4
+        for w in [*(x.encode() for x in (t or "").lower().split()), brown.END]:
+            k = of.get(w, 5)
+            want += math.log10((moves[before, k] + share[k]) / (moves[before].sum() + 1)) + math.log10((count.get(w, 0) + 1) / (mass[k] + kinds[k] + 1))
+            before = k
+        assert abs(scored[d].score - want) < 1e-6, d
+
+
+def test_lm_long_words_and_names(spark):
+    rows = [(1, "x" * 50_000 + " a b", 1.0), (1, "a b", 2.0), (2, "a " * 30_000, 3.0)]
+    out = brown.score(spark.createDataFrame(rows, "doc_id long, text string, score double")).collect()
+    assert sorted(r.n_tokens for r in out) == [3, 4, 30_001] and all(r.score < 0 for r in out)
+
+
 def test_lm_beats_the_base_on_held_out_texts(spark):
     made = random.Random(9)
     a, b = ["ka%d" % i for i in range(30)], ["lo%d" % i for i in range(30)]
@@ -84,7 +176,7 @@ def test_lm_model_is_a_distribution(spark):
     probe = [(10_000_000 + i, w) for i, w in enumerate([*words, "never-seen"])]
     probe = [(d, w) for d, w in probe]
     df = spark.createDataFrame(rows + [(None, w) for _, w in probe] + [(None, None)], "doc_id long, text string")
-    out = [r for r in brown.score(df, head=60, clustered=20, classes=5).collect() if r.doc_id is None]
+    out = [r for r in brown.score(df, head=60, core=20, classes=5).collect() if r.doc_id is None]
     assert all(10**r.score <= 1 for r in out)
     assert sum(10**r.score for r in out) <= 1 + 1e-9  # whole one-word texts and the empty text: parts of one distribution
 
@@ -129,6 +221,58 @@ def test_topk_equals_sql(spark, tmp_path, n, width, copies):
     assert topk.top_k(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["noise", "clusters", "copies"])
+def test_cover_tree_invariants_and_search(kind):
+    made = np.random.default_rng(3)
+    x = np.floor(made.normal(size=(700, 6)) * 64)
+    if kind == "clusters":
+        x = np.floor((made.normal(size=(20, 6))[made.integers(0, 20, 700)] * 40 + made.normal(size=(700, 6))) * 64)
+    if kind == "copies":
+        x[200:] = x[made.integers(0, 40, 500)]
+    tree = topk.CoverTree(x)
+    far = np.sqrt(((x[:, None] - x) ** 2).sum(2))
+    levels = len(tree.scales)
+    assert all(a >= 2 * b for a, b in zip(tree.scales, tree.scales[1:]))
+    for level in range(levels):
+        net = (tree.first <= level).nonzero()[0]  # nested: a net holds those above it
+        assert (far[:, net].min(1) <= tree.scales[level] * (1 + 1e-9)).all()  # covering
+        if level:
+            apart = far[np.ix_(net, net)] + np.eye(len(net)) * 1e9
+            assert (apart > tree.scales[level]).all()  # separation
+            new = tree.entering(level)
+            assert (tree.first[tree.parent[new]] < level).all()
+            assert (far[new, tree.parent[new]] <= tree.scales[level - 1] * (1 + 1e-9)).all()
+        assert (far[np.arange(700), tree.below[level]] <= tree.radius[level][tree.below[level]]).all()
+        assert set(tree.below[level]) <= set(net)
+    rest = tree.entering(levels)
+    assert (far[rest, tree.parent[rest]] == 0).all() and (tree.first >= 0).all()
+    ids, asked = np.arange(700), np.arange(0, 700, 7)
+    searcher = topk.Searcher(ids[asked], x[asked], 9)
+    for at in range(0, 700, 250):
+        searcher.add(ids[at : at + 250], x[at : at + 250])
+    scores = (x[asked] @ x.T).astype(int)
+    want = [(n, s, i) for n, q in enumerate(asked) for s, i in [(-a, b) for a, b in sorted((-scores[n, i], i) for i in ids if i != q)[:9]]]
+    b = searcher.best
+    assert list(zip(b.query, b.score, b.of)) == want
+    again = topk.Searcher(ids[asked], x[asked], 9, b.least, group=8)  # with true bounds from the start most pairs are never compared
+    again.add(ids, x)
+    assert list(zip(again.best.query, again.best.score, again.best.of)) == want
+    if kind == "clusters":
+        assert again.best.compared < 0.5 * scores.size
+
+
+def test_topk_huge_parts_and_repeats(spark):
+    rows = [(0, [1e30, 1.0], "x"), (20, [1.0, -1.0], "y"), (1, [1e30, 0.0], "z"), (2, [-1e30, 0.0], "z"), (3, [3e18, 0.5], ""), (4, [0.0, 2.0], ""), (4, [0.0, 2.0], "")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank string")
+    exact = lambda a, b: max(-(2**63), min(2**63 - 1, sum(math.floor(64 * x) * math.floor(64 * y) for x, y in zip(a, b))))
+    want = []
+    for q, v, _ in rows:
+        if q % 20 == 0:
+            best = sorted((-exact(v, w), i) for i, w, _ in rows if i != q)
+            want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    assert sorted(map(tuple, topk.top_k(df).collect())) == sorted(want)
+
+
 def test_licences(spark):
     rows = [(1, "junk line of words\nReleased under the MIT License.\nmore"), (2, "the software of the license in words"), (3, None), (4, ""), (5, "Licensed under CC BY-NC 4.0."), (6, "SPDX-License-Identifier: Apache-2.0"), (7, "this program ran under the terms we had"), (None, "This work is licensed under the GNU General Public License, version 3.")]
     rows += [(8, "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without any restriction.")]

@@ -19,7 +19,7 @@ def brute(text):
     for k, (kind, pattern) in enumerate(PATTERNS.items()):
         for m in re.finditer(pattern, text):
             digits = re.sub("[^0-9]", "", m[0])
-            ok = {"email": True, "ip": kind == "ip" and all(int(p) <= 255 for p in m[0].split(".")), "card": 14 <= len(digits) <= 19 and pii.luhn(digits), "phone": 10 <= len(digits) <= 15}[kind]
+            ok = {"email": True, "ip": kind == "ip" and all(int(p.lstrip("0")[:4] or 0) <= 255 for p in m[0].split(".")), "card": 14 <= len(digits) <= 19 and pii.luhn(digits), "phone": 10 <= len(digits) <= 15}[kind]
             if ok:
                 found.append((m.start(), k, m.end()))
     return sorted(found)
@@ -49,6 +49,16 @@ def test_added_kinds():
     assert ("login", "bob:pw1") in told("see ftp://bob:pw1@host.org/x")
     assert ("secret", "e3b3ed3cc8548923d6") in told("la password=e3b3ed3cc8548923d6 das")
     assert ("account", "1234567890") in told("account no. 1234567890 ")
+    assert ("account", "1234567890") in told("Kontonummer: 1234567890 ")
+    assert ("iban", "GB82 WEST 1234 5698 7654 32") in told("Iban GB82 WEST 1234 5698 7654 32.")
+    long = "a1" * 3000  # whole values, however long
+    assert ("secret", long) in told(f"Token={long} x") and ("login", f"u:{long}") in told(f"http://u:{long}@h.org")
+
+
+def test_long_runs_of_digits():
+    cues = pii.automaton()
+    for text in ("0" * 5000 + "1.1.1.1", "9" * 5000 + ".1.1.1", "1.1.1." + "0" * 6000 + "7", "4111" * 3000, "+1" + "2" * 9000):
+        assert [x for x in pii.spans(text, cues) if x[1] < 4] == brute(text)
 
 
 def test_pii_rows(spark):
@@ -85,6 +95,12 @@ def test_chat_round_trip(spark):
     assert [(t.role, t.text) for t in out[1].back] == [("user", "<|end|>"), ("assistant", "</s>[INST] ok [/INST]"), ("user", ""), ("assistant", "\n\nend\n")]
     assert out[1].loss == "</s>[INST] ok [/INST]\n\nend\n"
     assert [(t.role, t.text) for t in out[2].back] == [("", "x")] and out[2].loss == ""
+    tied = spark.createDataFrame([(1, 0, "assistant", "<s>"), (1, 0, "assistant", "<a"), (1, 0, "a</s>", "z"), (1, 0, "a<", "z")], "conv_id long, turn long, role string, text string")
+    back = chat.format_chats(tied.withColumn("parts", chat.text_part(F.col("text")))).select(chat.read_back(F.col("formatted")).alias("back")).first().back
+    assert [(t.role, t.text) for t in back] == [("a<", "z"), ("a</s>", "z"), ("assistant", "<a"), ("assistant", "<s>")]  # order of the raw texts
+    long = spark.createDataFrame([(9, 0, "assistant", "é<|end|>" * 100_000, "x")], "conv_id long, turn long, role string, text string, formatted string")
+    one = chat.format_chats(long.withColumn("parts", chat.text_part(F.col("text")))).select(chat.masked(F.col("formatted")).alias("loss")).first()
+    assert one.loss == "é<|end|>" * 100_000
     assert out[None].loss == "" and len(out[3].back) == 3 and out[3].loss == "tietie"
 
 
