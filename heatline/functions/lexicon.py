@@ -39,9 +39,14 @@ def load(spark: SparkSession, path: str | None = None) -> DataFrame:
     return rows.select("canon", "surface", "ord", F.col("surface").rlike(r"^[\x00-\x7F]+$").alias("is_ascii"))
 
 
-def small(df: DataFrame) -> DataFrame:
-    """df with a broadcast hint if it has SMALL rows at most; else as it is, and the join shuffles."""
-    return F.broadcast(df) if len(df.limit(SMALL + 1).select(F.lit(1)).collect()) <= SMALL else df
+def fits(df: DataFrame) -> bool:
+    """Whether df has SMALL rows at most; only a count comes to the driver."""
+    return df.select(F.lit(1)).limit(SMALL + 1).count() <= SMALL
+
+
+def small(df: DataFrame, known: bool | None = None) -> DataFrame:
+    """df with a broadcast hint if it fits, and with a merge hint beyond. known: what fits() told of it before."""
+    return df.hint("broadcast" if (fits(df) if known is None else known) else "merge")
 
 
 def aliases(lexicon: DataFrame) -> DataFrame:
@@ -59,7 +64,8 @@ def canonical(words: DataFrame, lexicon: DataFrame, column: str = "word") -> Dat
     shaped = shaped.withColumn("t", F.regexp_replace(t, r"\A[\p{Punct}]+|[\p{Punct}]+\z", ""))
     shaped = shaped.withColumn("one", F.when(F.col("t").rlike(r"^[\x00-\x7F]{4,}$") & F.col("t").endswith("s") & ~F.col("t").endswith("ss"), F.substring("t", F.lit(1), F.length("t") - 1)))
     table = aliases(lexicon)
-    own = lambda key, to: small(table.select(F.col("alias").alias(key), F.col("canon").alias(to)))
+    fit = fits(lexicon)  # aliases and governed terms have no more rows
+    own = lambda key, to: small(table.select(F.col("alias").alias(key), F.col("canon").alias(to)), fit)
     met = shaped.join(own("t", "a"), "t", "left").join(own("one", "b"), "one", "left")
     found = F.coalesce("a", "b", "t")
     met = met.select(column, F.when((F.length(found) >= 2) & ~found.rlike("^[0-9]+$"), found).alias("c"))
@@ -67,4 +73,4 @@ def canonical(words: DataFrame, lexicon: DataFrame, column: str = "word") -> Dat
     # a hyphen variant of a term that the dictionary governs folds into it
     governed = lexicon.select(F.col("canon").alias("compact")).union(lexicon.sparkSession.createDataFrame([(x,) for x in ACRONYMS.values()], "compact string")).distinct().withColumn("folded", F.col("compact"))
     met = met.withColumn("compact", F.when(F.col("c").contains("-") & F.col("c").rlike(r"^[\x00-\x7F]+$"), F.replace("c", F.lit("-"), F.lit(""))))
-    return met.join(small(governed), "compact", "left").select(column, F.coalesce("folded", "c").alias("canon"))
+    return met.join(small(governed, fit), "compact", "left").select(column, F.coalesce("folded", "c").alias("canon"))

@@ -106,7 +106,7 @@ def papers_of(models: DataFrame, papers: DataFrame, heads: int = 8, most: int =
     ok = (F.size("categories") == 0) | F.exists("categories", lambda c: c.rlike(r"^(cs\.|eess\.|stat\.ML)"))
     kept = papers.filter(ok)
     found = matches(kept, first.select("canon", F.col("canon").alias("surface")).distinct(), "url", "title")
-    rows = first.join(found, "canon").join(kept, "url")
+    rows = first.hint("merge").join(found, "canon").hint("merge").join(kept, "url")
     one = Window.partitionBy("full_id", F.lower("title")).orderBy("pos", "url")
     rows = rows.withColumn("_n", F.row_number().over(one)).filter("_n = 1")
     rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy("full_id").orderBy("pos", "url"))).filter(F.col("_n") <= most)
@@ -133,7 +133,7 @@ def term_news(links: DataFrame, cards: DataFrame, n: int = 50) -> DataFrame:
     from heatline.operators.cards import first_of_titles
 
     heat = F.coalesce(F.nullif("hot", F.lit(0)), "score", F.lit(0))
-    rows = links.distinct().join(cards, "url").withColumn("heat", heat)
+    rows = links.distinct().hint("merge").join(cards, "url").withColumn("heat", heat)
     once = first_of_titles(rows, F.desc("heat"), F.desc("published"), F.col("url"), by=("canon",))
     return once.withColumn("rank", F.row_number().over(Window.partitionBy("canon").orderBy(F.desc("heat"), F.desc("published"), "url"))).filter(F.col("rank") <= n)
 
@@ -144,3 +144,8 @@ def profiles(terms: DataFrame, news: DataFrame, trends: DataFrame, models: DataF
     t = trends.groupBy(F.col("term").alias("canon")).agg(F.array_sort(F.collect_list(F.struct("date", "win7_cnt", "share"))).alias("activity"))
     m = models.groupBy("canon").agg(F.max_by(F.struct("full_id", "likes", "downloads"), "trending_score").alias("model"))
     return terms.join(n, "canon", "left").join(t, "canon", "left").join(m, "canon", "left").join(explained, "canon", "left")
+
+
+def flattened(lists: DataFrame, items: str = "items") -> DataFrame:
+    """lists(dimension, items) -> (dimension, pos, item): one row for each element, places from 0."""
+    return lists.select("dimension", F.posexplode(items).alias("pos", "item"))

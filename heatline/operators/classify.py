@@ -14,7 +14,7 @@ def apply_classified(items: DataFrame, made: DataFrame, dimensions: list[str], w
 
     Output counts if the slots of the foreign language are there and in that language. The native title stays the feed's.
     An unknown dimension becomes the default; rejected rows keep their title in both slots and no summary."""
-    met = items.join(made, ["batch_id", "idx"], "left")
+    met = items.hint("merge").join(made, ["batch_id", "idx"], "left")
     zh = F.col("lang") == "zh"
     foreign = lambda c: F.when(zh, F.col(f"{c}_en")).otherwise(F.col(f"{c}_zh"))
     missing = (F.coalesce(strip(foreign("title")), F.lit("")) == "") | (F.coalesce(strip(foreign("summary")), F.lit("")) == "")

@@ -3,8 +3,9 @@
 An ASCII surface matches at word boundaries, in any case, and not before `.digit` (so a later version is no hit). Its
 first alphanumeric run is its anchor: the boundaries force that run to be a whole run of the text, so the equi-join of
 runs and anchors loses no match, and the pattern is verified on what it brings. A surface with other characters matches
-as a substring; its anchor is the first pair of characters with such a one, met by the text's pairs. Surfaces without an anchor
-(one character, or no alphanumeric) are few and broadcast, if their number allows.
+as a substring; its anchor is the first pair of characters with such a one, met by the text's pairs. Surfaces without an
+anchor (one character, or no alphanumeric) have their first character for one, met by the text's characters. Only keys and
+anchors move through that join; the texts meet what it finds.
 """
 
 from __future__ import annotations
@@ -12,8 +13,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from heatline.functions.lexicon import small
-
 
 def pattern(surface: Column) -> Column:
     """Java pattern of an ASCII surface."""
@@ -47,11 +46,14 @@ def matches(texts: DataFrame, surfaces: DataFrame, key: str, text: str = "text")
     """texts(key, text) and surfaces(canon, surface) -> distinct (key, canon)."""
     forms = surfaces_with_anchor(surfaces.select("canon", "surface").distinct())
     rows = texts.select(F.col(key), F.col(text).alias("_text")).filter("_text is not null")
-    by = rows.select(key, "_text", F.explode(text_anchors(F.col("_text"))).alias("anchor"))
-    found = by.hint("shuffle_hash").join(forms.filter("anchor is not null"), "anchor").filter(hit(F.col("_text"), F.col("surface"))).select(key, "canon")
-    bare = forms.filter("anchor is null").select("canon", "surface")
-    rest = rows.join(small(bare), hit(F.col("_text"), F.col("surface"))).select(key, "canon")
-    return found.union(rest).distinct()
+    by = rows.select(key, F.explode(text_anchors(F.col("_text"))).alias("anchor"))
+    met = by.hint("merge").join(forms.filter("anchor is not null"), "anchor").select(key, "canon", "surface")
+    bare = forms.filter("anchor is null").withColumn("anchor", F.lower(F.substring("surface", 1, 1)))
+    if not bare.isEmpty():
+        letters = rows.select(key, F.explode(F.array_distinct(F.split(F.lower("_text"), ""))).alias("anchor"))
+        met = met.union(letters.hint("merge").join(bare, "anchor").select(key, "canon", "surface"))
+    found = met.distinct().hint("merge").join(rows, key)
+    return found.filter(hit(F.col("_text"), F.col("surface"))).select(key, "canon").distinct()
 
 
 def title_matches(cards: DataFrame, surfaces: DataFrame, key: str = "url", fields: tuple[str, ...] = ("title", "title_zh", "title_en")) -> DataFrame:
@@ -62,7 +64,7 @@ def title_matches(cards: DataFrame, surfaces: DataFrame, key: str = "url", field
 
 def term_surfaces(terms: DataFrame, lexicon: DataFrame) -> DataFrame:
     """terms(canon) -> (canon, surface): the term, its dictionary spellings, and those with other separators."""
-    known = terms.join(lexicon.select("canon", "surface"), "canon", "left")
+    known = terms.hint("merge").join(lexicon.select("canon", "surface"), "canon", "left")
     own = F.array_compact(F.array("canon", "surface"))
     each = known.select("canon", F.explode(own).alias("s"))
     forms = F.when(F.col("s").rlike(r"[^\x00-\x7F]"), F.array("s")).otherwise(F.array("s", F.replace("s", F.lit("-"), F.lit(" ")), F.replace("s", F.lit("-"), F.lit("")), F.replace("s", F.lit(" "), F.lit("-"))))
@@ -91,5 +93,5 @@ def dictionary_keywords(cards: DataFrame, lexicon: DataFrame, stopwords: list[st
     wide = matches(text, lexicon.filter("not is_ascii"), key, "_t").withColumn("class", F.lit(1))
     one = plain.union(wide).filter(~F.col("canon").isin(stopwords)).groupBy(key, "canon").agg(F.min("class").alias("class"))
     first = Window.partitionBy(key).orderBy("class", "canon")
-    kept = one.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= most).join(text, key)
+    kept = one.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= most).hint("merge").join(text, key)
     return kept.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("n", original_case(F.col("canon"), F.col("_t")).alias("k")))), lambda x: x["k"]).alias("keywords"))

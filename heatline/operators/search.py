@@ -1,7 +1,9 @@
 """Search: a batch of queries against the card pool.
 
-A query hits a card if any of its words is a substring of any field, which no key can serve, so this is a join on a
-condition. The batch is the stated query set: it is broadcast behind a check of its size, and larger ones go in blocks.
+A query hits a card if any of its words is a substring of any field. A word of three characters or more has its first
+three as anchor; the pieces of three characters that a card's fields offer meet it by an equi-join, and the pairs found
+are verified. Shorter words have one or two characters for an anchor and meet the pieces of that length. The batch is
+the stated query set: its anchors are broadcast behind a check of their number, and beyond it the join shuffles.
 """
 
 from __future__ import annotations
@@ -9,11 +11,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from heatline.functions.lexicon import small
 from heatline.functions.scores import FIELD_WEIGHTS, relevance
 from heatline.functions.text import highlight, query_words, title_key
 
-#: Queries that are sent out at once.
-BATCH = 2000
+#: Characters of an anchor.
+PIECE = 3
 
 
 def pool(models: DataFrame, news: DataFrame, history: DataFrame, words: DataFrame) -> DataFrame:
@@ -28,20 +31,29 @@ def pool(models: DataFrame, news: DataFrame, history: DataFrame, words: DataFram
     return keep_first(out, F.when(F.col("id").isNotNull(), F.concat(space, F.lit(":"), "id")), "side")
 
 
+def pieces(fields: list[Column], lengths: list[int]) -> Column:
+    """Distinct pieces of the given lengths of the lower-cased fields; none reaches over the end of a field."""
+    text = F.lower(F.concat_ws("\u0001", *fields))
+    none = F.array().cast("array<string>")
+
+    def cut(n: int) -> Column:
+        return F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: F.substring(text, i, F.lit(n)))).otherwise(none)
+
+    return F.array_distinct(F.concat(none, *map(cut, lengths)))
+
+
 def search(cards: DataFrame, queries: DataFrame, n: int = 20, words: int = 3) -> DataFrame:
-    """queries(qid, q) -> (qid, section, rank, kind, id, score, fields, ...): cards by score, one for each title among news;
+    """cards(kind, id, ...) and queries(qid, q) -> (qid, section, rank, kind, id, score, fields, ...): cards by score, one for each title among news;
     word cards apart, the first `words`."""
     names = [c for c in FIELD_WEIGHTS if c in cards.columns]
     asked = queries.withColumn("words", query_words(F.col("q"))).filter(F.size("words") > 0)
-    blocks = max(1, -(-asked.count() // BATCH))
-    out = None
-    for b in range(blocks):
-        part = F.broadcast(asked.filter(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b))
-        text = F.lower(F.concat_ws("\u0001", *names))
-        met = cards.join(part, F.exists("words", lambda w: text.contains(w)))
-        score, fields = relevance(F.col("words"), {c: F.col(c) for c in names}, F.coalesce(F.nullif("hot", F.lit(0)), F.lit(0)))
-        got = met.withColumns({"score": score, "fields": fields}).filter("score is not null")
-        out = got if out is None else out.unionByName(got)
+    anchors = asked.select("qid", F.explode("words").alias("word")).select("qid", F.substring("word", 1, PIECE).alias("anchor")).distinct()
+    lengths = [r.n for r in anchors.select(F.length("anchor").alias("n")).distinct().collect()]  # PIECE of them at most
+    pairs = cards.select("kind", "id", F.explode(pieces([F.col(c) for c in names], lengths)).alias("anchor"))
+    pairs = pairs.join(small(anchors), "anchor").select("kind", "id", "qid").distinct()
+    met = cards.hint("merge").join(pairs, ["kind", "id"]).hint("merge").join(asked, "qid")
+    score, fields = relevance(F.col("words"), {c: F.col(c) for c in names}, F.coalesce(F.nullif("hot", F.lit(0)), F.lit(0)))
+    out = met.withColumns({"score": score, "fields": fields}).filter("score is not null")
     word = F.col("kind") == "word"
     order = [F.desc("score"), F.col("kind"), F.col("id")]
     key = F.when(F.col("kind") == "news", F.coalesce(*(title_key(F.col(c)) for c in ("title_zh", "title_en", "title") if c in cards.columns)))

@@ -19,15 +19,15 @@ WINDOW_DAYS, NEW_TERMS, BOARD, TOP_NEWS, TRANSLATIONS, EXPLANATIONS = 7, 150, 20
 def keyword_links(cards: DataFrame, words: DataFrame) -> DataFrame:
     """(url, canon) from cards' keywords by the word -> canon table; stopwords are those without a canon there."""
     each = cards.select("url", F.explode(F.array_distinct("keywords")).alias("word"))
-    return each.join(words.filter("canon is not null"), "word").select("url", "canon").distinct()
+    return each.hint("merge").join(words.filter("canon is not null"), "word").select("url", "canon").distinct()
 
 
 def without_media(links: DataFrame, cards: DataFrame, media: DataFrame, lexicon: DataFrame) -> DataFrame:
     """Links to names of outlets go, unless a title of that card holds the name. media(canon)."""
-    named = links.join(media, "canon", "left_semi")
-    titles = cards.join(named.select("url").distinct(), "url", "left_semi")
+    named = links.hint("merge").join(media, "canon", "left_semi")
+    titles = cards.hint("merge").join(named.select("url").distinct(), "url", "left_semi")
     held = match.title_matches(titles, match.term_surfaces(media, lexicon))
-    return links.join(media, "canon", "left_anti").unionByName(named.join(held, ["url", "canon"], "left_semi"))
+    return links.hint("merge").join(media, "canon", "left_anti").unionByName(named.hint("merge").join(held, ["url", "canon"], "left_semi"))
 
 
 def aggregate(links: DataFrame, cards: DataFrame, current: DataFrame, as_of: Column) -> DataFrame:
@@ -36,7 +36,7 @@ def aggregate(links: DataFrame, cards: DataFrame, current: DataFrame, as_of: Col
 
     Future days count into the window, as it has no end."""
     facts = cards.select("url", "published", "score", "dimension").join(current.select("url", "signal"), "url", "left")
-    rows = links.distinct().join(facts, "url")
+    rows = links.distinct().hint("merge").join(facts, "url")
     today = F.to_date(as_of)
     inside = F.col("published") >= F.date_sub(today, WINDOW_DAYS)
     score = F.coalesce("score", F.lit(0))
@@ -61,7 +61,7 @@ def twins(terms: DataFrame) -> DataFrame:
 
 def to_rep(df: DataFrame, reps: DataFrame, column: str = "canon") -> DataFrame:
     """df with each term replaced by its representative."""
-    return df.join(reps.select(F.col("canon").alias(column), "rep"), column, "left").withColumn(column, F.coalesce("rep", column)).drop("rep")
+    return df.hint("merge").join(reps.select(F.col("canon").alias(column), "rep"), column, "left").withColumn(column, F.coalesce("rep", column)).drop("rep")
 
 
 def merge_old(rows: DataFrame) -> DataFrame:
@@ -74,7 +74,7 @@ def merge_old(rows: DataFrame) -> DataFrame:
 def top_news(links: DataFrame, cards: DataFrame, n: int = TOP_NEWS) -> DataFrame:
     """(canon, top_news): per term the best cards by score and date, one for each title key, n at most."""
     card = F.struct(F.coalesce(F.nullif("title_zh", F.lit("")), "title").alias("title_zh"), F.coalesce(F.nullif("title_en", F.lit("")), "title").alias("title_en"), F.col("url").alias("official_url"), "published", F.col("score").alias("hot"))
-    rows = links.distinct().join(cards.select("url", "published", "score", card.alias("card")), "url")
+    rows = links.distinct().hint("merge").join(cards.select("url", "published", "score", card.alias("card")), "url")
     rows = rows.withColumn("t", F.coalesce(title_key(F.col("card.title_zh")), title_key(F.col("card.title_en")), F.concat(F.lit("\u0000"), "url")))
     order = [F.desc("score"), F.desc("published"), F.col("url")]
     rows = rows.withColumn("m", F.row_number().over(Window.partitionBy("canon", "t").orderBy(*order))).filter("m = 1")
@@ -102,6 +102,29 @@ def growth(snapshots: DataFrame) -> DataFrame:
     return snapshots.withColumn("rise", scores.rise(F.col("win7_cnt"), before))
 
 
+def sliding_mentions(links: DataFrame, cards: DataFrame, days: int = WINDOW_DAYS) -> DataFrame:
+    """(canon, published, mentions): a term's cards of each day and the `days` before it."""
+    by = links.hint("merge").join(cards.select("url", "published"), "url").groupBy("canon", "published").agg(F.count("*").alias("n"))
+    own = Window.partitionBy("canon").orderBy(F.unix_date("published")).rangeBetween(-days, 0)
+    return by.select("canon", "published", F.sum("n").over(own).alias("mentions"))
+
+
+def absent_at_zero(terms: DataFrame, kept: DataFrame) -> DataFrame:
+    """terms(canon, hot, ...) with the heat of those that aren't among kept(canon) set to 0."""
+    met = terms.hint("merge").join(kept.select("canon", F.lit(True).alias("_kept")).distinct(), "canon", "left")
+    return met.withColumn("hot", F.when(F.col("_kept"), F.col("hot")).otherwise(0.0)).drop("_kept")
+
+
+def index(terms: DataFrame, n: int = 500) -> DataFrame:
+    """The terms that pass the quality gate, hottest first, n at most."""
+    return terms.filter(indexable(terms)).orderBy(F.desc("hot"), F.desc("mentions"), "canon").limit(n)
+
+
+def without_outlets(pool: DataFrame, outlets: DataFrame) -> DataFrame:
+    """Stored terms that are names of outlets go. outlets(canon)."""
+    return pool.hint("merge").join(outlets.select("canon"), "canon", "left_anti")
+
+
 def move_snapshots(snapshots: DataFrame, reps: DataFrame) -> DataFrame:
     """Snapshots of twins under their representative, values of one cycle added."""
     sums = ("news_cnt", "win7_cnt", "score_sum", "signal_sum")
@@ -194,8 +217,8 @@ def backfill(cards: DataFrame, lexicon: DataFrame, snapshots: DataFrame, stopwor
     todo = cards if force else cards.filter(F.size("keywords") == 0)
     words = match.dictionary_keywords(todo, lexicon, stopwords)
     links = match.title_matches(todo.select("url", "title", F.lit(None).cast("string").alias("title_zh"), F.lit(None).cast("string").alias("title_en")), lexicon).filter(~F.col("canon").isin(stopwords))
-    made = links.join(cards.select("url", "published", "score"), "url").groupBy(F.col("canon").alias("term"), F.concat(F.date_format("published", "yyyy-MM-dd"), F.lit("-00")).alias("cycle")).agg(F.count("*").alias("news_cnt"), F.count("*").alias("win7_cnt"), F.coalesce(F.sum("score"), F.lit(0)).alias("score_sum"), F.lit(0.0).alias("signal_sum"))
-    return words, made.join(snapshots.select("term", "cycle"), ["term", "cycle"], "left_anti")
+    made = links.hint("merge").join(cards.select("url", "published", "score"), "url").groupBy(F.col("canon").alias("term"), F.concat(F.date_format("published", "yyyy-MM-dd"), F.lit("-00")).alias("cycle")).agg(F.count("*").alias("news_cnt"), F.count("*").alias("win7_cnt"), F.coalesce(F.sum("score"), F.lit(0)).alias("score_sum"), F.lit(0.0).alias("signal_sum"))
+    return words, made.hint("merge").join(snapshots.select("term", "cycle"), ["term", "cycle"], "left_anti")
 
 
 def display_name(canon: Column, model_name: Column, surfaces: Column, lexical: Column) -> Column:

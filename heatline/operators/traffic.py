@@ -127,37 +127,60 @@ def country_of(rows: DataFrame, ranges: DataFrame, bits: int = 16) -> DataFrame:
     """rows(ip_num, header) + country: the header's code first (XX and T1 say nothing), else the range that holds the
     number, else Unknown.
 
-    The range join is an equi-join on the number's high bits: a range goes to each bucket that it touches, so wide
-    ranges should be split upstream. No pair is formed outside a bucket."""
+    Only the distinct numbers meet the ranges, by an equi-join on their high bits (a range goes to each bucket that it
+    touches); of ranges that overlap the one that begins first counts. The rows then meet the result by number."""
     size = 1 << bits
     spread = ranges.select("lo", "hi", F.col("country").alias("_c"), F.explode(F.sequence(F.floor(F.col("lo") / size), F.floor(F.col("hi") / size))).alias("_b"))
-    own = rows.withColumns({"_b": F.floor(F.col("ip_num") / size), "_r": F.monotonically_increasing_id()})
-    met = own.join(spread, (own["_b"] == spread["_b"]) & own["ip_num"].between(spread["lo"], spread["hi"]), "left")
-    one = met.groupBy("_r", *rows.columns).agg(F.min(F.struct("lo", "_c"))["_c"].alias("_c"))
+    own = rows.select("ip_num").filter("ip_num is not null").distinct().withColumn("_b", F.floor(F.col("ip_num") / size))
+    met = own.hint("merge").join(spread, "_b").filter(F.col("ip_num").between(F.col("lo"), F.col("hi")))
+    one = met.groupBy("ip_num").agg(F.min(F.struct("lo", "_c"))["_c"].alias("_c"))
     said = F.upper(F.trim("header"))
-    return one.select(*rows.columns, F.coalesce(F.when(~said.isin("", "XX", "T1"), said), "_c", F.lit("Unknown")).alias("country"))
+    return rows.hint("merge").join(one, "ip_num", "left").select(*rows.columns, F.coalesce(F.when(~said.isin("", "XX", "T1"), said), "_c", F.lit("Unknown")).alias("country"))
+
+
+def page_views(visits: DataFrame, as_of: Column, days: int = 30) -> DataFrame:
+    """One row: page views of the last days, 0 without any."""
+    return visits.filter(F.col("date") >= since(as_of, days)).agg(F.count("*").alias("views"))
+
+
+def page_view_counters(visits: DataFrame) -> DataFrame:
+    """Page views by day, the counter that a page adds to."""
+    return visits.groupBy("date").agg(F.count("*").alias("views"))
+
+
+def slots_or(slots: DataFrame, fallback: DataFrame) -> DataFrame:
+    """The slot table, or the rows of the slot file where the table has none."""
+    return fallback.select(*slots.columns) if slots.isEmpty() else slots
 
 
 def rate_limit(hits: DataFrame, limit: int, window: int = 60) -> DataFrame:
     """hits(bucket, key, ts) -> + allowed, retry_after. A window begins with a key's first hit and ends `window` seconds
     later; hits beyond the limit in it are refused. Empty keys and limits of 0 pass.
 
-    One fold over the sorted times of a key: state is (start of window, hits in it). A key's hits have to fit in a row,
-    which holds for daily batches; the streaming twin keeps two numbers a key instead."""
+    Where a key pauses for a window or longer a fresh window begins in any case, so its hits are cut into runs there,
+    and the runs are shuffled apart. A task goes over its runs in order of time and keeps two numbers, the start of the
+    window and the hits in it; a key without pauses is one run, sorted on disk if need be."""
     if limit <= 0:
         return hits.withColumns({"allowed": F.lit(True), "retry_after": F.lit(0)})
     free = F.coalesce(F.col("key"), F.lit("")) == ""
     passed = hits.filter(free).select("bucket", "key", "ts", F.lit(True).alias("allowed"), F.lit(0).alias("retry_after"))
-    by = hits.filter(~free).groupBy("bucket", "key").agg(F.sort_array(F.collect_list(F.col("ts").cast("double"))).alias("t"))
-    out = "array<struct<at:double,allowed:boolean,retry_after:int>>"
-    zero = F.struct(F.lit(None).cast("double").alias("start"), F.lit(0).alias("n"), F.array().cast(out).alias("out"))
-
-    def step(s: Column, t: Column) -> Column:
-        fresh = s["start"].isNull() | (t - s["start"] >= window)
-        ok = fresh | (s["n"] < limit)
-        wait = F.when(ok, 0).otherwise(F.greatest(F.lit(1), F.floor(window - (t - s["start"])).cast("int") + 1))
-        told = F.struct(t.alias("at"), ok.alias("allowed"), wait.alias("retry_after"))
-        return F.struct(F.when(fresh, t).otherwise(s["start"]).alias("start"), F.when(fresh, 1).when(ok, s["n"] + 1).otherwise(s["n"]).alias("n"), F.array_append(s["out"], told).alias("out"))
-
-    told = by.select("bucket", "key", F.explode(F.aggregate("t", zero, step, lambda s: s["out"])).alias("x"))
-    return passed.unionByName(told.select("bucket", "key", F.timestamp_micros(F.round(F.col("x.at") * 1_000_000).cast("long")).alias("ts"), "x.allowed", "x.retry_after"))
+    own = Window.partitionBy("bucket", "key").orderBy("ts")
+    rows = hits.filter(~free).select("bucket", "key", "ts", F.unix_micros("ts").alias("at"))
+    pause = F.coalesce(F.col("at") - F.lag("at").over(own) >= window * 1_000_000, F.lit(True)).cast("int")
+    runs = rows.withColumn("pause", pause).withColumn("run", F.sum("pause").over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = runs.repartition("bucket", "key", "run").sortWithinPartitions("bucket", "key", "run", "at").select("bucket", "key", "run", "ts", "at")
+
+    def fold(parts):
+        of, start, n = None, 0, 0
+        for part in parts:
+            allowed, wait = [], []
+            for run, at in zip(zip(part["bucket"], part["key"], part["run"]), part["at"]):
+                if run != of or at - start >= window * 1_000_000:
+                    of, start, n = run, at, 0
+                ok = n < limit
+                n += ok
+                allowed.append(ok)
+                wait.append(0 if ok else max(1, int(window - (at - start) / 1_000_000) + 1))
+            yield part[["bucket", "key", "ts"]].assign(allowed=allowed, retry_after=wait)
+
+    return passed.unionByName(runs.mapInPandas(fold, "bucket string, key string, ts timestamp, allowed boolean, retry_after int"))

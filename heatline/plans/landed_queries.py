@@ -8,9 +8,11 @@ from heatline.functions import lexicon as L
 from heatline.functions import scores
 from heatline.functions import text as X
 from heatline.operators import boards as B
+from heatline.operators import cards as C
 from heatline.operators import match
 from heatline.operators import terms as T
-from heatline.plans.standins import as_of, cards, models, read, scored_cards, sql
+from heatline.plans.refresh import cut
+from heatline.plans.standins import _DISTINCT, as_of, cards, models, read, scored_cards, sql
 from heatline.plans.term_queries import _links, _snaps, _sums
 from heatline.sources import landed as S
 
@@ -28,12 +30,12 @@ def add(name, body, *views):
 
 
 _ID = lambda c="doc_id": F.col(c).cast("string")
-_LINE = "regexp_replace(trim(regexp_replace(left(split_part(text, chr(10), 1), 60), '[^A-Za-z0-9 ]', '', 'g')), '\\s+', ' ', 'g')"
+_LINE = "regexp_replace(trim(regexp_replace(left(split_part(text, chr(10), 1), 200), '[^A-Za-z0-9 ]', '', 'g')), '\\s+', ' ', 'g')"
 
 
 def _docs(spark, sf):
-    """Documents with a plain title of letters, digits and single spaces."""
-    head = F.substring(F.get(F.split("text", "\n"), F.lit(0)), 1, 60)
+    """Documents with a plain title of letters, digits and single spaces; titles are cut at 200 characters."""
+    head = F.substring(F.get(F.split("text", "\n"), F.lit(0)), 1, 200)
     return read(spark, sf, "documents").select("doc_id", "source", F.trim(F.regexp_replace(F.regexp_replace(head, "[^A-Za-z0-9 ]", ""), r"\s+", " ")).alias("t")).withColumn("t", F.trim("t"))
 
 
@@ -108,7 +110,7 @@ def _(spark, sf):
 @add("s9_routing", "select dimension, case dimension when 'd0' then 'LocalLLaMA' when 'd2' then 'MachineLearning' else 'artificial' end as sub, count(*) as n from cards group by all", "cards")
 def _(spark, sf):
     routes = spark.createDataFrame([("d0", "LocalLLaMA"), ("d2", "MachineLearning")], "dimension string, sub string")
-    return cards(spark, sf).join(F.broadcast(routes), "dimension", "left").groupBy("dimension", F.coalesce("sub", F.lit("artificial")).alias("sub")).agg(F.count("*").alias("n"))
+    return S.routed(cards(spark, sf), routes, "artificial").groupBy("dimension", "sub").agg(F.count("*").alias("n"))
 
 
 # --- hot boards
@@ -161,7 +163,7 @@ def _(spark, sf):
     return out.select("batch_id", "idx", "dimension", "title_zh", F.size("keywords").alias("words"))
 
 
-@add("c42_f15_backfill", f"select doc_id, case when doc_id % 3 = 0 then 'other' else 'd1' end as dimension, case when doc_id % 2 = 0 then 'translated' else t end as title_en, doc_id % 2 = 0 as accepted from (select doc_id, {_LINE} as t from documents)")
+@add("c42_f15_backfill", f"select doc_id, case when doc_id % 3 = 0 or doc_id % 2 = 1 then 'other' else 'd1' end as dimension, case when doc_id % 2 = 0 then 'translated' else t end as title_en, doc_id % 2 = 0 as accepted from (select doc_id, {_LINE} as t from documents)")
 def _(spark, sf):
     from heatline.operators.classify import apply_classified
 
@@ -169,7 +171,7 @@ def _(spark, sf):
     items = d.select(F.col("doc_id").alias("batch_id"), F.lit(1).cast("long").alias("idx"), F.col("t").alias("title"), F.lit("zh").alias("lang"), F.lit("other").alias("default_dim"))
     made = d.select(F.col("doc_id").alias("batch_id"), F.lit(1).cast("long").alias("idx"), F.when(F.col("doc_id") % 3 == 0, "junk").otherwise("d1").alias("dimension"), F.lit("x").alias("title_zh"), F.when(F.col("doc_id") % 2 == 0, "translated").otherwise("未译").alias("title_en"), F.lit("s").alias("summary_zh"), F.lit("s").alias("summary_en"), F.array(F.lit("k")).alias("keywords"))
     out = apply_classified(items, made, ["d1", "d2", "other"])
-    return out.select(F.col("batch_id").alias("doc_id"), F.when(F.col("accepted"), F.col("dimension")).otherwise(F.when(F.col("batch_id") % 3 == 0, "other").otherwise("d1")).alias("dimension"), "title_en", "accepted")
+    return out.select(F.col("batch_id").alias("doc_id"), "dimension", "title_en", "accepted")
 
 
 # --- terms, continued
@@ -193,33 +195,42 @@ def _(spark, sf):
     return cards(spark, sf).select("url", X.compact_key(F.concat_ws("-", "source", "dimension")).alias("key"))
 
 
-@add("c9_surfaces", "select canon, count(*) as n from (select distinct canon, unnest([canon, replace(canon, '-', ' '), replace(canon, '-', '')]) as s from (select distinct source || '-' || dimension as canon from cards)) group by canon", "cards")
+@add("c9_surfaces", "select distinct canon, unnest([canon, replace(canon, '-', ' '), replace(canon, '-', '')]) as surface from (select distinct source || '-' || dimension as canon from cards)", "cards")
 def _(spark, sf):
     t = cards(spark, sf).select(F.concat_ws("-", "source", "dimension").alias("canon")).distinct()
-    return match.term_surfaces(t, L.load(spark)).groupBy("canon").agg(F.count("*").alias("n"))
+    return match.term_surfaces(t, L.load(spark)).select("canon", "surface")
 
 
-@add("c5_j20_canonical_words", "select w, case when w = 'and' then 'and' else w end as canon from (select distinct lower(regexp_extract(title, '([A-Za-z]{2,})', 1)) as w from cards) where length(w) >= 2 and w not in (select lower(x) from (select unnest(['API', 'AR', 'AWS', 'CD', 'CI', 'CLI', 'CNN', 'CSS', 'CV', 'DL', 'GAN', 'GCP', 'GPU', 'HF', 'IDE', 'ML', 'MR', 'NLP', 'NPU', 'OSS', 'REST', 'RL', 'RNN', 'SDK', 'SQL', 'TPU', 'UI', 'URL', 'VR', 'XR']) as x))", "cards")
+_ACRONYMS = ", ".join(f"('{k}', '{v}')" for k, v in L.ACRONYMS.items())
+
+
+@add("c5_j20_canonical_words", f"select w, coalesce(v, w) as canon from (select distinct lower(regexp_extract(title, '([A-Za-z]{{2,}})', 1)) as w from cards union select k from (values {_ACRONYMS}) as a(k, v)) left join (values {_ACRONYMS}) as b(k, v) on w = k where length(w) >= 2", "cards")
 def _(spark, sf):
     w = cards(spark, sf).select(F.lower(F.regexp_extract("title", "([A-Za-z]{2,})", 1)).alias("w")).filter(F.length("w") >= 2).distinct()
-    return L.canonical(w, L.load(spark), "w").filter(~F.col("w").isin(list(L.ACRONYMS)))
+    more = spark.createDataFrame([(x,) for x in L.ACRONYMS], "w string")
+    return L.canonical(w.union(more).distinct(), L.load(spark), "w")
 
 
-@add("c33_source_suffix", "select url, regexp_replace(title, '\\s+$', '') as title from cards where not contains(title, '|')", "cards")
+@add("c33_source_suffix", "select url, regexp_replace(title, '\\s+$', '') as title from cards", "cards")
 def _(spark, sf):
-    c = cards(spark, sf).filter(~F.col("title").contains("|"))
+    c = cards(spark, sf)
     return c.select("url", X.strip_source_suffix(F.concat("title", F.lit(" | "), "source")).alias("title"))
 
 
-@add("c14_keyword_columns", "select url, len(keywords)::int as n, len(keywords)::int as m from cards where len(keywords) > 0", "cards")
+@add("c14_keyword_columns", "select url, array_to_string(keywords, ' ') as a, array_to_string(keywords, ' ') as b, array_to_string(keywords, ' ') as c from cards", "cards")
 def _(spark, sf):
-    c = cards(spark, sf).filter(F.size("keywords") > 0)
-    return c.select("url", F.size(X.keywords_of(F.to_json("keywords"))).alias("n"), F.size(X.keywords_of(F.array_join("keywords", "|"))).alias("m"))
+    c, told = cards(spark, sf), lambda text: F.array_join(X.keywords_of(text), " ")
+    return c.select("url", told(F.to_json("keywords")).alias("a"), told(F.array_join("keywords", "|")).alias("b"), told(F.array_join("keywords", ",")).alias("c"))
 
 
-@add("a20_keyword_union", "select url, len(list_distinct(list_concat(keywords, [dimension, source])))::int as n from cards", "cards")
+@add("a20_keyword_union", f"select url, array_to_string(list_slice({_DISTINCT.format('ks')}, 1, 8), ',') as keywords, score from (select url, score, list_concat(keywords, list_concat([lower(dimension), lower(source)], ['x' || (doc_id % 7), 'y1', 'y2', 'y3', 'y4'])) as ks from scored)", "scored")
 def _(spark, sf):
-    return cards(spark, sf).select("url", F.size(F.slice(F.array_distinct(F.concat("keywords", F.array("dimension", "source"))), 1, 8)).alias("n"))
+    c = cut(scored_cards(spark, sf))
+    more = F.array("dimension", "source", F.concat(F.lit("x"), (F.col("doc_id") % 7).cast("string")), *(F.lit(f"y{i}") for i in range(1, 5)))
+    copy = c.withColumns({"url": F.concat("url", F.lit("?utm_source=x")), "keywords": more, "score": F.col("score") - 1})
+    with_key = lambda df: C.stored(df, as_of())
+    rows = with_key(c).unionByName(with_key(copy).withColumn("url", F.concat("url", F.lit("#copy"))))
+    return C.merge_duplicates(rows).select("url", F.array_join("keywords", ",").alias("keywords"), "score")
 
 
 @add("f11_p12_numbers", "select canon, case when mentions % 2 = 0 then mentions::double - 1 end as rise, case when mentions % 3 = 0 then 0 else heat end as num from sums", "sums")
@@ -253,14 +264,14 @@ def _(spark, sf):
 @add("j19_absent_terms", "select canon, case when mentions > 1 then heat else 0 end as hot from sums", "sums")
 def _(spark, sf):
     s = _sums(spark, sf)
-    kept = s.filter("mentions > 1").select("canon", F.lit(True).alias("kept"))
-    return s.join(kept, "canon", "left").select("canon", F.when(F.col("kept"), F.col("heat")).otherwise(0.0).alias("hot"))
+    return T.absent_at_zero(s.withColumn("hot", F.col("heat")), s.filter("mentions > 1")).select("canon", "hot")
 
 
 @add("p10_profiles", "select canon, least(m, 50)::int as news, mentions from (select canon, count(distinct coalesce(nullif(regexp_replace(lower(title), '[!?,.;:()\\[\\]\"'' \t]', '', 'g'), ''), url)) as m from links join scored using (url) group by canon) join (select canon, mentions from sums) using (canon)", "sums")
 def _(spark, sf):
     s = _sums(spark, sf).select("canon", "mentions", "win7", F.col("heat").alias("hot"), F.lit(None).cast("string").alias("explain_zh"), F.lit(None).cast("string").alias("explain_en"))
-    news = B.term_news(_links(spark, sf), scored_cards(spark, sf))
+    c = cut(scored_cards(spark, sf))
+    news = B.term_news(_links(spark, sf, c), c)
     m = models(spark, sf).withColumn("canon", F.lower("term"))
     static = s.limit(0).select("canon", F.lit("").alias("zh"), F.lit("").alias("en"))
     return B.profiles(s, news, T.trend(_snaps(spark, sf)), m, T.explanation(s, static)).select("canon", F.size("news").alias("news"), "mentions")

@@ -94,9 +94,9 @@ def _(spark, sf):
     return s.select("canon", T.display_name(F.col("canon"), model, surfaces, F.lit(None).cast("string")).alias("display"))
 
 
-@add("c35_clipped", "select url, length(title) <= 40 as whole from (select url, regexp_replace(trim(regexp_replace(title, '\\s+', ' ', 'g')), '^ +| +$', '', 'g') as title from cards)", "cards")
+@add("c35_clipped", "select url, case when length(t) <= 40 then t when contains(h, ' ') then regexp_replace(h, ' +[^ ]*$', '') || '…' else h || '…' end as clipped from (select url, t, rtrim(left(t, 39)) as h from (select url, trim(regexp_replace(title, '\\s+', ' ', 'g')) as t from cards))", "cards")
 def _(spark, sf):
-    return cards(spark, sf).select("url", (~X.clip_words(F.col("title"), 40).endswith("…")).alias("whole")).withColumn("whole", F.col("whole"))
+    return cards(spark, sf).select("url", X.clip_words(F.col("title"), 40).alias("clipped"))
 
 
 @add("c38_percentages", "select canon, round_even(cur_cnt * 100.0::double / mentions, 1) as pct from sums", "sums")
@@ -132,11 +132,17 @@ def _(spark, sf):
     return cards(spark, sf).agg(F.count("*").alias("n"))
 
 
-@add("u5_model_lists", "select distinct full_id from models", "models")
+@add("u5_model_lists", "select full_id, likes, side from (select *, row_number() over (partition by full_id order by side, pos) as n from (select full_id, likes, 0 as side, pos from models where pos % 2 = 0 union all select full_id, likes + 1, 1, pos from models)) where n = 1", "models")
 def _(spark, sf):
     m = models(spark, sf)
-    both = m.withColumn("side", F.lit(0)).unionByName(m.withColumn("side", F.lit(1)))
-    return B.keep_first(both, F.col("full_id"), "side", "pos").select("full_id")
+    both = m.filter("pos % 2 = 0").withColumn("side", F.lit(0)).unionByName(m.withColumns({"side": F.lit(1), "likes": F.col("likes") + 1}))
+    return B.keep_first(both, F.col("full_id"), "side", "pos").select("full_id", "likes", "side")
+
+
+@add("u8_flattened_lists", "select dimension, pos, doc_id from (select dimension, row_number() over (partition by dimension order by doc_id)::int - 1 as pos, doc_id from (select distinct dimension, doc_id from cards))", "cards")
+def _(spark, sf):
+    lists = cards(spark, sf).groupBy("dimension").agg(F.array_sort(F.collect_list("doc_id")).alias("items"))
+    return B.flattened(lists).select("dimension", "pos", F.col("item").alias("doc_id"))
 
 
 @add("u6_unseen", "select url from cards where doc_id % 4 <> 0", "cards")

@@ -9,6 +9,7 @@ from heatline.functions import text as X
 from heatline.operators import boards as B
 from heatline.operators import cards as C
 from heatline.operators import match, search
+from heatline.plans.refresh import cut
 from heatline.plans.standins import as_of, cards, models, read, scored_cards, sql
 
 Q, O = {}, {}
@@ -35,9 +36,15 @@ def _(spark, sf):
     return read(spark, sf, "pages").select("page_id", X.url_key(F.col("url")).alias("key"))
 
 
-@add("m2_duplicate_pages", f"select case when not contains(u, '?') then u when len({_KEPT}) = 0 then split_part(u, '?', 1) else split_part(u, '?', 1) || '?' || array_to_string({_KEPT}, '&') end as key, count(*) as n, min(page_id) as first_page from (select page_id, {_URL} as u from pages) group by all")
+@add("m2_duplicate_pages", f"""with keyed as (select page_id, raw, case when not contains(u, '?') then u when len({_KEPT}) = 0 then split_part(u, '?', 1) else split_part(u, '?', 1) || '?' || array_to_string({_KEPT}, '&') end as key from (select page_id, url as raw, {_URL} as u from pages))
+  select key as url, arg_max(page_id, (raw = key, page_id % 3 > 0, page_id % 5, raw, page_id)) as page, date '2024-01-01' + min(page_id % 9)::int as first_seen, date '2024-01-01' + max(page_id % 9)::int as refreshed from keyed group by key""")
 def _(spark, sf):
-    return read(spark, sf, "pages").groupBy(X.url_key(F.col("url")).alias("key")).agg(F.count("*").alias("n"), F.min("page_id").alias("first_page"))
+    day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") % 9).cast("int")).cast("timestamp")
+    words = F.when(F.col("page_id") % 3 > 0, F.array(F.lit("k"))).otherwise(F.array().cast("array<string>"))
+    rows = read(spark, sf, "pages").select("url", words.alias("keywords"), (F.col("page_id") % 5).alias("score"), "page_id", day.alias("first_seen_at"), day.alias("last_refresh_at"))
+    rows = rows.groupBy("url").agg(F.max_by(F.struct("keywords", "score", "page_id"), F.struct(F.col("page_id") % 3 > 0, "score", "page_id")).alias("x"), F.min("first_seen_at").alias("first_seen_at"), F.max("last_refresh_at").alias("last_refresh_at")).select("url", "x.*", "first_seen_at", "last_refresh_at")
+    made = C.merge_duplicates(rows)
+    return made.select("url", F.col("page_id").alias("page"), F.to_date("first_seen_at").alias("first_seen"), F.to_date("last_refresh_at").alias("refreshed"))
 
 
 _MARKS = "[' || '!！?？,，.。;；:：、()（）\\[\\]【】\"“”''‘’…~～「」『』' || ']"
@@ -54,33 +61,38 @@ def _(spark, sf):
     return C.first_of_titles(scored_cards(spark, sf), F.desc("score"), F.desc("published"), F.col("url")).select("url", "score")
 
 
-@add("c1_decode_page_titles", None)
+#: The references that titles of pages hold; each of the two passes goes over all of them.
+_PASS = "replace(replace(replace(replace(replace(replace({0}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', chr(39)), '&nbsp;', chr(160)), '&amp;', '&')"
+
+
+@add("c1_decode_page_titles", f"select page_id, trim(regexp_replace({_PASS.format(_PASS.format('t'))}, '[\\s\\x{{a0}}]+', ' ', 'g')) as title from (select page_id, regexp_extract(html, '<title[^>]*>(.*?)</title>', 1, 's') as t from pages)")
 def _(spark, sf):
     raw = F.regexp_extract("html", r"(?s)<title[^>]*>(.*?)</title>", 1)
     return read(spark, sf, "pages").select("page_id", X.squeeze(X.decode_text(raw)).alias("title"))
 
 
-@add("c34_content_words", "select doc_id, len(list_distinct(list_filter(regexp_extract_all(lower(left(text, 500)), '[a-z]{3,}'), lambda w: w not in ('the', 'a', 'an', 'of', 'for', 'and', 'to', 'in', 'on', 'with', 'is', 'are', 'new', 'via', 'from', 'how', 'why', 'what'))))::int as n from documents")
+@add("c34_content_words", "select doc_id, md5(array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(lower(coalesce(text, '')), '[a-z]{3,}'), lambda w: w not in ('the', 'a', 'an', 'of', 'for', 'and', 'to', 'in', 'on', 'with', 'is', 'are', 'new', 'via', 'from', 'how', 'why', 'what')))), ' ')) as words from documents")
 def _(spark, sf):
-    return read(spark, sf, "documents").select("doc_id", F.size(X.content_words(F.substring("text", 1, 500))).alias("n"))
+    return read(spark, sf, "documents").select("doc_id", F.md5(F.array_join(F.array_sort(X.content_words(F.col("text"))), " ")).alias("words"))
 
 
-@add("c16_clean_queries", "select doc_id, array_to_string(list_slice(list_filter(string_split_regex(left(text, 400), '\\s+'), lambda w: w <> ''), 1, 12), ' ') as q from documents where not regexp_matches(left(text, 400), '[\\x{4e00}-\\x{9fff}]')")
+@add("c16_clean_queries", "select doc_id, case when regexp_matches(t, '[\\x{4e00}-\\x{9fff}]') then left(t, 6) else array_to_string(list_slice(list_filter(string_split_regex(t, '\\s+'), lambda w: w <> ''), 1, 12), ' ') end as q from (select doc_id, trim(case when doc_id % 3 = 0 then text || ' 新闻' when doc_id % 5 = 0 then '新闻 新闻 ' || text else text end, ' ' || chr(9) || chr(10) || chr(13)) as t from documents)")
 def _(spark, sf):
-    d = read(spark, sf, "documents").select("doc_id", F.substring("text", 1, 400).alias("t"))
-    return d.filter(~X.has_cjk(F.col("t"))).select("doc_id", X.clean_query(F.col("t")).alias("q"))
+    d = read(spark, sf, "documents")
+    k = F.col("doc_id")
+    named = F.when(k % 3 == 0, F.concat("text", F.lit(" 新闻"))).when(k % 5 == 0, F.concat(F.lit("新闻 新闻 "), "text")).otherwise(F.concat(F.lit("Breaking : "), "text"))
+    return d.select("doc_id", X.clean_query(named).alias("q"))
 
 
-@add("f14_mixed_translations", "select doc_id, case when lang = 'en' then length(title) > 15 and length(regexp_replace(title, '[^A-Za-z]', '', 'g')) / length(title) > 0.6 else false end as mixed from (select doc_id, lang, left(text, 120) as title from documents) where title <> ''")
+@add("f14_mixed_translations", "select doc_id, case when lang = 'en' then length(title) > 15 and length(regexp_replace(title, '[^A-Za-z]', '', 'g')) / length(title) > 0.6 else false end as mixed from (select doc_id, lang, text as title from documents) where title <> ''")
 def _(spark, sf):
-    d = read(spark, sf, "documents").select("doc_id", F.when(F.col("lang") == "en", "en").otherwise("zh").alias("native"), F.substring("text", 1, 120).alias("title")).filter("title <> ''")
+    d = read(spark, sf, "documents").select("doc_id", F.when(F.col("lang") == "en", "en").otherwise("zh").alias("native"), F.col("text").alias("title")).filter("title <> ''")
     return d.select("doc_id", X.is_mixed(F.col("title"), F.col("native")).alias("mixed"))
 
 
-@add("c31_highlight", "select doc_id, replace(replace(regexp_replace(left(text, 100), '(and|the)', chr(1) || '\\1' || chr(2), 'gi'), chr(1), '<mark>'), chr(2), '</mark>') as marked from documents where not regexp_matches(left(text, 100), '[&<>\"'']')")
+@add("c31_highlight", "select doc_id, md5(replace(replace(replace(replace(replace(replace(replace(regexp_replace(coalesce(text, ''), '(and|the)', chr(1) || '\\1' || chr(2), 'gi'), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), chr(39), '&#x27;'), chr(1), '<mark>'), chr(2), '</mark>')) as marked from documents")
 def _(spark, sf):
-    d = read(spark, sf, "documents").select("doc_id", F.substring("text", 1, 100).alias("t")).filter(~F.col("t").rlike("[&<>\"']"))
-    return d.select("doc_id", X.highlight(F.col("t"), F.lit("And THE")).alias("marked"))
+    return read(spark, sf, "documents").select("doc_id", F.md5(X.highlight(F.col("text"), F.lit("And THE"))).alias("marked"))
 
 
 @add("s1_page_links", "select page_id, len(regexp_extract_all(html, '<a[^>]*href=\"([^\"]+)\"'))::int as links, len(regexp_extract_all(html, '<p[^>]*>'))::int as paragraphs from pages")
@@ -174,14 +186,13 @@ def _(spark, sf):
 
 # --- card table
 
-@add("a14_m1_upsert", "select url, score, active, first_seen from (select url, case when doc_id % 3 = 0 then score else score end as score, doc_id % 3 = 0 as active, case when doc_id % 2 = 0 then date '2024-01-10' else date '2024-01-31' end as first_seen from scored) where active or first_seen = date '2024-01-10'", "scored")
+@add("a14_m1_upsert", "select url, case when doc_id % 3 = 0 then score else 1 end as score, case when doc_id % 3 = 0 then trend else 7 end as trend, doc_id % 3 = 0 as active, case when doc_id % 2 = 0 then date '2024-01-10' else date '2024-01-31' end as first_seen, case when doc_id % 3 = 0 then date '2024-01-31' else date '2024-01-10' end as refreshed, array_to_string(keywords, ',') as keywords from scored where doc_id % 2 = 0 or doc_id % 3 = 0", "scored")
 def _(spark, sf):
-    c = scored_cards(spark, sf)
-    old = C.stored(c.filter("doc_id % 2 = 0").withColumn("score", F.lit(1)), F.lit("2024-01-10").cast("timestamp")).withColumn("score", F.lit(1).cast("long"))
+    c = cut(scored_cards(spark, sf))
+    old = C.stored(c.filter("doc_id % 2 = 0").withColumns({"score": F.lit(1), "trend": F.lit(7)}), F.lit("2024-01-10").cast("timestamp"))
     new = C.stored(c.filter("doc_id % 3 = 0"), as_of())
     made = C.upsert(old, new.unionByName(new.withColumn("url", F.concat("url", F.lit("?utm_source=x")))))
-    back = made.join(c.select("url", F.col("score").alias("s")), "url")
-    return back.select("url", F.when(F.col("active"), F.col("score")).otherwise(F.col("s")).alias("score"), "active", F.to_date("first_seen_at").alias("first_seen"))
+    return made.select("url", "score", "trend", "active", F.to_date("first_seen_at").alias("first_seen"), F.to_date("last_refresh_at").alias("refreshed"), F.array_join("keywords", ",").alias("keywords"))
 
 
 @add("u7_keyword_guard", "select url, len(list_filter(keywords, lambda k: k <> keywords[1]))::int as n_new, len(keywords) > 1 as kept from cards where len(keywords) > 0", "cards")
@@ -202,10 +213,10 @@ def _(spark, sf):
     return C.with_signals(c, c.filter("hn_points > 0")).select("url", "hn_points")
 
 
-@add("j14_a17_hn_signal", "select url, coalesce(nullif(max(case when rel then points end), 0), max(points)) as hn_points from (select q.url, q.doc_id % 7 as points, q.doc_id % 3 = 0 or len(list_intersect(cw, list_distinct(list_filter(regexp_extract_all(lower(left(title, 60)), '[a-z]{3,}'), lambda w: w not in ('the', 'and', 'for', 'are', 'with', 'new', 'via', 'from', 'how', 'why', 'what'))))) >= 2 as rel from (select *, list_distinct(list_filter(regexp_extract_all(lower(title), '[a-z]{3,}'), lambda w: w not in ('the', 'and', 'for', 'are', 'with', 'new', 'via', 'from', 'how', 'why', 'what'))) as cw from cards) q) group by url", "cards")
+@add("j14_a17_hn_signal", "select url, coalesce(nullif(max(case when rel then points end), 0), max(points)) as hn_points from (select q.url, q.doc_id % 7 as points, q.doc_id % 3 = 0 or len(list_intersect(cw, list_distinct(list_filter(regexp_extract_all(lower(case when doc_id % 2 = 0 then title else split_part(title, ' ', 1) end), '[a-z]{3,}'), lambda w: w not in ('the', 'and', 'for', 'are', 'with', 'new', 'via', 'from', 'how', 'why', 'what'))))) >= 2 as rel from (select *, list_distinct(list_filter(regexp_extract_all(lower(title), '[a-z]{3,}'), lambda w: w not in ('the', 'and', 'for', 'are', 'with', 'new', 'via', 'from', 'how', 'why', 'what'))) as cw from cards) q) group by url", "cards")
 def _(spark, sf):
     c = cards(spark, sf)
-    hits = c.select("url", "title", (F.col("doc_id") % 7).alias("points"), F.when(F.col("doc_id") % 3 == 0, "http://H.example/a").otherwise("http://other.org").alias("hit_url"), F.substring("title", 1, 60).alias("hit_title"))
+    hits = c.select("url", "title", (F.col("doc_id") % 7).alias("points"), F.when(F.col("doc_id") % 3 == 0, "http://H.example/a").otherwise("http://other.org").alias("hit_url"), F.when(F.col("doc_id") % 2 == 0, F.col("title")).otherwise(F.element_at(F.split("title", " "), 1)).alias("hit_title"))
     return C.hn_signal(hits)
 
 

@@ -102,7 +102,7 @@ def refresh_terms(cards: DataFrame, current: DataFrame, models: DataFrame, old:
     terms = cut(scored.withColumn("display", display).join(wide, "canon", "left").withColumn("display_zh", F.coalesce("display_zh", "lexical_zh")).drop("surfaces", "lexical_name", "lexical_zh", "old_display"))
 
     now = terms.select(F.col("canon").alias("term"), F.lit(cycle).alias("cycle"), F.col("cur_cnt").alias("news_cnt"), F.col("win7").alias("win7_cnt"), F.col("cur_score").alias("score_sum"), F.bround("cur_signal", 1).alias("signal_sum"))
-    gone = pool.join(terms.select("canon"), "canon", "left_anti").filter(~F.col("canon").isin(media))
+    gone = T.without_outlets(pool.hint("merge").join(terms.select("canon"), "canon", "left_anti"), outlets)
     zeros = gone.select("canon", "display", "display_zh", F.col("display_en").alias("stored_en"), "first_seen_at", "likes").withColumns({"hot": F.lit(0.0), "rise": F.lit(0.0), "novelty": F.lit(0.0), "mentions": F.lit(0).cast("long"), "win7": F.lit(0).cast("long")})
     cols = ["canon", "display", "display_zh", "stored_en", "first_seen_at", "likes", "hot", "rise", "novelty", "mentions", "win7"]
     whole = terms.select(*cols, "origin", "full_id", "dims").unionByName(zeros.select(*cols), allowMissingColumns=True)

@@ -21,7 +21,7 @@ SQL["sums"] = """select canon, count(*) as mentions, coalesce(sum(case when publ
   count(*) filter (where published >= date '2024-01-24') as win7, min(published) as earliest, max(published) as latest,
   count(*) filter (where doc_id % 3 = 0) as cur_cnt, coalesce(sum(score) filter (where doc_id % 3 = 0), 0)::bigint as cur_score, coalesce(sum(signal) filter (where doc_id % 3 = 0), 0) as cur_signal
   from links join scored using (url) group by canon"""
-SQL["snaps"] = "select l_suppkey::varchar as term, strftime(l_shipdate, '%Y-%m-%d') || case when l_linenumber % 2 = 0 then '-08' else '-20' end as cycle, count(*) as news_cnt, count(distinct l_orderkey) as win7_cnt from lineitem where l_suppkey <= 60 group by all"
+SQL["snaps"] = "select l_suppkey::varchar as term, strftime(l_shipdate, '%Y-%m-%d') || case when l_linenumber % 2 = 0 then '-08' else '-20' end as cycle, count(*) as news_cnt, count(distinct l_orderkey) as win7_cnt from lineitem group by all"
 _NEEDS = {"links": ["lab", "cards", "scored"], "sums": ["lab", "cards", "scored", "links"]}
 from heatline.plans import standins as _standins  # noqa: E402
 
@@ -53,14 +53,14 @@ def _sums(spark, sf):
 
 
 def _snaps(spark, sf):
-    line = read(spark, sf, "lineitem").filter("l_suppkey <= 60")
+    line = read(spark, sf, "lineitem")
     cycle = F.concat(F.date_format("l_shipdate", "yyyy-MM-dd"), F.when(F.col("l_linenumber") % 2 == 0, "-08").otherwise("-20"))
     return line.groupBy(F.col("l_suppkey").cast("string").alias("term"), cycle.alias("cycle")).agg(F.count("*").alias("news_cnt"), F.count_distinct("l_orderkey").alias("win7_cnt"))
 
 
 @add("j6_keyword_links", "select url, canon from links", "links")
 def _(spark, sf):
-    c = scored_cards(spark, sf)
+    c = cut(scored_cards(spark, sf))
     words = c.select(F.explode("keywords").alias("word")).distinct().withColumn("canon", F.col("word"))
     return T.keyword_links(c, words)
 
@@ -98,13 +98,15 @@ def _(spark, sf):
 
 @add("w4_top_news", "select canon, rank, url from (select canon, url, row_number() over (partition by canon order by score desc, published desc, url)::int as rank from (select *, row_number() over (partition by canon, coalesce(nullif(regexp_replace(lower(title), '[!?,.;:()\\[\\]\"'' \t]', '', 'g'), ''), url) order by score desc, published desc, url) as m from links join scored using (url)) where m = 1) where rank <= 3", "links")
 def _(spark, sf):
-    top = T.top_news(_links(spark, sf), scored_cards(spark, sf))
+    c = cut(scored_cards(spark, sf))
+    top = T.top_news(_links(spark, sf, c), c)
     return top.select("canon", F.posexplode("top_news").alias("p", "c")).select("canon", (F.col("p") + 1).alias("rank"), F.col("c.official_url").alias("url"))
 
 
 @add("t9_term_news", "select canon, rank, url from (select canon, url, row_number() over (partition by canon order by score desc, published desc, url)::int as rank from (select *, row_number() over (partition by canon, coalesce(nullif(regexp_replace(lower(title), '[!?,.;:()\\[\\]\"'' \t]', '', 'g'), ''), url) order by score desc, published desc, url) as m from links join scored using (url)) where m = 1) where rank <= 50", "links")
 def _(spark, sf):
-    return B.term_news(_links(spark, sf), scored_cards(spark, sf)).select("canon", "rank", "url")
+    c = cut(scored_cards(spark, sf))
+    return B.term_news(_links(spark, sf, c), c).select("canon", "rank", "url")
 
 
 @add("j12_current_counters", "select canon, cur_cnt, cur_score from sums where cur_cnt > 0", "sums")
@@ -142,11 +144,8 @@ def _(spark, sf):
 
 @add("w12_sliding_mentions", "select canon, published, sum(n) over (partition by canon order by published range between interval 7 days preceding and current row)::bigint as mentions from (select canon, published, count(*) as n from links join scored using (url) group by all)", "links")
 def _(spark, sf):
-    from pyspark.sql import Window
-
-    by = _links(spark, sf).join(scored_cards(spark, sf).select("url", "published"), "url").groupBy("canon", "published").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("canon").orderBy(F.datediff("published", F.lit("2024-01-01"))).rangeBetween(-7, 0)
-    return by.select("canon", "published", F.sum("n").over(w).alias("mentions"))
+    c = cut(scored_cards(spark, sf))
+    return T.sliding_mentions(_links(spark, sf, c), c)
 
 
 @add("a19_best_models", "select base as canon, full_id, likes from (select *, row_number() over (partition by base order by trending_score desc, pos) as n from (select *, regexp_replace(lower(split_part(full_id, '/', -1)), '-(gguf|fp8|fp16|bf16|mlx|awq|gptq|int8|int4|uncensored|obli?(terat)?ed|instruct|chat|base)(-.*)?$', '') as base from models)) where n = 1", "models")
@@ -164,7 +163,7 @@ def _(spark, sf):
 @add("f7_t6_index", "select canon, mentions, heat as hot from sums where mentions >= 2 and heat >= 0 order by hot desc, mentions desc, canon limit 500", "sums")
 def _(spark, sf):
     s = _sums(spark, sf).withColumns({"hot": F.col("heat"), "origin": F.lit("news"), "full_id": F.lit(None).cast("string")})
-    return s.filter(T.indexable(s)).orderBy(F.desc("hot"), F.desc("mentions"), "canon").limit(500).select("canon", "mentions", "hot")
+    return T.index(s).select("canon", "mentions", "hot")
 
 
 @add("t1_s28_word_board", "select canon as id, heat as hot from sums order by heat desc, canon limit 60", "sums")
@@ -175,7 +174,8 @@ def _(spark, sf):
 
 @add("f4_m8_media", "select l.url, l.canon from links l join scored s using (url) where length(l.canon) > 5 or regexp_matches(lower(s.title), '(^|[^a-z0-9])' || l.canon || '([^a-z0-9.]|\\.[^0-9]|\\.?$)')", "links")
 def _(spark, sf):
-    links, c, lex = _links(spark, sf), scored_cards(spark, sf), L.load(spark)
+    c, lex = cut(scored_cards(spark, sf)), L.load(spark)
+    links = _links(spark, sf, c)
     media = links.filter(F.length("canon") <= 5).select("canon").distinct()
     return T.without_media(links, c, media, lex)
 

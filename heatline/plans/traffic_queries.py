@@ -157,8 +157,30 @@ def _(spark, sf):
     return T.apply_slot_changes(s, changes).select("slot_id", "name", "active")
 
 
-@add("st3_rate_limit", None)
+@add("st3_rate_limit", """with recursive h as (select user_id::varchar as key, ts::timestamp as ts from events), begun as (
+    select key, min(ts) as s from h group by key
+    union all select key, n from (select begun.key, min(h.ts) as n from begun join h on h.key = begun.key and h.ts >= begun.s + interval 6 hour group by begun.key) where n is not null
+  ), told as (select h.key, h.ts, begun.s, row_number() over (partition by h.key, begun.s order by h.ts) as n from h asof join begun on h.key = begun.key and h.ts >= begun.s)
+  select 'event' as bucket, key, ts, n <= 3 as allowed, case when n <= 3 then 0 else greatest(1, floor(21600 - epoch_us(ts - s) / 1000000.0)::int + 1) end as retry_after from (select *, ts - s as d from told)""".replace("epoch_us(ts - s)", "(epoch_us(ts) - epoch_us(s))"))
 def _(spark, sf):
     e = read(spark, sf, "events")
     hits = e.select(F.lit("event").alias("bucket"), F.col("user_id").cast("string").alias("key"), F.col("ts").cast("timestamp").alias("ts"))
     return T.rate_limit(hits, 3, 6 * 3600)
+
+
+@add("a8_page_views", "select count(*) as views from visits where date >= date '2024-01-24' union all select count(*) from visits where date >= date '2030-01-01'", "visits")
+def _(spark, sf):
+    v = visits(spark, sf)
+    return T.page_views(v, as_of(), 7).unionByName(T.page_views(v.filter("date >= '2030-01-01'"), as_of(), 7))
+
+
+@add("a9_page_view_counters", "select date, count(*) as views from visits group by date", "visits")
+def _(spark, sf):
+    return T.page_view_counters(visits(spark, sf))
+
+
+@add("s22_slots_or_file", "select slot_id, name from slots union all select 'x' || slot_id, name from slots", "slots")
+def _(spark, sf):
+    s = slots(spark, sf).select("slot_id", "name")
+    file = s.withColumn("slot_id", F.concat(F.lit("x"), "slot_id"))
+    return T.slots_or(s, file).unionByName(T.slots_or(s.limit(0), file))

@@ -33,6 +33,12 @@ def publish(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> int
     return n
 
 
+def publish_once(spark: SparkSession, path: str, number: int, make) -> None:
+    """Writes make() as version `number`, unless that version or a later one is whole already."""
+    if max(versions(spark, path), default=0) < number:
+        make().write.mode("overwrite").parquet(f"{path}/v{number}")
+
+
 def latest(spark: SparkSession, path: str) -> DataFrame | None:
     found = versions(spark, path)
     return spark.read.parquet(f"{path}/v{found[-1]}") if found else None
@@ -47,3 +53,13 @@ def put_cycle(snapshots: DataFrame, path: str) -> None:
 def write_board(words: DataFrame, path: str, n: int = 200) -> None:
     """The n hottest words as one ranked file."""
     words.orderBy(F.desc("hot"), "id").limit(n).coalesce(1).write.mode("overwrite").json(path)
+
+
+def publish_pool(cards: DataFrame, path: str) -> int:
+    """The neutral pool: cards without the columns that depend on a reader's language, by dimension."""
+    return publish(cards.drop("title", "summary"), path, ("dimension",))
+
+
+def publish_tops(ranked: DataFrame, path: str) -> int:
+    """The first cards of each dimension, as top_per_dimension() ranks them, in a folder for each."""
+    return publish(ranked, path, ("dimension",))

@@ -97,11 +97,42 @@ def rate_limit(hits: DataFrame, limit: int, window: int = 60, late: str = "1 min
 
 
 def refresh_on_batches(items: DataFrame, path: str, merge, checkpoint: str):
-    """Each micro-batch of landed items makes the next version of the table at path: merge(table or None, batch)."""
-    from heatline.sources.sinks import latest, publish
+    """Each micro-batch of landed items makes the next version of the table at path: merge(table or None, batch).
 
-    def step(batch: DataFrame, _: int) -> None:
+    A version carries the number of its batch, so a batch that is replayed after a failure isn't merged again."""
+    from heatline.sources.sinks import latest, publish_once
+
+    def step(batch: DataFrame, number: int) -> None:
         if not batch.isEmpty():
-            publish(merge(latest(batch.sparkSession, path), batch), path)
+            publish_once(batch.sparkSession, path, number + 1, lambda: merge(latest(batch.sparkSession, path), batch))
+
+    return items.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def refresh_cycles(items: DataFrame, path: str, checkpoint: str, models: DataFrame, lexicon: DataFrame, as_of, cycle: str, stopwords: list[str], media: list[str]):
+    """Each micro-batch of items with signals as one cycle: the card table's next version, then the term pool, snapshots
+    and word board from it, each a version of its own under path, numbered by the batch."""
+    from heatline.functions.scores import community
+    from heatline.operators import cards as C
+    from heatline.plans.refresh import refresh_terms
+    from heatline.sources.sinks import latest, publish_once
+
+    def step(batch: DataFrame, number: int) -> None:
+        if batch.isEmpty():
+            return
+        spark, n = batch.sparkSession, number + 1
+        fresh = C.stored(C.item_cards(batch, as_of), as_of)
+        publish_once(spark, f"{path}/cards", n, lambda: fresh if (old := latest(spark, f"{path}/cards")) is None else C.upsert(old, fresh))
+        cards = latest(spark, f"{path}/cards")
+        current = cards.filter("active").select("url", community(F.col("hn_points"), F.col("reddit_score"), F.col("reddit_comments")).alias("signal"))
+        old, snaps = latest(spark, f"{path}/terms"), latest(spark, f"{path}/snapshots")
+        if old is None:
+            old = spark.createDataFrame([], "term string, display string, display_zh string, display_en string, first_seen_at timestamp, likes long")
+            snaps = spark.createDataFrame([], "term string, cycle string, news_cnt long, win7_cnt long, score_sum long, signal_sum double")
+        else:
+            old = old.select(F.col("canon").alias("term"), "display", "display_zh", F.col("stored_en").alias("display_en"), "first_seen_at", "likes")
+        made = refresh_terms(cards, current, models, old, snaps, lexicon, as_of, cycle, stopwords, media)
+        for name, df in (("snapshots", made.snapshots), ("words", made.words), ("terms", made.terms)):
+            publish_once(spark, f"{path}/{name}", n, lambda df=df: df)
 
     return items.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
