@@ -1,7 +1,9 @@
-"""What the corpus operators share: reading tables and cutting lineage."""
+"""What the corpus operators share: reading tables, and intermediate tables in the shared folder."""
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -10,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: What the end of a paragraph of words is split at: ASCII white space.
 SPACES = r"[\x20\x09-\x0D]+"
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_left: dict[str, SparkSession] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,28 +21,59 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the session names none, as in tests."""
+    """The folder that driver and executors share, as the session names it. A session on one machine may name none, as
+    in tests, and gets a temporary one; on a cluster that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         context = spark.sparkContext
         if not context._jsc.sc().getCheckpointDir().isDefined():
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise ValueError("spark.checkpoint.dir has to name a folder that all machines share")
             context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-heatline-"))
         found = context._jsc.sc().getCheckpointDir().get()
     return found.rstrip("/")
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+class Scratch:
+    """Intermediate tables of one run, in a folder of their own. Losing an executor costs no recomputation of them, and a
+    join on them sees true sizes. Shuffle files of a write go when it ends, and a table when drop() names it; the tables
+    that a lazy result still reads go with clear(), or when the driver ends."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.path = spark, f"{shared_dir(spark)}/heatline/{name}-{uuid.uuid4().hex}"
+        _left[self.path] = spark
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        was = self.spark.conf.get(_CLEANUP, "false")
+        self.spark.conf.set(_CLEANUP, "true")
+        try:
+            df.write.option("compression", "zstd").parquet(f"{self.path}/{name}")
+        finally:
+            self.spark.conf.set(_CLEANUP, was)
+        return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            _delete(self.spark, f"{self.path}/{name}")
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df, written to the shared folder as Parquet and read back, so that losing an executor costs no recomputation
-    and a join sees true sizes. Each call takes a folder of its own."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/heatline/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """df as an intermediate table of its own."""
+    return Scratch(df.sparkSession, name).write(df, "table")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+@atexit.register
+def clear() -> None:
+    """Deletes the intermediate tables of all runs so far: call it once their results are written."""
+    for path, spark in list(_left.items()):
+        with contextlib.suppress(Exception):  # the session may have ended before
+            _delete(spark, path)
+        _left.pop(path, None)
 
 
 def fold(key: Column, parts: int) -> Column:

@@ -1,16 +1,20 @@
 """Near-duplicates by Jaccard similarity of word shingles: every pair at or above the bound, none below it.
 
-A text is the set of its `width`-word shingles, as 64-bit hashes. Two sets of similarity t or more share an element
-among the first n - ceil(t*n) + 1 of each, in any order that all sets agree on (prefix filter), so pairs meet at those
-elements alone; sizes and places in the order rule out most of them (Xiao et al. 2008), and the rest are compared whole.
-No pair is lost. The order is by hash, with shingles that are common in a sixteenth of the texts last: which ones those
-are changes the cost, not the result. Equal sets are collapsed first.
+Two ways find pairs, and each pair is verified by its whole sets. First, covering LSH over SimHash fingerprints of the
+shingles (see simhash.py) links texts that lie within two bits, and their components make groups. At a similarity of 0.8
+fingerprints lie up to 16 bits apart, and masks that cover 16 bits would need 2^17 - 1 tables, so that alone isn't whole.
+Therefore a prefix filter finds the pairs that the groups leave: two sets of similarity t or more share an element among
+the first n - ceil(t*n) + 1 of each, in any order that all sets agree on, so pairs of different groups meet at those
+elements alone; sizes and places in the order rule out most of them (Xiao et al. 2008). No pair is lost. The order is by
+hash, with shingles that are common in a sixteenth of the texts last: which ones those are changes the cost, not the
+result. Equal sets are collapsed before all this.
 
 At an element of more than SMALL sets, each is first compared with the least of its size; only pairs that the links
 found so far leave in different groups are compared after that. No element is capped.
 
-Null and empty texts have the empty set and are copies of each other. Rows with a null id are copies of nothing. An id
-repeated with different texts ties its groups. An empty table gives an empty result; other columns are not read.
+Null and empty texts have the empty set and are copies of each other. Rows with a null id are copies of nothing. Ids are
+integers; an id repeated with different texts ties its groups. An empty table gives an empty result; other columns are
+not read, and texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -24,8 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heatline.llm.common import written
-from heatline.llm.simhash import components
+from heatline.llm.common import Scratch
+from heatline.llm.simhash import components, links, majority
 
 #: Sets at an element up to which its pairs are compared one by one; how many common shingles are sent to the tasks.
 SMALL, COMMON = 32, 500_000
@@ -82,11 +86,11 @@ def _common(rows: DataFrame, width: int) -> np.ndarray:
     return np.array(sorted(r.s for r in counts.orderBy(F.desc("n"), "s").limit(COMMON).collect()), np.int64)
 
 
-def _near(rows: DataFrame, pairs: DataFrame, least: Fraction, width: int) -> DataFrame:
+def _near(rows: DataFrame, pairs: DataFrame, least: Fraction, width: int, scratch: Scratch, name: str) -> DataFrame:
     """pairs(a, b) of ids whose sets have the similarity."""
-    pairs = written(pairs.distinct(), "pairs")
-    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "candidates")
-    sets = written(_mapped(rows.join(ids, "id", "left_semi"), lambda t: ((found := shingles(t, width)), counts(found), len(found)), "s array<long>, counts binary, n long"), "sets")
+    pairs = scratch.write(pairs.distinct(), f"{name}-pairs")
+    ids = scratch.write(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), f"{name}-candidates")
+    sets = scratch.write(_mapped(rows.join(ids, "id", "left_semi"), lambda t: ((found := shingles(t, width)), counts(found), len(found)), "s array<long>, counts binary, n long"), f"{name}-sets")
     short = sets.select("id", "counts", "n")
     both = pairs.hint("merge").join(short.toDF("a", "counts", "n"), "a").hint("merge").join(short.toDF("b", "counts2", "n2"), "b")
 
@@ -100,12 +104,14 @@ def _near(rows: DataFrame, pairs: DataFrame, least: Fraction, width: int) -> Dat
                 keep = (most * (p + q) >= n * p) | ((x == 255) & (y == 255)).any(1)
                 yield part.filter(pa.array(keep)).select(["a", "b"])
 
-    pairs = written(both.select("a", "b", "counts", "n", "counts2", "n2").mapInArrow(may, "a long, b long"), "likely")
-    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "likely_ids")
+    pairs = scratch.write(both.select("a", "b", "counts", "n", "counts2", "n2").mapInArrow(may, "a long, b long"), f"{name}-likely")
+    ids = scratch.write(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), f"{name}-likely_ids")
     sets = sets.select("id", "s").join(ids, "id", "left_semi")
     both = pairs.hint("merge").join(sets.toDF("a", "s"), "a").hint("merge").join(sets.toDF("b", "s2"), "b")
     shared = F.size(F.array_intersect("s", "s2"))
-    return written(both.filter(shared * least.denominator >= (F.size("s") + F.size("s2") - shared) * least.numerator).select("a", "b").distinct(), "near")
+    found = scratch.write(both.filter(shared * least.denominator >= (F.size("s") + F.size("s2") - shared) * least.numerator).select("a", "b").distinct(), name)
+    scratch.drop(*(f"{name}-{x}" for x in ("pairs", "candidates", "sets", "likely", "likely_ids")))
+    return found
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: str = "0.8", width: int = 5) -> DataFrame:
@@ -119,14 +125,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
         found = shingles(text, width)
         k1, k2 = np.frombuffer(xxh3_128_digest(found.tobytes()), np.int64).tolist()
-        return k1, k2, len(found), prefix(found, least, sent.value)
-
-    made = written(_mapped(rows, make, "k1 long, k2 long, n long, first array<long>"), "shingles")
-    nodes = written(made.groupBy("k1", "k2").agg(F.min("id").alias("node")), "nodes")
-    ones = made.hint("merge").join(nodes.withColumnRenamed("node", "id"), ["k1", "k2", "id"], "left_semi")
-    keys = ones.select(F.col("id").alias("node"), "n", F.posexplode("first").alias("i", "key"))
-    sizes = keys.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1")
-    met = written(keys.hint("merge").join(sizes, "key"), "met")
+        return k1, k2, majority(found), len(found), prefix(found, least, sent.value)
+
+    scratch = Scratch(spark, "copies")
+    made = scratch.write(_mapped(rows, make, "k1 long, k2 long, fp long, n long, first array<long>"), "shingles")
+    nodes = scratch.write(made.groupBy("k1", "k2").agg(F.min("id").alias("node"), F.any_value("fp").alias("fp")), "nodes")
+    prints = scratch.write(nodes.groupBy("fp").agg(F.min("node").alias("least")), "prints")
+    equal = nodes.hint("merge").join(prints, "fp").filter("node > least").select(F.col("node").alias("a"), F.col("least").alias("b"))
+    linked = _near(rows, links(prints.select(F.col("least").alias("node"), "fp"), scratch).union(equal), least, width, scratch, "linked")
+    scratch.drop("buckets", "prints")
+    groups = scratch.write(components(linked, scratch, "first"), "first_groups")
+
+    ones = made.hint("merge").join(nodes.select("k1", "k2", F.col("node").alias("id")), ["k1", "k2", "id"], "left_semi")
+    ones = ones.withColumnRenamed("id", "node").hint("merge").join(groups, "node", "left")
+    keys = scratch.write(ones.select("node", "n", F.coalesce("component", "node").alias("c"), F.posexplode("first").alias("i", "key")), "keys")
+    sizes = keys.groupBy("key").agg(F.count("*").alias("m"), F.min("c").alias("x"), F.max("c").alias("y")).filter("x < y").select("key", "m")
+    met = scratch.write(keys.hint("merge").join(sizes, "key"), "met")
+    scratch.drop("keys", "first_groups")
 
     def fit(n, i, n2, i2):
         """Sizes allow the similarity, and so do the elements left after this one."""
@@ -134,26 +149,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return (F.least(n, n2) * q >= F.greatest(n, n2) * p) & (F.least(n - i, n2 - i2) * (p + q) >= (n + n2) * p)
 
     def pairs(left, right):
-        two = right.select("key", F.col("node").alias("b"), F.col("n").alias("n2"), F.col("i").alias("i2"), *(F.col(c).alias(f"{c}2") for c in right.columns if c == "c"))
-        return left.hint("merge").join(two, "key").filter(fit(F.col("n"), F.col("i"), F.col("n2"), F.col("i2")))
+        two = right.select("key", F.col("node").alias("b"), F.col("n").alias("n2"), F.col("i").alias("i2"), F.col("c").alias("c2"))
+        return left.hint("merge").join(two, "key").filter(fit(F.col("n"), F.col("i"), F.col("n2"), F.col("i2"))).filter("c != c2")
 
     small = met.filter(F.col("m") <= SMALL)
     found = pairs(small, small).filter("node > b").select(F.col("node").alias("a"), "b")
     large = met.filter(F.col("m") > SMALL).withColumn("band", F.floor(F.log("n") / math.log(1 / float(least))))
-    hubs = large.groupBy("key", "band").agg(F.min("node").alias("b"))
-    stars = large.hint("merge").join(hubs, ["key", "band"]).filter("node > b").select(F.col("node").alias("a"), "b")
+    hubs = large.groupBy("key", "band").agg(F.min(F.struct("node", "c")).alias("hub"))
+    stars = large.hint("merge").join(hubs, ["key", "band"]).filter("node > hub.node and c != hub.c").select(F.col("node").alias("a"), F.col("hub.node").alias("b"))
     # An id with several texts ties their groups.
     ids = made.groupBy("id").agg(F.min(F.struct("k1", "k2")).alias("x"), F.max(F.struct("k1", "k2")).alias("y")).filter("x < y").select("id")
     ties = made.join(ids, "id", "left_semi").hint("merge").join(nodes, ["k1", "k2"]).filter("id > node").select(F.col("id").alias("a"), F.col("node").alias("b"))
-    edges = _near(rows, found.union(stars), least, width).union(ties).distinct()
-    groups = written(components(edges), "groups")
+    edges = _near(rows, found.union(stars), least, width, scratch, "near").union(linked).union(ties).distinct()
+    groups = scratch.write(components(edges, scratch, "second"), "groups")
     if not large.isEmpty():
-        own = large.hint("merge").join(groups, "node", "left").withColumn("c", F.coalesce("component", "node")).select("key", "node", "n", "i", "c")
+        own = large.drop("c").hint("merge").join(groups, "node", "left").withColumn("c", F.coalesce("component", "node")).select("key", "node", "n", "i", "c")
         by = own.groupBy("key", "c").agg(F.count("*").alias("m")).groupBy("key").agg(F.max_by("c", F.struct("m", "c")).alias("most"), F.count("*").alias("groups")).filter("groups > 1")
-        split = written(own.hint("merge").join(by, "key"), "split")
+        split = scratch.write(own.hint("merge").join(by, "key"), "split")
         rest = split.filter("c != most")  # each pair of two groups has one outside the largest
-        left = pairs(rest.select("key", "node", "n", "i", "c"), split.select("key", "node", "n", "i", "c")).filter("c != c2")
-        more = _near(rows, left.select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")), least, width)
-        groups = components(edges.union(more).distinct())
+        left = pairs(rest.select("key", "node", "n", "i", "c"), split.select("key", "node", "n", "i", "c"))
+        more = _near(rows, left.select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")), least, width, scratch, "more")
+        scratch.drop("split")
+        groups = components(edges.union(more).distinct(), scratch, "third")
+    scratch.drop("met")
     roots = nodes.hint("merge").join(groups, "node", "left").select("k1", "k2", F.coalesce("component", "node").alias("component_id"))
     return made.select("id", "k1", "k2").hint("merge").join(roots, ["k1", "k2"]).select(F.col("id").alias(id_col), "component_id")

@@ -10,7 +10,7 @@ each fingerprint emits itself and its 64 one-bit neighbours; those that share on
 other, and any two within two bits share one, so tying each to the least of them gives the same components from
 65 rows a fingerprint in place of all pairs. No bucket is capped.
 
-Null and empty texts have fingerprint zero and link like any other. Rows with a null id get a fingerprint and a null
+Null and empty texts have fingerprint zero and link like any other; texts of any length are read whole. Ids are integers. Rows with a null id get a fingerprint and a null
 component. Repeated ids are one node each. An empty table gives an empty result; other columns are not read.
 """
 
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heatline.llm.common import checkpointed, written
+from heatline.llm.common import Scratch
 
 #: Fingerprints in a bucket up to which its pairs are compared one by one.
 SMALL = 32
@@ -43,11 +43,16 @@ def fingerprint(text: str | None, width: int = 3) -> int:
         ends = np.cumsum([len(w) + 1 for w in words]).tolist()
         starts = [0, *ends]
         hashes = [xxh64_intdigest(line[a : b - 1], 42) for a, b in zip(starts, ends[width - 1 :])]
-    n, counts = len(hashes), np.zeros(64, np.int64)
-    for at in range(0, n, 4096):
-        block = np.array(hashes[at : at + 4096], ">u8")
+    return majority(np.array(hashes, np.uint64))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The signed number of the bits that are set in over half of 64-bit hashes; 0 for none."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 4096):
+        block = hashes[at : at + 4096].view(np.uint64).astype(">u8")
         counts += np.unpackbits(block.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(counts * 2 > n).tobytes(), "big", signed=True)
+    return int.from_bytes(np.packbits(counts * 2 > len(hashes)).tobytes(), "big", signed=True)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
@@ -71,14 +76,14 @@ def masks(radius: int, bits: int = 64) -> list[int]:
     return found
 
 
-def links(nodes: DataFrame, radius: int = 2) -> DataFrame:
+def links(nodes: DataFrame, scratch: Scratch, radius: int = 2) -> DataFrame:
     """nodes(node long, fp long), fp distinct -> (a, b) with a > b: links whose components are those of all pairs within
     the radius (1 or 2)."""
     if radius not in (1, 2):
         raise ValueError("radius must be 1 or 2")
     tables = nodes.select("node", "fp", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(m)) for m in masks(radius)))).alias("t", "key"))
     sizes = tables.groupBy("t", "key").agg(F.count("*").alias("n")).filter("n > 1")
-    met = written(tables.hint("merge").join(sizes, ["t", "key"]), "buckets")
+    met = scratch.write(tables.hint("merge").join(sizes, ["t", "key"]), "buckets")
     small = met.filter(F.col("n") <= SMALL).drop("n")
     other = small.select("t", "key", F.col("node").alias("node2"), F.col("fp").alias("fp2"))
     pairs = small.hint("merge").join(other, ["t", "key"]).filter((F.col("node") > F.col("node2")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= radius)).select(F.col("node").alias("a"), F.col("node2").alias("b"))
@@ -94,22 +99,23 @@ def links(nodes: DataFrame, radius: int = 2) -> DataFrame:
     return pairs.union(stars).distinct()
 
 
-def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch, name: str = "edges", rounds: int = 100) -> DataFrame:
     """edges(a, b) with a > b -> (node, component): the least node that each can reach.
 
     Alternating large-star and small-star steps (Kiveris et al. 2014). Each is a grouped minimum and a merge join, which
-    splits hub nodes; each round is written to the shared checkpoint folder. Ends when no edge changes."""
-    now = checkpointed(edges)
-    for _ in range(rounds):
+    splits hub nodes; each round is written to the shared folder, and its forerunner deleted. Ends when no edge changes."""
+    now = scratch.write(edges, f"{name}0")
+    for k in range(rounds):
         both = now.union(now.select("b", "a").toDF("a", "b"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.hint("merge").join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         met = large.hint("merge").join(least, "a")
-        then = checkpointed(met.filter("b > m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.toDF("a", "b")).distinct())
+        then = scratch.write(met.filter("b > m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.toDF("a", "b")).distinct(), f"{name}{k + 1}")
         mix = lambda df: df.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))")).first()
         if mix(then) == mix(now):
             break
+        scratch.drop(f"{name}{k}")
         now = then
     else:
         raise RuntimeError(f"components didn't settle in {rounds} rounds")
@@ -118,12 +124,14 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2, width: int = 3) -> DataFrame:
     """(id, fingerprint, component_id) for each row; component_id is the smallest id reachable over links."""
-    prints = written(fingerprints(docs, id_col, text_col, width), "fingerprints")
-    nodes = written(prints.filter(F.col(id_col).isNotNull()).groupBy("fp").agg(F.min(id_col).cast("long").alias("node")), "nodes")
+    scratch = Scratch(docs.sparkSession, "simhash")
+    prints = scratch.write(fingerprints(docs, id_col, text_col, width), "fingerprints")
+    nodes = scratch.write(prints.filter(F.col(id_col).isNotNull()).groupBy("fp").agg(F.min(id_col).cast("long").alias("node")), "nodes")
     # An id repeated with different texts ties its fingerprints together.
     ids = prints.filter(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min("fp").alias("fp"), F.max("fp").alias("most")).filter("fp < most").select(id_col)
     repeated = prints.join(ids, id_col, "left_semi").distinct().hint("merge").join(nodes, "fp").groupBy(id_col, "node").count()
     tied = repeated.hint("merge").join(repeated.groupBy(id_col).agg(F.min("node").alias("b")), id_col).filter("node > b").select(F.col("node").alias("a"), "b")
-    found = components(links(nodes, radius).union(tied).distinct())
+    found = components(links(nodes, scratch, radius).union(tied).distinct(), scratch)
+    scratch.drop("buckets")
     roots = nodes.hint("merge").join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     return prints.hint("merge").join(roots, "fp", "left").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col(id_col).isNotNull(), F.col("component_id")).alias("component_id"))
