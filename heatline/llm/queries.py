@@ -48,7 +48,7 @@ def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.dedup(table(spark, sf_dir, "documents")).select("doc_id", "text", F.col("n_dropped").cast("long"))
+    return lines.dedup(table(spark, sf_dir, "documents"), from_files=True).select("doc_id", "text", F.col("n_dropped").cast("long"))
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

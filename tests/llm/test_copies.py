@@ -6,6 +6,7 @@ import pytest
 from xxhash import xxh64_intdigest
 
 from heatline.llm import leaks, lines, simhash
+from heatline.llm.common import Scratch
 
 
 def plain_print(text):
@@ -61,7 +62,8 @@ def test_components_equal_brute_force(spark, monkeypatch, small, radius):
                 x ^= 1 << made.randrange(64)
     nodes = dict(enumerate(sorted(prints, key=lambda p: made.random())))
     want = classes(list(nodes), lambda a, b: bin((nodes[a] ^ nodes[b]) % (1 << 64)).count("1") <= radius)
-    found = simhash.components(simhash.links(spark.createDataFrame(list(nodes.items()), "node long, fp long"), radius))
+    scratch = Scratch(spark, "test")
+    found = simhash.components(simhash.links(spark.createDataFrame(list(nodes.items()), "node long, fp long"), scratch, radius), scratch)
     got = {n: n for n in nodes} | {r.node: r.component for r in found.collect()}
     assert got == want
 
@@ -133,6 +135,18 @@ def test_lines_edges(spark):
     assert lines.dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_lines_clashing_names_and_files(spark, tmp_path):
+    rows = [(1, "a b\na  b\n\tc", 7, 1, "x"), (2, "a b", 8, 2, "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_dropped long, f long, _metadata string")
+    with pytest.raises(ValueError):
+        lines.dedup(df)
+    df.write.parquet(f"{tmp_path}/d")
+    for out in (lines.dedup(df, count_col=None), lines.dedup(spark.read.parquet(f"{tmp_path}/d"), from_files=True, count_col=None)):
+        assert out.columns == df.columns
+        assert sorted(map(tuple, out.collect())) == [(1, "a b\n\tc", 7, 1, "x"), (2, "", 8, 2, "y")]
+    assert "k1" in lines.dedup(df, count_col="k1").columns
+
+
 def test_leaks_equal_brute_force(spark):
     made = random.Random(4)
     vocabulary = ["w%d" % i for i in range(60)]
