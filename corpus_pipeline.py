@@ -1,6 +1,11 @@
 """A training corpus from raw documents: quality, repeated lines, near-duplicates, leaked benchmarks, packing.
 
 Each stage is one operator over all that the one before kept, and is written as Parquet before the next begins.
+
+Every stage takes nulls in any column, empty and very long texts, repeated rows, empty tables and further columns of any
+name, and keeps the columns as they are (but for the last, which gives pieces). A null text counts as an empty one and
+stays null. Rows with a null doc_id are judged by their text, are copies of no other document, and stay if it does. Of
+rows that repeat an id, near_dedup keeps or drops all together. The stage after an empty one gives an empty table.
 """
 
 from __future__ import annotations
@@ -11,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heatline.llm import copies, leaks, lines, packing, quality
-from heatline.llm.common import shared_dir, table
+from heatline.llm.common import clear, runs, shared_dir, table
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,14 +27,17 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines go from the texts, and n_chars follows; the documents stay."""
     made = lines.dedup(docs, from_files=True, count_col=None)
-    return made.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+    if "n_chars" in docs.columns:
+        made = made.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    return made.select(docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (5-word shingles, similarity 0.8) the document with the smallest id stays."""
+    """Of each group of near-duplicates (5-word shingles, similarity 0.8) the document with the smallest id stays: SimHash
+    groups by covering LSH, and an exact join for the pairs that those leave."""
     found = copies.near_duplicates(docs)
-    gone = found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.hint("merge").join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    gone = found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
+    return docs.hint("merge").join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,6 +59,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, top = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/heatline/pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
+        before = runs()
         stage(spark, docs, sf_dir).write.parquet(f"{top}/{k}-{name}")
         docs = spark.read.parquet(f"{top}/{k}-{name}")
+        clear(keep=before)  # what the stage's plan read is no longer needed
     return docs

@@ -67,13 +67,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return Scratch(df.sparkSession, name).write(df, "table")
 
 
+def runs() -> set[str]:
+    """Folders of the runs whose intermediate tables are still there."""
+    return set(_left)
+
+
 @atexit.register
-def clear() -> None:
-    """Deletes the intermediate tables of all runs so far: call it once their results are written."""
+def clear(keep: set[str] = frozenset()) -> None:
+    """Deletes the intermediate tables of all runs so far but those to keep: call it once their results are written."""
     for path, spark in list(_left.items()):
-        with contextlib.suppress(Exception):  # the session may have ended before
-            _delete(spark, path)
-        _left.pop(path, None)
+        if path not in keep:
+            with contextlib.suppress(Exception):  # the session may have ended before
+                _delete(spark, path)
+            _left.pop(path, None)
 
 
 def fold(key: Column, parts: int) -> Column:

@@ -1,14 +1,18 @@
 """Licence scan: a trained paragraph classifier with an unknown class, confirmed by comparison with templates.
 
-Each paragraph (a line) becomes a sparse vector of word 1- and 2-grams that occur in the templates. A multinomial
-logistic regression tells families apart, and from an unknown class that is trained on a bounded sample of corpus
-paragraphs. A temperature, fitted on held-out variants of the templates, calibrates the probabilities; below CERTAIN
-the class is unknown. A prediction counts only if a template of that family confirms it: at least SIMILAR of the
-template's five-word shingles (of the whole sequence, for a shorter one, in order) are in the paragraph, or of the
-paragraph's in the template.
-
-Null and empty texts have no paragraphs and no rows. Repeated rows each give theirs; other columns are not read. An
-empty table gives an empty result; with no corpus sample the unknown class is trained on empty paragraphs alone.
+A paragraph is a line, or a run of lines without a blank one between them, as wrapped notices are. It becomes a sparse
+vector of word 1- and 2-grams that occur in the templates. A multinomial logistic regression tells families apart, and
+from an unknown class that is trained on a bounded sample of corpus paragraphs (a documented parameter). A temperature,
+fitted on templates that a first model doesn't see, calibrates the probabilities; below CERTAIN the class is unknown. A
+prediction counts only if a template of that family confirms it: at least SIMILAR of the template's five-word shingles
+(of the whole sequence, for a shorter one, in order) are in the paragraph, or of the paragraph's in the template.
+
+Every line is classified. A run of lines is tried from each line that shares a five-word shingle with a template, line
+by line up to twice the longest template; the most similar run counts, and its first line is the place.
+
+Null and empty texts have no paragraphs and no rows; texts of any length are read whole. Repeated rows each give theirs;
+a line that states a licence gives one row, with the likeliest family. Other columns are not read. An empty table gives
+an empty result; with no corpus sample the unknown class is trained on empty paragraphs alone.
 """
 
 from __future__ import annotations
@@ -23,16 +27,21 @@ from pyspark.sql import functions as F
 
 #: Corpus paragraphs in the training sample, at most; share of shingles and probability that a licence needs.
 SAMPLE, SIMILAR, CERTAIN, SHINGLE, SEED = 2000, 0.8, 0.5, 5, 3
+#: Variants of each template, steps of the fit, and template 2-grams from which a line's shingles are looked at.
+COPIES, STEPS, OPENS = 10, 250, 3
 
-# Short statements and opening sentences of public licences.
+# Short statements and paragraphs of public licences.
 TEMPLATES = {
-    "MIT": ["Released under the MIT License.", "Licensed under the MIT License.", "SPDX-License-Identifier: MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction."],
-    "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "SPDX-License-Identifier: Apache-2.0", "You may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"],
-    "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.", "SPDX-License-Identifier: GPL-3.0-or-later", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version."],
+    "MIT": ["Released under the MIT License.", "Licensed under the MIT License.", "SPDX-License-Identifier: MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."],
+    "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "SPDX-License-Identifier: Apache-2.0", "You may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."],
+    "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.", "SPDX-License-Identifier: GPL-3.0-or-later", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version.", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."],
     "LGPL": ["This library is licensed under the GNU Lesser General Public License.", "SPDX-License-Identifier: LGPL-2.1-or-later", "You can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation."],
     "AGPL-3.0": ["Licensed under the GNU Affero General Public License, version 3.", "SPDX-License-Identifier: AGPL-3.0-only"],
-    "BSD": ["Licensed under the BSD 3-Clause License.", "Licensed under the BSD 2-Clause License.", "SPDX-License-Identifier: BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met."],
-    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0.", "SPDX-License-Identifier: MPL-2.0"],
+    "BSD": ["Licensed under the BSD 3-Clause License.", "Licensed under the BSD 2-Clause License.", "SPDX-License-Identifier: BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."],
+    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0.", "SPDX-License-Identifier: MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."],
+    "ISC": ["Licensed under the ISC License.", "SPDX-License-Identifier: ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
+    "Zlib": ["Licensed under the zlib License.", "SPDX-License-Identifier: Zlib", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"],
+    "Unlicense": ["SPDX-License-Identifier: Unlicense", "This is free and unencumbered software released into the public domain.", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."],
     "CC-BY": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "CC-BY-SA": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
     "CC-BY-NC": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
@@ -74,36 +83,49 @@ class Classifier:
         made = np.random.default_rng(SEED)
         self.families = ["unknown", *templates]
         self.templates = {f: [words(t) for t in ts] for f, ts in templates.items()}
-        grams = sorted({g for ts in self.templates.values() for t in ts for g in _grams(t)}, key=repr)
+        every = [t for ts in self.templates.values() for t in ts]
+        grams = sorted({g for t in every for g in _grams(t)}, key=repr)
         self.index = {g: i for i, g in enumerate(grams)}
-        rows: list[tuple[int, list[bytes]]] = []
+        self.pairs = np.array([isinstance(g, tuple) for g in grams])
+        self.shingles = set().union(*(_shingles(t, SHINGLE) for t in every))
+        self.longest = 2 * max(map(len, every))
+        rows: list[tuple[int, int, list[bytes]]] = []  # class, template, words
         filler = [w for t in unknown[:200] for w in words(t)] or [b"x"]
+        n = 0
         for k, ts in enumerate(self.templates.values(), 1):
             for t in ts:
-                for copy in range(24):  # words left out and put in
+                for copy in range(COPIES):  # words left out and put in
                     own = [w for w in t if copy == 0 or made.random() > 0.06]
                     for _ in range(int(made.integers(0, 12)) if copy else 0):
                         own.insert(int(made.choice([0, len(own)])), filler[int(made.integers(len(filler)))])
-                    rows.append((k, own))
-        rows += [(0, words(t)) for t in [*unknown, *[""] * 20]]
-        for ts in self.templates.values():  # single words of templates alone are no licence
-            rows += [(0, [w]) for t in ts for w in t]
-            rows += [(0, [t[i] for i in made.permutation(len(t))[: max(1, len(t) // 3)]]) for t in ts]
-        x, y = self._matrix([r for _, r in rows]), np.array([k for k, _ in rows])
-        held = np.arange(len(rows)) % 5 == 4
-        self.weights, self.heat = np.zeros((x.shape[1], len(self.families))), 1.0
+                    rows.append((k, n, own))
+                n += 1
+        rows += [(0, -1 - i, own) for i, t in enumerate([*unknown, *[""] * 20]) if not (own := words(t)) or any(g in self.index for g in _grams(own))]
+        for t in every:  # single words of templates alone are no licence
+            rows += [(0, -1 - i, [w]) for i, w in enumerate(t)]
+            rows += [(0, -1, [t[i] for i in made.permutation(len(t))[: max(1, len(t) // 3)]])]
+        x, y = self._matrix([r for *_, r in rows]), np.array([k for k, *_ in rows])
+        whole = np.array([n for _, n, _ in rows])
+        held = whole % 5 == 4
+        self.heat = 1.0
+        z = x[held] @ self._fit(x[~held], y[~held])
+        at = np.arange(held.sum())
+        loss = {t: -np.log(self._softmax(z / t)[at, y[held]] + 1e-12).mean() for t in (0.5, 0.7, 1.0, 1.4, 2.0, 3.0)}
+        self.heat = min(loss, key=loss.get)
+        self.weights = self._fit(x, y)
+
+    def _fit(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        weights = np.zeros((x.shape[1], len(self.families)))
         one = np.eye(len(self.families))[y]
-        share = (1 / np.maximum(np.bincount(y, minlength=len(self.families)), 1))[y] * ~held
+        share = 1 / np.maximum(np.bincount(y, minlength=len(self.families)), 1)[y]
         share[y == 0] *= 3
         share /= share.sum()
-        step = np.zeros_like(self.weights)
-        for _ in range(400):
-            g = x.T @ ((self._softmax(x @ self.weights) - one) * share[:, None]) + 1e-5 * self.weights
+        step = np.zeros_like(weights)
+        for _ in range(STEPS):
+            g = x.T @ ((self._softmax(x @ weights) - one) * share[:, None]) + 1e-5 * weights
             step = 0.9 * step - 4.0 * g
-            self.weights += step
-        z = x[held] @ self.weights
-        loss = {t: -np.log(self._softmax(z / t)[np.arange(held.sum()), y[held]] + 1e-12).mean() for t in (0.5, 0.7, 1.0, 1.4, 2.0, 3.0)}
-        self.heat = min(loss, key=loss.get)
+            weights += step
+        return weights
 
     def _matrix(self, texts: list[list[bytes]]) -> np.ndarray:
         x = np.zeros((len(texts), len(self.index) + 1))
@@ -119,34 +141,61 @@ class Classifier:
         e = np.exp(z - z.max(1, keepdims=True))
         return e / e.sum(1, keepdims=True)
 
+    def _classes(self, at: list[list[int]]) -> np.ndarray:
+        """Probabilities of the classes for lists of n-gram numbers."""
+        z = np.stack([self.weights[k].sum(0) / np.sqrt(len(k)) + self.weights[-1] for k in at])
+        return self._softmax(z / self.heat)
+
+    def _confirmed(self, p: np.ndarray, own: list[bytes]) -> tuple[str, float, float] | None:
+        """(family, probability, similarity) if a template of the likeliest family confirms it."""
+        k = int(p.argmax())
+        if not k or p[k] < CERTAIN:
+            return None
+        near = max(similarity(t, own) for t in self.templates[self.families[k]])
+        return (self.families[k], float(p[k]), near) if near >= SIMILAR else None
+
+    def _numbers(self, own: list[bytes]) -> list[int]:
+        get = self.index.get
+        return list({k for g in _grams(own) if (k := get(g)) is not None})
+
     def scan(self, text: str | None) -> list[tuple[int, str, float, float]]:
-        """(place of the paragraph, family, probability, similarity) of the paragraphs that are a licence."""
-        get, found, where, at = self.index.get, [], [], []
-        lines = (text or "").split("\n")
-        for i, line in enumerate(lines):
-            own = words(line)
-            own_at = {k for g in _grams(own) if (k := get(g)) is not None}
-            if own_at:
-                where.append(i)
-                at.append(list(own_at))
+        """(place of the first line, family, probability, similarity) of the paragraphs that are a licence."""
+        lines = [words(x) for x in (text or "").split("\n")]
+        at = {i: n for i, own in enumerate(lines) if (n := self._numbers(own))}
+        found, where = {}, list(at)
         for b in range(0, len(where), 512):
-            z = np.stack([self.weights[k].sum(0) / np.sqrt(len(k)) + self.weights[-1] for k in at[b : b + 512]])
-            p = self._softmax(z / self.heat)
+            part = where[b : b + 512]
+            p = self._classes([at[i] for i in part])
             for j in (p[:, 0] < 1 - CERTAIN).nonzero()[0].tolist():
-                k = int(p[j].argmax())
-                if k and p[j, k] >= CERTAIN:
-                    own = words(lines[where[b + j]])
-                    s = max(similarity(t, own) for t in self.templates[self.families[k]])
-                    if s >= SIMILAR:
-                        found.append((where[b + j], self.families[k], float(p[j, k]), s))
-        return found
+                if told := self._confirmed(p[j], lines[part[j]]):
+                    found[part[j]] = told
+        done = -1
+        for i in where:
+            if i <= done or i in found or self.pairs[at[i]].sum() < OPENS or not _shingles(lines[i], SHINGLE) & self.shingles:
+                continue
+            own, best = list(lines[i]), None
+            for j in range(i + 1, len(lines)):
+                if not lines[j] or len(own) >= self.longest or j in found:
+                    break
+                own += lines[j]
+                told = self._confirmed(self._classes([self._numbers(own)])[0], own)
+                if told and (best is None or told[2] > best[1][2]):
+                    best = (j, told)
+            if best:
+                done = best[0]
+                found[i] = best[1]
+        return [(i, *found[i]) for i in sorted(found)]
 
 
 def train(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE, templates: dict[str, list[str]] = TEMPLATES) -> Classifier:
-    """A classifier whose unknown class comes from at most `sample` paragraphs: one of each of the texts with the least
-    hashes, without those that hold the word licence, in either spelling, or copyright."""
-    texts = docs.select(F.get(F.split(text_col, "\n"), F.lit(0)).alias("p"), F.xxhash64(text_col).alias("h")).filter("p is not null")
-    rows = texts.select(F.substring("p", 1, 2000).alias("p"), "h").orderBy("h", "p").limit(sample).collect()
+    """A classifier whose unknown class comes from at most `sample` paragraphs: one whole line of each of the texts with
+    the least hashes, without those that hold the word licence, in either spelling, or copyright. Texts are first chosen
+    by a range of hashes that about four times as many fall into, so that no more are sent to the driver."""
+    texts = docs.select(F.col(text_col).alias("t"), F.xxhash64(text_col).alias("h")).filter("t is not null")
+    part = min(1.0, 4 * sample / max(1, docs.count()))
+    some = texts.filter(F.pmod("h", F.lit(2**40)) <= int(part * 2**40)).withColumn("p", F.split("t", "\n"))
+    some = some.select(F.element_at("p", (F.pmod(F.xxhash64("h"), F.size("p")) + 1).cast("int")).alias("p"), "h")
+    rows = some.orderBy("h", "p").limit(sample).collect()
     return Classifier([r.p for r in rows if not re.search("licen[sc]|copyright|rights reserved", r.p, re.I)], templates)
 
 

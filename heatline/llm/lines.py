@@ -25,6 +25,7 @@ their names (the count takes the name that is asked for). An empty table gives a
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,6 +55,14 @@ def _placed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.xxhash64(at["file_path"]).alias("f"), at["row_index"].alias("r"), docs[f"`{id_col}`"].alias("id"), docs[f"`{text_col}`"].alias("text"), rest.alias("doc"))
 
 
+def _has_places(docs: DataFrame) -> bool:
+    try:
+        docs.select(docs.metadataColumn("_metadata")["row_index"])
+        return True
+    except AnalysisException:
+        return False
+
+
 def repeated_lines(placed: DataFrame, scratch: Scratch, near_words: int = NEAR_WORDS) -> DataFrame:
     """placed(f, r, id, text) -> (f, r, pos) of the lines that go."""
     split = placed.select("f", "r", "id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).select("f", "r", "id", "pos", single_spaced(F.col("line")).alias("line")).filter("line != ''")
@@ -122,11 +131,12 @@ def _one_edit(a: Column, b: Column) -> Column:
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", near_words: int = NEAR_WORDS, from_files: bool = False, count_col: str | None = "n_dropped") -> DataFrame:
     """docs with the repeated lines taken out of their texts, and the number of those as count_col, if that is named.
 
-    from_files: docs is a plain read of files, which aren't changed meanwhile; else it is written first."""
+    from_files: docs is a plain read of files, which aren't changed meanwhile; else, or if it comes from no file after
+    all, it is written first."""
     if count_col in docs.columns:
         raise ValueError(f"docs has a column {count_col}; name another count_col, or None")
     scratch = Scratch(docs.sparkSession, "lines")
-    if not from_files:
+    if not from_files or not _has_places(docs):
         docs = scratch.write(docs, "documents")
     placed = _placed(docs, id_col, text_col)
     gone = repeated_lines(placed, scratch, near_words).groupBy("f", "r").agg(F.collect_list("pos").alias("gone"))

@@ -3,12 +3,14 @@
 Statistics of each text (lengths, character classes, repetition) are standardised and mapped to cosines of random
 projections, whose inner products approximate a Gaussian kernel. Each task sums X'X and X'y over its labelled rows; the
 sums are added in Spark, and a system of FEATURES + 1 unknowns is solved. Raw scores are then made probabilities by
-isotonic regression over sums in BINS bins of equal width. All fitting is over sums of fixed size, so every labelled
+isotonic regression over sums in BINS bins of equal width, from a fifth of the rows (by a hash of their statistics) that
+the ridge isn't fitted on; with too few rows for that, all serve both. All fitting is over sums of fixed size, so every labelled
 training row counts and nothing of the input's size leaves Spark.
 
 Null and empty texts have statistics of zero and get a score like others. Rows with a null id are scored, not held out
 and not trained on. An id labelled several times counts with its mean label; null labels are ignored. Repeated rows are
-scored each on its own. Without labels all scores are 0.5. Columns besides id and text are not read.
+scored each on its own; texts of any length are read whole. Without labels all scores are 0.5. Columns besides id and
+text are not read.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heatline.llm.common import fold, written
+from heatline.llm.common import Scratch, fold, written
 
 FEATURES, GAMMA, RIDGE, BINS, SEED = 256, 0.02, 1e-3, 512, 7
 STATS = 18
@@ -105,7 +107,7 @@ def isotonic(values: np.ndarray, weights: np.ndarray) -> np.ndarray:
 
 def fit(train: DataFrame) -> Model | None:
     """train(x array<double>, y double) -> the model; None without rows. Two narrow passes that end in sums of fixed size."""
-    sums = train.select(F.lit(1.0).alias("n"), "y", *(F.col("x")[i].alias(f"x{i}") for i in range(STATS)))
+    sums = train.select("x", F.lit(1.0).alias("n"), "y", *(F.col("x")[i].alias(f"x{i}") for i in range(STATS)))
     first = sums.agg(F.sum("n"), *(F.avg(f"x{i}") for i in range(STATS)), *(F.stddev_pop(f"x{i}") for i in range(STATS))).first()
     if not first[0]:
         return None
@@ -119,12 +121,21 @@ def fit(train: DataFrame) -> Model | None:
             a += f.T @ np.hstack([f, batch.column(1).to_numpy(zero_copy_only=False)[:, None]])
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(FEATURES + 1)), pa.array(list(a), pa.list_(pa.float64()))], ["i", "a"])
 
-    parts = train.select("x", "y").mapInArrow(normal, "i long, a array<double>")
-    rows = parts.groupBy("i").agg(F.array(*(F.sum(F.col("a")[j]) for j in range(FEATURES + 2))).alias("a")) if FEATURES < 16 else parts.select("i", F.posexplode("a").alias("j", "v")).groupBy("i", "j").agg(F.sum("v").alias("v"))
-    found = rows.toArrow()
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, a in zip(batch.column(0).to_pylist(), batch.column(1)):
+                sums[i] = sums.get(i, 0) + a.values.to_numpy()
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array(list(sums.values()), pa.list_(pa.float64()))], ["i", "a"])
+
+    other = F.pmod(F.xxhash64("x"), F.lit(5)) == 0
+    n = sums.agg(F.count_if(other)).first()[0]
+    fitted, calibrated = (train.filter(~other), train.filter(other)) if 0 < n < first[0] else (train, train)
+    found = fitted.select("x", "y").mapInArrow(normal, "i long, a array<double>").repartition("i").mapInArrow(added, "i long, a array<double>").toArrow()
     a = np.zeros((FEATURES + 1, FEATURES + 2))
-    a[found["i"].to_numpy(), found["j"].to_numpy()] = found["v"].to_numpy()
-    model.weights = np.linalg.solve(a[:, :-1] + RIDGE * first[0] * np.eye(FEATURES + 1) / FEATURES, a[:, -1])
+    for i, row in zip(found["i"].to_pylist(), found["a"].to_pylist()):
+        a[i] = row
+    model.weights = np.linalg.solve(a[:, :-1] + RIDGE * a[-1, -2] * np.eye(FEATURES + 1) / FEATURES, a[:, -1])
 
     def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = np.zeros((BINS, 2))
@@ -133,7 +144,7 @@ def fit(train: DataFrame) -> Model | None:
             np.add.at(s, at, np.stack([np.ones(len(at)), batch.column(1).to_numpy(zero_copy_only=False)], 1))
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(BINS)), pa.array(s[:, 0]), pa.array(s[:, 1])], ["bin", "n", "y"])
 
-    bins = train.select("x", "y").mapInArrow(binned, "bin long, n double, y double").groupBy("bin").agg(F.sum("n").alias("n"), F.sum("y").alias("y")).filter("n > 0").orderBy("bin").collect()
+    bins = calibrated.select("x", "y").mapInArrow(binned, "bin long, n double, y double").groupBy("bin").agg(F.sum("n").alias("n"), F.sum("y").alias("y")).filter("n > 0").orderBy("bin").collect()
     model.edges = (np.array([r.bin for r in bins]) + 0.5) / BINS * 2 - 0.5
     model.levels = np.clip(isotonic(np.array([r.y / r.n for r in bins]), np.array([r.n for r in bins])), 0, 1)
     return model

@@ -38,3 +38,23 @@ def test_item_with_null_id_is_cleaned(spark):
     bench = spark.createDataFrame([(None, "a b c d e f")], "item_id long, text string")
     assert [r.doc_id for r in leaks.clean(docs, bench).collect()] == [2]
     assert [(r.doc_id, r.item_id, r.distance) for r in leaks.find(docs, bench).collect()] == [(1, None, 0)]
+
+
+def test_odd_rows(spark):
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    long = "filler words go on " * 60_000 + item
+    rows = [(1, item, 5), (1, item, 5), (2, long, None), (None, item, 1), (3, None, 2), (4, "", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, distance long")
+    bench = spark.createDataFrame([(7, item, "x"), (7, item, "y"), (8, item.upper(), None)], "item_id long, text string, word_start string")
+    out = sorted((r.doc_id or 0, r.item_id, r.distance) for r in leaks.find(docs, bench).collect())
+    each = [(7, 0), (7, 0), (8, 0)]
+    assert out == sorted((d, *e) for d in (0, 1, 1, 2) for e in each)
+    assert sorted(r.doc_id for r in leaks.clean(docs, bench).collect()) == [3, 4]
+    assert leaks.clean(docs, bench).columns == docs.columns
+
+
+def test_large_vocabulary():
+    """Numbers of words far apart don't overflow the hashes."""
+    numbers = leaks.np.array([2**40, 2**40 - 1, 1, 2**40, 2**40 - 1, 1], leaks.np.int64)
+    codes = leaks.Items.codes_of(numbers, 3)
+    assert codes[0] == codes[3] and len(set(codes.tolist())) == 3

@@ -190,6 +190,32 @@ def test_quality_on_held_out_labels(spark):
     assert right > 0.93 and all(0 <= r.score <= 1 for r in got)
 
 
+def test_quality_equals_plain_sums(spark):
+    """Scores against the same model fitted in one place from the labelled rows."""
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    known = {r.doc_id: float(r.quality) for r in labels.filter("quality is not null").collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    use = sorted(d for d in known if d in texts and zlib.crc32(str(d).encode()) % 4 != 2)
+    x, y = np.array([quality.statistics(texts[d]) for d in use]), np.array([known[d] for d in use])
+    far = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "i long, x array<double>").select("i", (F.pmod(F.xxhash64("x"), F.lit(5)) == 0).alias("o"))
+    other = np.array([r.o for r in far.orderBy("i").collect()])
+    model = quality.Model(x.mean(0), np.maximum(x.std(0), 1e-6), None, None, None)
+    f = model.features(x[~other])
+    model.weights = np.linalg.solve(f.T @ f + quality.RIDGE * len(f) * np.eye(f.shape[1]) / quality.FEATURES, f.T @ y[~other])
+    at = np.clip(((model.raw(x[other]) + 0.5) / 2 * quality.BINS).astype(int), 0, quality.BINS - 1)
+    bins = sorted(set(at))
+    model.edges = (np.array(bins) + 0.5) / quality.BINS * 2 - 0.5
+    model.levels = np.clip(quality.isotonic(np.array([y[other][at == b].mean() for b in bins]), np.array([(at == b).sum() for b in bins])), 0, 1)
+    got = {r.doc_id: r.score for r in quality.score(docs, labels).collect()}
+    want = dict(zip(texts, model.score(np.array([quality.statistics(t) for t in texts.values()]))))
+    assert got.keys() == want.keys() and sum(abs(got[d] - want[d]) < 1e-3 for d in got) >= 0.99 * len(got)
+
+
+def test_quality_long_texts(spark):
+    docs = spark.createDataFrame([(1, "word " * 200_000, "s"), (2, "é" * 300_000, "t"), (3, "fine text here", "u")], "doc_id long, text string, score string")
+    assert quality.score(docs, spark.createDataFrame([(1, 1), (3, 0)], "doc_id long, quality int")).count() == 3
+
+
 def test_quality_edges(spark):
     docs = spark.createDataFrame([(1, "a b c", 1), (1, "a b c", 1), (None, None, 2), (2, "", 3)], "doc_id long, text string, x long")
     none = spark.createDataFrame([], "doc_id long, quality int")
@@ -281,6 +307,34 @@ def test_licences(spark):
     assert licences.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+WRAPPED = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:"""
+
+
+def test_licences_wrapped_long_repeated(spark):
+    long = "plain words of a text\n" * 30_000
+    rows = [(1, "intro line\n" + WRAPPED + "\n\nend"), (1, "intro line\n" + WRAPPED + "\n\nend"), (2, long + "Licensed under the ISC License."), (3, WRAPPED.split("\n")[0])]
+    df = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, family string")
+    assert sorted((r.doc_id, r.paragraph, r.family) for r in licences.scan(df).collect()) == [(1, 1, "MIT"), (1, 1, "MIT"), (2, 30_000, "ISC")]
+
+
+def test_similarity_equals_counting():
+    made = random.Random(4)
+    for _ in range(500):
+        a, b = ([made.choice([b"a", b"b", b"c"]) for _ in range(made.randint(1, 14))] for _ in range(2))
+        n = min(5, len(a), len(b))
+        if n < min(5, len(a)):
+            want = 0.0
+        else:
+            x, y = ({tuple(w[i : i + n]) for i in range(len(w) - n + 1)} for w in (a, b))
+            want = max(len([t for t in x if t in y]) / len(x), len([t for t in y if t in x]) / len(y) if 2 * len(b) >= len(a) else 0)
+        assert abs(licences.similarity(a, b) - want) < 1e-12
+
+
 def test_licences_find_all_stated_in_the_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     stated = {r.doc_id for r in docs.filter(F.col("text").rlike("(?m)^(Licensed|Released|This work is licensed) under .*(License|CC BY)[^\n]*$")).collect()}

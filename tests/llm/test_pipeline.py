@@ -47,3 +47,35 @@ def test_stages(spark, tmp_path):
 def test_run(spark):
     pipeline = importlib.import_module("corpus_pipeline")
     assert pipeline.run(spark, "/root/testdata/sf0.001").count() > 100
+
+
+def odd_documents():
+    """Nulls in each column, empty and very long texts, ties, repeated rows, and columns named as the stages name theirs."""
+    good = "This is a fine text of several words that reads well, and it goes on for a while. " * 8
+    rows = [(i, f"{good}\nnumber {i} of the texts has its own line with words w{i} x{i} y{i} z{i}", "en", "src", 10, "a", i, "b") for i in range(30)]
+    rows += [(None, good, None, None, None, None, None, None), (40, None, "en", "s", 0, "a", 1, "b"), (41, "", "en", "s", 0, None, None, None), (3, rows[3][1], "en", "src", 10, "a", 3, "b")]
+    return [*rows, (50, "long " * 200_000, "de", "s", 1, "a", 1, "b"), (51, "line of five words here\n" * 40_000, "de", "s", 1, "a", 1, "b")]
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long, n_dropped string, f long, component_id string"
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    pipeline = importlib.import_module("corpus_pipeline")
+    sf = "/root/testdata/sf0.001"
+    docs = spark.createDataFrame(odd_documents(), ODD)
+    docs.write.parquet(f"{tmp_path}/d")
+    for given in (docs, spark.read.parquet(f"{tmp_path}/d"), docs.limit(0)):
+        for name, stage in pipeline.STAGES:
+            out = stage(spark, given, sf)
+            if name == "pack":
+                assert out.select("doc_id").distinct().count() == given.select("doc_id").distinct().count()
+                continue
+            assert out.columns == given.columns, name
+            rows = {(r.doc_id, r.text) for r in out.collect()}
+            if name == "line_dedup" and rows:
+                assert len(rows) >= 34 and (40, None) in rows and (51, "line of five words here") in {(d, t.split("\n")[0]) for d, t in rows if t}
+            if name == "near_dedup" and rows:
+                assert {40, None} <= {d for d, _ in rows} and 41 not in {d for d, _ in rows}
+            if name == "decontaminate":
+                assert len(rows) == given.distinct().count()
