@@ -164,3 +164,36 @@ def test_search(spark):
     assert search.marked(search.search(c, q), "title").filter("id = '1'").first().highlight_title == "<mark>Quantum</mark> <mark>leap</mark>"
     pool = search.pool(*(c.filter(f"id = '{i}'") for i in ("1", "2", "1", "w1")))
     assert pool.count() == 3
+
+
+def test_surfaces_without_anchor(spark):
+    texts = spark.createDataFrame([(1, "a § b"), (2, "x + y"), (3, "好 word"), (4, None), (5, "C++ and c")], "k long, text string")
+    forms = spark.createDataFrame([("para", "§"), ("plus", "+"), ("good", "好"), ("cpp", "C++")], "canon string, surface string")
+    assert sorted((r.k, r.canon) for r in match.matches(texts, forms, "k").collect()) == [(1, "para"), (2, "plus"), (3, "good"), (5, "cpp"), (5, "plus")]
+
+
+def test_search_equals_every_pair(spark):
+    made = random.Random(5)
+    words = ["spark", "sp", "Ark", "é", "data", "lake", "da", "x1", "好"]
+    pool = [("news", f"u{i}", " ".join(made.choices(words, k=made.randint(0, 4))), made.choice(["src", None, "lake"]), made.randint(0, 9)) for i in range(80)]
+    asked = [(i, " ".join(made.choices([*words, "park", "ke", "zz", "a"], k=made.randint(0, 3)))) for i in range(25)]
+    cs = spark.createDataFrame(pool, "kind string, id string, title string, source string, hot long")
+    out = search.search(cs, spark.createDataFrame(asked, "qid long, q string"), n=100)
+    got = {(r.qid, r.id) for r in out.collect()}
+    titles = {}
+    for qid, q in asked:
+        ws = q.lower().split()
+        for _, i, title, source, hot in pool:
+            if any(w in title.lower() or w in (source or "").lower() for w in ws):
+                titles.setdefault(qid, set()).add(title.replace(" ", "").lower() or i)
+    assert {q for q, _ in got} == set(titles)
+    for qid in titles:
+        assert len([1 for q, _ in got if q == qid]) == min(100, len(titles[qid]))
+
+
+def test_outlets_and_absent_terms(spark):
+    pool = spark.createDataFrame([("a", 1.0), ("news-desk", 2.0), ("b", 3.0)], "canon string, hot double")
+    outlets = spark.createDataFrame([("news-desk",)], "canon string")
+    left = terms.without_outlets(pool, outlets)
+    assert {r.canon for r in left.collect()} == {"a", "b"}
+    assert {(r.canon, r.hot) for r in terms.absent_at_zero(left, spark.createDataFrame([("b",), ("b",)], "canon string")).collect()} == {("a", 0.0), ("b", 3.0)}

@@ -1,6 +1,7 @@
 """Traffic operators and their streaming twins."""
 
 import datetime
+import random
 
 from pyspark.sql import functions as F
 
@@ -93,6 +94,57 @@ def test_refresh_stream(spark, tmp_path):
     assert latest(spark, f"{tmp_path}/out").count() == 20
 
 
+def test_replayed_batch_is_published_once(spark, tmp_path):
+    from heatline.sources.sinks import latest, publish_once, versions
+
+    path, made = f"{tmp_path}/t", []
+    for number, rows in ((1, 3), (1, 9), (2, 5), (1, 7)):  # the second and last are replays
+        publish_once(spark, path, number, lambda rows=rows: made.append(rows) or spark.range(rows))
+    assert versions(spark, path) == [1, 2] and made == [3, 5] and latest(spark, path).count() == 5
+
+
+def test_refresh_cycles_stream(spark, tmp_path):
+    """Items of two files as two cycles: cards, then terms, snapshots and the word board from them."""
+    from heatline.functions import lexicon as L
+    from heatline.sources.sinks import latest, versions
+
+    day = datetime.date(2024, 1, 30)
+    cols = "url string, title string, title_zh string, title_en string, summary_zh string, summary_en string, dimension string, source string, region string, published date, hn_points long, reddit_score long, reddit_comments long, keywords array<string>"
+    item = lambda i, word: (f"https://h/{i}?utm_source=a", f"About {word} {i}", None, None, "", "", "d0", "s", "away", day, i, 0, 0, [word, "common"])
+    for k in range(2):
+        spark.createDataFrame([item(i, f"word{i % 3}") for i in range(10 * k, 10 * k + 12)], cols).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    models = spark.createDataFrame([("org/word1-chat", "word1-chat", 5, 2, 0)], "full_id string, term string, likes long, trending_score long, pos long")
+    stream = S.read_landed(spark, f"{tmp_path}/in", cols, files=1)
+    q = S.refresh_cycles(stream, f"{tmp_path}/out", f"{tmp_path}/cp", models, L.load(spark), as_of(), "2024-01-31-08", ["ai"], [])
+    assert q.awaitTermination(600) and q.exception() is None
+    cards = latest(spark, f"{tmp_path}/out/cards")
+    assert cards.count() == 22 and cards.filter("active").count() == 12 and all("utm" not in r.url for r in cards.collect())
+    for name in ("cards", "terms", "snapshots", "words"):
+        assert versions(spark, f"{tmp_path}/out/{name}") == [1, 2]
+    terms = {r.canon: r.mentions for r in latest(spark, f"{tmp_path}/out/terms").collect()}
+    assert terms["common"] == 22 and "word1" in terms
+    words = {r.id: r.news_cnt for r in latest(spark, f"{tmp_path}/out/words").collect()}
+    assert words["common"] == 22
+    assert latest(spark, f"{tmp_path}/out/snapshots").filter("term = 'common'").count() == 1
+
+
+def test_rate_limit_of_a_hot_key(spark):
+    made = random.Random(2)
+    at = sorted(made.choice([0, 40, 400]) + made.random() * 3000 for _ in range(900))
+    base = datetime.datetime(2024, 1, 1)
+    df = spark.createDataFrame([("b", "hot", base + datetime.timedelta(seconds=round(t, 3))) for t in at], "bucket string, key string, ts timestamp").repartition(4)
+    got = sorted((round((r.ts - base).total_seconds(), 3), r.allowed, r.retry_after) for r in T.rate_limit(df, 4, 30).collect())
+    assert got == [(round(t, 3), a, w) for t, a, w in brute_limit([round(t, 3) for t in at], 4, 30)]
+
+
+def test_country_of_overlaps_and_repeats(spark):
+    rows = [(1, 70_000, ""), (1, 70_000, ""), (2, None, "xx"), (3, 5, "de"), (4, 10**9, None), (5, 140_000, "T1")]
+    df = spark.createDataFrame(rows, "id long, ip_num long, header string")
+    ranges = spark.createDataFrame([(60_000, 150_000, "AA"), (65_000, 75_000, "BB")], "lo long, hi long, country string")
+    out = sorted((r.id, r.country) for r in T.country_of(df, ranges).collect())
+    assert out == [(1, "AA"), (1, "AA"), (2, "Unknown"), (3, "DE"), (4, "Unknown"), (5, "AA")]
+
+
 def test_limit_stream(spark, tmp_path):
     times, df = hits(spark)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
