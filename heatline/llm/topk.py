@@ -2,7 +2,7 @@
 
 Vectors are turned into integers first. Queries are a stated set and go through in blocks of BLOCK, so what is sent to
 the tasks has a fixed size; for each block every task reads its share of all rows, in batches of BATCH. The queries of a
-block have one cover tree, and each batch of candidates has one.
+block have a cover tree for each TREE of them, and each batch of candidates has one.
 
 A cover tree (Beygelzimer et al. 2006) has nested nets of its points: those of level i are more than scale/2^i apart, and
 every point is within scale/2^i of one of them. Its nodes are the points of a level, each under the nearest point of the
@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK, BATCH, GROUP, SAMPLE = 4096, 2048, 64, 2048
+BLOCK, TREE, BATCH, GROUP, SAMPLE = 32_768, 4096, 2048, 64, 2048
 #: Candidates that a task gathers before it keeps the best of them.
 WAITING = 1_000_000
 _MOST, _LEAST = 2**63 - 1, -(2**63)
@@ -128,6 +128,9 @@ class Best:
     def add(self, rows: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
         """scores: of each of the rows (of queries) with each of the ids."""
         self.compared += scores.size
+        if scores.shape[1] > self.k and self.least[rows].min() <= _LEAST:  # a first bound: the kth of these
+            others = np.where(self.ids[rows][:, None] == ids, float(_LEAST), scores)
+            self.least[rows] = np.maximum(self.least[rows], np.partition(others, -self.k, axis=1)[:, -self.k])
         q, c = (scores >= self.least[rows][:, None]).nonzero()
         own = self.ids[rows[q]] != ids[c]
         q, c = q[own], c[own]
@@ -204,25 +207,29 @@ def plain(x: np.ndarray) -> np.ndarray:
 
 
 class Searcher:
-    """A block of queries with their tree; add() takes candidates in batches."""
+    """A block of queries with their trees; add() takes candidates in batches."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray, k: int, least: np.ndarray | None = None, group: int = GROUP):
         small = plain(x)
         self.ids, self.x, self.rows = ids, x, small.nonzero()[0]
         self.large, self.best = (~small).nonzero()[0], Best(ids, k, least)
-        self.top = groups(CoverTree(x[self.rows]), group) if len(self.rows) else None
-        if self.top:
-            todo = [self.top]
+        self.tops = []
+        for at in range(0, len(self.rows), TREE):
+            part = self.rows[at : at + TREE]
+            self.tops.append(groups(CoverTree(x[part]), group))
+            todo = self.tops[-1:]
             while todo:  # rows of the block instead of rows of the tree
-                group = todo.pop()
-                group.rows = self.rows[group.rows]
-                todo += group.kids
+                one = todo.pop()
+                one.rows = part[one.rows]
+                todo += one.kids
 
     def add(self, ids: np.ndarray, x: np.ndarray) -> None:
         small = plain(x)
-        if self.top and small.any():
-            search(self.x, self.top, CoverTree(x[small]), ids[small], self.best)
-        if self.top and not small.all():
+        if len(self.rows) and small.any():
+            tree = CoverTree(x[small])
+            for top in self.tops:
+                search(self.x, top, tree, ids[small], self.best)
+        if len(self.rows) and not small.all():
             self.best.add(self.rows, ids[~small], _exact(self.x[self.rows], x[~small]))
         if len(self.large):
             self.best.add(self.large, ids, _exact(self.x[self.large], x))

@@ -248,7 +248,8 @@ def test_topk_equals_sql(spark, tmp_path, n, width, copies):
 
 
 @pytest.mark.parametrize("kind", ["noise", "clusters", "copies"])
-def test_cover_tree_invariants_and_search(kind):
+def test_cover_tree_invariants_and_search(kind, monkeypatch):
+    monkeypatch.setattr(topk, "TREE", 30)  # several trees for the queries
     made = np.random.default_rng(3)
     x = np.floor(made.normal(size=(700, 6)) * 64)
     if kind == "clusters":
