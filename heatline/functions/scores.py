@@ -91,16 +91,16 @@ def number(c: Column) -> Column:
 FIELD_WEIGHTS = {"title": 25, "title_zh": 30, "title_en": 30, "term": 30, "display_zh": 30, "summary": 12, "summary_zh": 12, "summary_en": 12, "source": 8, "author": 8}
 
 
-def relevance(words: Column, fields: dict[str, Column], hot: Column) -> tuple[Column, Column]:
-    """(score, fields hit) of a card for query words: weight by share of words hit, less for long fields, heat as a tie-break."""
-    n = F.size(words)
+def words_in(words: Column, text: Column) -> Column:
+    """How many of the words are substrings of a text that is lower-cased already."""
+    return F.size(F.filter(words, lambda w: text.contains(w)))
 
-    def hits(c: Column) -> Column:
-        low = F.lower(F.coalesce(c, F.lit("")))
-        return F.size(F.filter(words, lambda w: low.contains(w)))
 
-    parts = [F.lit(FIELD_WEIGHTS.get(k, 5)) * (hits(c) / n) * F.when(F.length(c) < 80, 1.0).otherwise(0.8) for k, c in fields.items()]
+def relevance(n: Column, fields: dict[str, tuple[Column, Column]], hot: Column) -> tuple[Column, Column]:
+    """(score, fields hit) of a card for a query of n words: weight by share of words hit, less for long fields, heat as a
+    tie-break. fields: text and number of words in it (words_in) by name."""
+    parts = [F.lit(FIELD_WEIGHTS.get(k, 5)) * (hits / n) * F.when(F.length(c) < 80, 1.0).otherwise(0.8) for k, (c, hits) in fields.items()]
     total = sum((F.coalesce(p, F.lit(0.0)) for p in parts), F.lit(0.0))
-    names = F.array_compact(F.array(*(F.when(hits(c) > 0, F.lit(k)) for k, c in fields.items())))
+    names = F.array_compact(F.array(*(F.when(hits > 0, F.lit(k)) for k, (_, hits) in fields.items())))
     score = rounded(total + F.log(F.greatest(F.coalesce(hot, F.lit(0)), F.lit(0)).cast("long") + 1) * 1.5, 2)
-    return F.when((n > 0) & (F.size(names) > 0), score), names
+    return F.when((n > 0) & F.greatest(F.lit(0), F.lit(0), *(hits for _, hits in fields.values())).cast("boolean"), score), names

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from heatline.functions.lexicon import small
-from heatline.functions.scores import FIELD_WEIGHTS, relevance
+from heatline.functions.scores import FIELD_WEIGHTS, relevance, words_in
 from heatline.functions.text import highlight, query_words, title_key
 
 #: Characters of an anchor.
@@ -52,8 +52,11 @@ def search(cards: DataFrame, queries: DataFrame, n: int = 20, words: int = 3) ->
     pairs = cards.select("kind", "id", F.explode(pieces([F.col(c) for c in names], lengths)).alias("anchor"))
     pairs = pairs.join(small(anchors), "anchor").select("kind", "id", "qid").distinct()
     met = cards.hint("merge").join(pairs, ["kind", "id"]).hint("merge").join(asked, "qid")
-    score, fields = relevance(F.col("words"), {c: F.col(c) for c in names}, F.coalesce(F.nullif("hot", F.lit(0)), F.lit(0)))
-    out = met.withColumns({"score": score, "fields": fields}).filter("score is not null")
+    met = met.withColumns({f"_{c}": F.lower(F.coalesce(c, F.lit(""))) for c in names})
+    met = met.withColumns({f"_{c}": words_in(F.col("words"), F.col(f"_{c}")) for c in names})
+    met = met.filter(" or ".join(f"`_{c}` > 0" for c in names))
+    score, fields = relevance(F.size("words"), {c: (F.col(c), F.col(f"_{c}")) for c in names}, F.coalesce(F.nullif("hot", F.lit(0)), F.lit(0)))
+    out = met.withColumns({"score": score, "fields": fields}).filter("score is not null").drop(*(f"_{c}" for c in names))
     word = F.col("kind") == "word"
     order = [F.desc("score"), F.col("kind"), F.col("id")]
     key = F.when(F.col("kind") == "news", F.coalesce(*(title_key(F.col(c)) for c in ("title_zh", "title_en", "title") if c in cards.columns)))

@@ -250,6 +250,6 @@ _PART = "{1} * (" + _HITS + " / len(ws)) * (case when length({0}) < 80 then 1.0
     "scored",
 )
 def _(spark, sf):
-    c = scored_cards(spark, sf).select(F.lit("news").alias("kind"), F.col("url").alias("id"), "title", "source", "hot")
+    c = cut(scored_cards(spark, sf).select(F.lit("news").alias("kind"), F.col("url").alias("id"), "title", "source", "hot"))
     q = read(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.array_join(F.slice(F.split("text", " "), 1, 2), " ").alias("q"))
     return search.search(c, q).select("qid", "rank", "id", "score")

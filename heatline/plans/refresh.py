@@ -20,9 +20,12 @@ from heatline.operators import terms as T
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut at the shared checkpoint folder; a local one only where the session names none."""
+    """df with its lineage cut at the shared checkpoint folder. A session on one machine may name none, as in tests, and
+    gets a temporary one; on a cluster that is an error."""
     context = df.sparkSession.sparkContext
     if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and not context._jsc.sc().getCheckpointDir().isDefined():
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all machines share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-heatline-"))
     return df.checkpoint()
 
@@ -55,11 +58,13 @@ def refresh_terms(cards: DataFrame, current: DataFrame, models: DataFrame, old:
     from heatline.functions.text import base_model_key
 
     named = models.withColumn("word", base_model_key(F.col("full_id")))
-    model_words = L.canonical(named, lexicon).filter("canon is not null").filter(~F.lower("canon").isin(stopwords))
-    best = cut(T.best_models(named.join(model_words, "word").drop("word")))
+    every = cards.select(F.explode("keywords").alias("word")).union(named.select("word")).union(old.select("term"))
+    table = cut(L.canonical(every, lexicon))  # of all words of this cycle, once
+    model_words = table.filter("canon is not null").filter(~F.lower("canon").isin(stopwords))
+    best = cut(T.best_models(named.hint("merge").join(model_words, "word").drop("word")))
 
     # links of cards and terms: keywords, dictionary terms in titles where there are none, model names in titles
-    words = L.canonical(cards.select(F.explode("keywords").alias("word")), lexicon).withColumn("canon", F.when(~F.lower("canon").isin(stopwords), F.col("canon")))
+    words = table.withColumn("canon", F.when(~F.lower("canon").isin(stopwords), F.col("canon")))
     by_keyword = T.without_media(T.keyword_links(cards, words), cards, outlets, lexicon)
     bare = cards.join(by_keyword.select("url").distinct(), "url", "left_anti")
     by_title = match.title_matches(bare, lexicon).filter(~F.col("canon").isin(stopwords))
@@ -68,7 +73,7 @@ def refresh_terms(cards: DataFrame, current: DataFrame, models: DataFrame, old:
     links = keyword_links.unionByName(model_links).distinct()
 
     # twins share one representative before anything is counted, so that counts stay exact
-    stored = L.canonical(old.select(F.col("term").alias("word")), lexicon).join(old, F.col("word") == F.col("term")).withColumn("canon", F.coalesce("canon", "term")).drop("word")
+    stored = table.hint("merge").join(old, F.col("word") == F.col("term")).withColumn("canon", F.coalesce("canon", "term")).drop("word")
     known = stored.select("canon").distinct().withColumn("known", F.lit(True))
     governed = lexicon.select("canon").distinct().withColumn("governed", F.lit(True))
     sizes = links.groupBy("canon").agg(F.count("*").alias("mentions")).join(best.select("canon"), "canon", "full").join(known, "canon", "full").join(governed, "canon", "left")
@@ -93,7 +98,7 @@ def refresh_terms(cards: DataFrame, current: DataFrame, models: DataFrame, old:
 
     history = T.move_snapshots(snapshots, reps)
     scored = T.scored(kept.join(T.previous(history, cycle), "canon", "left").withColumn("likes", F.coalesce("model_likes", "old_likes", F.lit(0))), as_of)
-    spelled = current.select("url").join(cards.select("url", "title", F.explode("keywords").alias("k")), "url").join(L.canonical(cards.select(F.explode("keywords").alias("word")), lexicon).withColumnRenamed("word", "k"), "k")
+    spelled = current.select("url").hint("merge").join(cards.select("url", "title", F.explode("keywords").alias("k")), "url").hint("merge").join(table.withColumnRenamed("word", "k"), "k")
     spelled = T.to_rep(spelled, reps).withColumn("s", match.original_case(F.col("k"), F.col("title"))).filter(T.trusted(F.col("s"), F.col("title"))).groupBy("canon").agg(F.array_sort(F.collect_set("s")).alias("surfaces"))
     lexical_name = lexicon.filter("ord = 1 and is_ascii").select("canon", F.col("surface").alias("lexical_name"))
     scored = scored.join(spelled, "canon", "left").join(lexical_name, "canon", "left")
