@@ -100,3 +100,34 @@ def test_versions(spark, tmp_path):
     assert sorted(r.n for r in spark.read.parquet(f"{tmp_path}/s").collect()) == [1, 9]
     sinks.write_board(spark.createDataFrame([("a", 1.0), ("b", 2.0)], "id string, hot double"), f"{tmp_path}/b", 1)
     assert spark.read.json(f"{tmp_path}/b").first().id == "b"
+
+
+def test_glossary_file(spark, tmp_path):
+    from heatline.functions import lexicon as L
+
+    (tmp_path / "g.json").write_text(json.dumps({"_note": ["x"], "deep-sea": ["deep sea", "深海"], "ice": []}), encoding="utf-8")
+    rows = {(r.canon, r.surface, r.ord, r.is_ascii) for r in L.load(spark, str(tmp_path / "g.json")).collect()}
+    assert rows == {("deep-sea", "deep-sea", 0, True), ("deep-sea", "deep sea", 1, True), ("deep-sea", "深海", 2, False), ("ice", "ice", 0, True)}
+
+
+def test_cycles_are_read_by_day(spark, tmp_path):
+    """A look at one day reads that day's folder only, and a batch replaces its own days."""
+    from heatline.sources import sinks
+
+    snaps = lambda n: spark.createDataFrame([("a", f"2024-01-0{d}-08", n) for d in (1, 2, 3)], "term string, cycle string, news_cnt int")
+    sinks.put_cycle(snaps(1), f"{tmp_path}/s")
+    sinks.put_cycle(snaps(2).filter("cycle like '2024-01-02%'"), f"{tmp_path}/s")
+    back = spark.read.parquet(f"{tmp_path}/s")
+    assert {(r.cycle, r.news_cnt) for r in back.collect()} == {("2024-01-01-08", 1), ("2024-01-02-08", 2), ("2024-01-03-08", 1)}
+    one = back.filter("cycle_date = date '2024-01-02'")
+    assert "PartitionFilters: [isnotnull(cycle_date" in one._jdf.queryExecution().toString() and one.count() == 1
+
+
+def test_pool_and_top_sinks(spark, tmp_path):
+    from heatline.sources import sinks
+
+    rows = spark.createDataFrame([("u1", "t", "s", "d1", 3), ("u2", "t", "s", "d2", 5)], "url string, title string, summary string, dimension string, score int")
+    assert sinks.publish_pool(rows, f"{tmp_path}/pool") == 1
+    pool = sinks.latest(spark, f"{tmp_path}/pool")
+    assert set(pool.columns) == {"url", "dimension", "score"} and pool.filter("dimension = 'd2'").first().url == "u2"
+    assert sinks.publish_tops(rows.withColumn("rank", F.lit(1)), f"{tmp_path}/tops") == 1 and sinks.latest(spark, f"{tmp_path}/tops").count() == 2
