@@ -79,11 +79,19 @@ def _mapped(docs: DataFrame, make, cols: str) -> DataFrame:
     return docs.mapInArrow(run, f"id long, {cols}")
 
 
-def _common(rows: DataFrame, width: int) -> np.ndarray:
-    """Shingles that many texts hold, as a sixteenth of the texts tells; COMMON of them at most."""
+def _common(rows: DataFrame, width: int, scratch: Scratch) -> np.ndarray:
+    """Shingles that many texts hold, as a sixteenth of the texts tells; COMMON of them at most, of the highest counts."""
     some = _mapped(rows.filter(F.pmod(F.xxhash64("id"), F.lit(16)) == 0), lambda t: (shingles(t, width),), "s array<long>")
-    counts = some.select(F.explode("s").alias("s")).groupBy("s").agg(F.count("*").alias("n")).filter("n >= 4")
-    return np.array(sorted(r.s for r in counts.orderBy(F.desc("n"), "s").limit(COMMON).collect()), np.int64)
+    level = F.floor(F.log2("n") * 8)
+    counts = scratch.write(some.select(F.explode("s").alias("s")).groupBy("s").agg(F.count("*").alias("n")).filter("n >= 4").select("s", level.alias("level")), "common")
+    least, kept = 1 << 20, 0
+    for n, k in counts.groupBy("level").count().orderBy(F.desc("level")).collect():
+        if kept + k > COMMON:
+            break
+        least, kept = n, kept + k
+    found = np.sort(counts.filter(F.col("level") >= least).select("s").toArrow()["s"].to_numpy())
+    scratch.drop("common")
+    return found
 
 
 def _near(rows: DataFrame, pairs: DataFrame, least: Fraction, width: int, scratch: Scratch, name: str) -> DataFrame:
@@ -118,7 +126,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(id, component_id) for each row with an id; component_id is the smallest id reachable over pairs of that similarity."""
     least, spark = Fraction(similarity), docs.sparkSession
     rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sent = spark.sparkContext.broadcast(_common(rows, width))
+    scratch = Scratch(spark, "copies")
+    sent = spark.sparkContext.broadcast(_common(rows, width, scratch))
 
     def make(text):
         from xxhash import xxh3_128_digest
@@ -127,7 +136,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         k1, k2 = np.frombuffer(xxh3_128_digest(found.tobytes()), np.int64).tolist()
         return k1, k2, majority(found), len(found), prefix(found, least, sent.value)
 
-    scratch = Scratch(spark, "copies")
     made = scratch.write(_mapped(rows, make, "k1 long, k2 long, fp long, n long, first array<long>"), "shingles")
     nodes = scratch.write(made.groupBy("k1", "k2").agg(F.min("id").alias("node"), F.any_value("fp").alias("fp")), "nodes")
     prints = scratch.write(nodes.groupBy("fp").agg(F.min("node").alias("least")), "prints")

@@ -256,7 +256,8 @@ def top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
     for width, n in sorted(map(tuple, asked.groupBy("w").count().collect())):
         blocks = -(-n // block)
         own = rows.filter(F.col("w") == width).select("id", "v")
-        sample = own.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toArrow()
+        part = min(1.0, 4 * SAMPLE / max(1, own.count()))  # a range of hashes first, so that few rows are sent
+        sample = own.filter(F.pmod(F.xxhash64("id"), F.lit(2**40)) <= int(part * 2**40)).orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toArrow()
         for b in range(blocks):
             part = asked.filter((F.col("w") == width) & (F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)) == b)).select("id", "v").toArrow()
             if not part.num_rows:

@@ -58,3 +58,22 @@ def test_large_vocabulary():
     numbers = leaks.np.array([2**40, 2**40 - 1, 1, 2**40, 2**40 - 1, 1], leaks.np.int64)
     codes = leaks.Items.codes_of(numbers, 3)
     assert codes[0] == codes[3] and len(set(codes.tolist())) == 3
+
+
+def test_tables_find_what_a_lossless_search_finds(spark):
+    """Each window that the q-gram bound opens is compared with every item of its length: the tables lose none of those."""
+    from heatline.llm.common import table
+
+    sf = "/root/testdata/sf0.01"
+    items = leaks.Items([(r.item_id, r.text) for r in table(spark, sf, "benchmark").collect()])
+    want, got = {}, {}
+    for r in table(spark, sf, "documents").select("doc_id", "text").collect():
+        ids = [items.number.get(w, 0) for w in leaks.words(r.text)]
+        got |= {(r.doc_id, n): d for n, _, _, d in items.find(r.text)}
+        for size, starts in items.windows(leaks.np.array(ids, leaks.np.int64)).items():
+            for n, own in enumerate(items.ids):
+                if len(own) == size:
+                    near = [x[0] for s in starts if (x := leaks.within(own, ids, s, items.most[n]))]
+                    if near:
+                        want[r.doc_id, n] = min(near)
+    assert got == want and len(want) > 10
