@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 
 SLACK, BLOCK = 0.2, 20_000
 WALKS, TABLES, SAMPLED, SEED = 8, 16, 2, 11
-#: Windows that a task embeds at once.
-WINDOWS = 1024
+#: Cells of embeddings that a task holds at once.
+CELLS = 4_000_000
 _SPACED = bytes(32 if chr(i) in string.punctuation else i for i in range(256))
 
 
@@ -201,8 +201,9 @@ class Items:
             table, met = self.tables[size], defaultdict(set)
             padded = np.concatenate([ids, np.zeros(size, np.int64)])
             order = np.array(sorted(starts))
-            for at in range(0, len(order), WINDOWS):
-                part = order[at : at + WINDOWS]
+            many = max(1, CELLS // (table.steps * table.walks))
+            for at in range(0, len(order), many):
+                part = order[at : at + many]
                 for s, keys in zip(part.tolist(), table.keys(padded[part[:, None] + np.arange(size)]).tolist()):
                     for key in keys:
                         for item in table.items.get(key, ()):
