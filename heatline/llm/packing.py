@@ -4,16 +4,14 @@ documents, and as each has a power of two for its length, nothing is padded. A t
 and passes them on together, FLUSH bytes at most, so every batch holds sequences of one length; to_buckets() writes a
 folder for each length.
 
-Token ids equal those of the byte-level BPE file read by `tokenizers` (its special strings in a text are ordinary
-text). The same vocabulary is applied through `tiktoken`, chunk by chunk with a bounded cache: where a space stands
-between two characters that aren't white space, a token always ends before it, so the chunks can be encoded apart.
+Token ids equal those of the byte-level BPE file read by `tokenizers` with its default settings (see bpe); added tokens
+of the file that stand in a text keep their own ids.
 
 Null and empty texts give the end id alone. Repeated rows are packed each on its own; other columns are not read.
 """
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -22,44 +20,11 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from heatline.llm import bpe
+
 END_ID = 1
-#: Chunks kept with their ids in each Python worker.
-CACHE = 300_000
 #: Bytes of ids that a task gathers in a bucket before it passes them on.
 FLUSH = 4 << 20
-_UNSAFE = re.compile(r"\s\x20|\x20\s")
-
-
-def encoder(name: str = "byte_bpe_50k.tiktoken"):
-    """text -> little-endian unsigned 32-bit ids as bytes."""
-    import base64
-
-    import public_tokenizers
-    import tiktoken
-
-    with open(public_tokenizers.path(name), "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    encode = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-
-    def ids(text: str) -> bytes:
-        return np.array(encode(text), "<u4").tobytes()
-
-    class Chunks(dict):
-        def __missing__(self, chunk: str) -> bytes:
-            found = ids(chunk)
-            if len(self) < CACHE and len(chunk) < 64:
-                self[chunk] = found
-            return found
-
-    chunks = Chunks()
-
-    def run(text: str) -> bytes:
-        if _UNSAFE.search(text):
-            return ids(text)
-        first, *rest = text.split(" ")
-        return chunks[first] + b"".join([chunks[" " + x] for x in rest]) if rest or first else b""
-
-    return run
 
 
 def pieces(n: int, most: int) -> list[int]:
@@ -67,7 +32,7 @@ def pieces(n: int, most: int) -> list[int]:
     return [most] * (n // most) + [1 << k for k in range(most.bit_length() - 1, -1, -1) if (n % most) >> k & 1]
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 2048, with_ids: bool = True, tokenizer: str = "byte_bpe_50k.tiktoken") -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 2048, with_ids: bool = True, tokenizer: str = bpe.FILE) -> DataFrame:
     """One row per piece: start and length in its document, bucket (log2 of the length), sequence and offset, the crc32
     of its ids and, if asked for, the ids. most: a power of two, the longest sequence.
 
@@ -77,7 +42,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most:
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer)
+        encode = bpe.codec(tokenizer).encode
         end = np.array([END_ID], "<u4").tobytes()
         sequence = TaskContext.get().partitionId() << 33
         ready: list[list[tuple]] = [[] for _ in range(most.bit_length())]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heatline.llm import brown, chat, leaks, licences, lines, packing, pii, quality, simhash, topk
+from heatline.llm import bpe, brown, chat, divergence, leaks, licences, lines, packing, pii, quality, runs, simhash, topk
 from heatline.llm.common import table
 
 
@@ -55,12 +55,24 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"))
+
+
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_decontaminate, op2_pii, op3_brown, op4_chat, op5_simhash, op6_packing, op7_topk, op8_licences, op9_lines, op10_quality)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_pii, op3_brown, op4_chat, op5_simhash, op6_packing, op7_topk, op8_licences, op9_lines, op10_quality, op11_divergence, op12_bpe, op13_runs)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat": OP4, "op7_topk": OP7}
+    return {"op4_chat": OP4, "op7_topk": OP7, "op11_divergence": OP11}
 
 
 #: The turns and loss digests follow from the input alone; what the template makes of them is counted from its rules.
@@ -92,3 +104,36 @@ with v as (
 ), r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
 select query_id, rank::int as rank, vec_id, score from r where rank <= 20
 """
+
+OP11 = r"""
+with d as (
+  select coalesce(lang, '') as lang, coalesce(source, '') as source, coalesce(text, '') as text, row_number() over () as id from documents
+), w as (
+  select lang, source, id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term from d
+), kept as (
+  select lang, term, count(*) as total from w group by lang, term having count(distinct id) >= 3
+), langs as (
+  select lang, count(*) as v, sum(total) as n from kept group by lang
+), c as (
+  select lang, source, term, count(*) as n from w semi join kept using (lang, term) group by lang, source, term
+), g as (
+  select lang, source, coalesce(sum(n), 0) as n from (select distinct lang, source from d) left join c using (lang, source) group by lang, source
+), p as (
+  select lang, source, term, coalesce(c.n, 0) as n, 1 + (1000000000::hugeint * (coalesce(c.n, 0) + 1)) // (g.n::hugeint + v) as p,
+    1 + (1000000000::hugeint * (total + 1)) // (langs.n::hugeint + v) as q
+  from g join langs using (lang) join kept using (lang) left join c using (lang, source, term)
+), pairs as (
+  select a.lang, a.source, b.source as item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) as value
+  from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by a.lang, a.source, b.source
+), every as (
+  select a.lang, a.source, b.source as item, coalesce(value, 0)::bigint as value
+  from g a join g b on a.lang = b.lang and a.source <> b.source
+  left join pairs on pairs.lang = a.lang and pairs.source = a.source and pairs.item = b.source
+), terms as (
+  select lang, source, term as item, (((p - q) * (p - q)) // q)::bigint as value from p where n > 0 and p > q
+), ranked as (
+  select lang, source, 'pair' as part, item, value from every union all select lang, source, 'term', item, value from terms
+)
+select *, row_number() over (partition by lang, source, part order by value desc, item)::int as rank from ranked
+qualify part = 'pair' or rank <= 200
+"""

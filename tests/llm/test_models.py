@@ -19,9 +19,8 @@ def test_packing_equals_the_tokenizer(spark):
     from tokenizers import Tokenizer
 
     own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    own.encode_special_tokens = True
     made = random.Random(2)
-    texts = [None, "", " ", "a", "  two  spaces ", "line\n next", "tab\t x", "x  y", "end ", "<|endoftext|> in", "it's 12 o'clock!!  \n\n ok", "é" * 5000]
+    texts = [None, "", " ", "a", "  two  spaces ", "line\n next", "tab\t x", "x  y", "end ", "<|endoftext|> in", "a  <|endoftext|>\n<|endoftext|><|endoftext |>", "it's 12 o'clock!!  \n\n ok", "é" * 5000]
     texts += ["".join(made.choices(["the", " ", "  ", "\n", "'s", "12", "!", "ß", " a", " ", "\t"], k=30)) for _ in range(300)]
     texts += [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
