@@ -29,14 +29,28 @@ SMALL = 100_000
 
 
 def load(spark: SparkSession, path: str | None = None) -> DataFrame:
-    """(canon, surface, ord, is_ascii): a glossary file is one JSON object canon -> [surfaces]; keys with _ are comments."""
+    """(canon, surface, ord, is_ascii, no): a glossary file is one JSON object canon -> [surfaces]; keys with _ are comments.
+    no is the place of the term in the dictionary, ord that of the spelling within the term."""
     if path:
-        raw = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,array<string>>")).alias("canon", "forms"))
-        raw = raw.filter(~F.col("canon").startswith("_")).select("canon", "forms")
+        raw = glossary(spark, path).filter("problem is null").select(F.posexplode("terms").alias("no", "canon", "forms"))
+        raw = raw.filter(~F.col("canon").startswith("_"))
     else:
-        raw = spark.createDataFrame(list(SEED.items()), "canon string, forms array<string>")
-    rows = raw.select("canon", F.posexplode(F.array_distinct(F.array_union(F.array("canon"), F.col("forms")))).alias("ord", "surface"))
-    return rows.select("canon", "surface", "ord", F.col("surface").rlike(r"^[\x00-\x7F]+$").alias("is_ascii"))
+        raw = spark.createDataFrame([(i, *kv) for i, kv in enumerate(SEED.items())], "no int, canon string, forms array<string>")
+    return spelled(raw)
+
+
+def spelled(terms: DataFrame) -> DataFrame:
+    """terms(no, canon, forms) -> (canon, surface, ord, is_ascii, no)."""
+    rows = terms.select("no", "canon", F.posexplode(F.array_distinct(F.array_union(F.array("canon"), F.col("forms")))).alias("ord", "surface"))
+    return rows.select("canon", "surface", "ord", F.col("surface").rlike(r"^[\x00-\x7F]+$").alias("is_ascii"), "no")
+
+
+def glossary(spark: SparkSession, path: str) -> DataFrame:
+    """(file, terms map<string,array<string>>, problem): each file of a glossary, read whole. problem says why a file gives
+    no terms, so a damaged one is reported and not lost: load() takes the others."""
+    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.from_json("value", "map<string,array<string>>").alias("terms"), "value")
+    problem = F.when(F.trim("value") == "", "empty file").when(F.col("terms").isNull(), "no JSON object of lists")
+    return raw.select("file", "terms", problem.alias("problem"))
 
 
 def fits(df: DataFrame) -> bool:
@@ -49,6 +63,12 @@ def small(df: DataFrame, known: bool | None = None) -> DataFrame:
     return df.hint("broadcast" if (fits(df) if known is None else known) else "merge")
 
 
+def governed(lexicon: DataFrame) -> DataFrame:
+    """(canon): terms whose name the dictionary or the list of abbreviations rules."""
+    short = lexicon.sparkSession.createDataFrame([(x,) for x in ACRONYMS.values()], "canon string")
+    return lexicon.select("canon").union(short).distinct()
+
+
 def aliases(lexicon: DataFrame) -> DataFrame:
     """(alias, canon), one row for each normalised spelling; the first canonical in order wins."""
     key = F.regexp_replace(F.regexp_replace(F.lower(F.trim("surface")), r"[\s_]+", "-"), "^-+|-+$", "")
@@ -71,6 +91,6 @@ def canonical(words: DataFrame, lexicon: DataFrame, column: str = "word") -> Dat
     met = met.select(column, F.when((F.length(found) >= 2) & ~found.rlike("^[0-9]+$"), found).alias("c"))
     met = met.withColumn("c", F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in ACRONYMS.items() for x in kv)), "c"), "c"))
     # a hyphen variant of a term that the dictionary governs folds into it
-    governed = lexicon.select(F.col("canon").alias("compact")).union(lexicon.sparkSession.createDataFrame([(x,) for x in ACRONYMS.values()], "compact string")).distinct().withColumn("folded", F.col("compact"))
+    ruled = governed(lexicon).select(F.col("canon").alias("compact"), F.col("canon").alias("folded"))
     met = met.withColumn("compact", F.when(F.col("c").contains("-") & F.col("c").rlike(r"^[\x00-\x7F]+$"), F.replace("c", F.lit("-"), F.lit(""))))
-    return met.join(small(governed, fit), "compact", "left").select(column, F.coalesce("folded", "c").alias("canon"))
+    return met.join(small(ruled, fit), "compact", "left").select(column, F.coalesce("folded", "c").alias("canon"))

@@ -1,7 +1,7 @@
 """The card table: rows from items, and its upsert.
 
-Plain Parquet has no update in place, so a merge computes the next version of the table; sinks.publish() writes it beside
-the old one and readers take the newest whole version.
+Plain Parquet has no update in place, so upsert() computes the next version of a whole table, and upsert_buckets() the next
+version of the buckets that a batch touches; both are written beside the old ones, and readers take the newest commit.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from heatline.functions import scores
 from heatline.functions.text import blank_to_null, decode_text, decode_url, keyword_key, title_key, url_key
+from heatline.sources import store
 
 KEYWORDS = 8
 CARD = "url title title_zh title_en summary_zh summary_en dimension source region published hn_points reddit_score reddit_comments score trend hot keywords first_seen_at last_refresh_at active".split()
@@ -48,15 +49,22 @@ def project(cards: DataFrame, lang: str) -> DataFrame:
 
 def merge_duplicates(rows: DataFrame, key: Column | None = None) -> DataFrame:
     """One row per key: the row that has the key already, else the one with keywords and the highest score; keywords of all
-    in that order, first seen earliest, refreshed latest. One grouped aggregation, so copies cost no join."""
+    in that order, first seen earliest, refreshed latest.
+
+    Keywords are first brought down to one row for each key and word, with its best place, and the first KEYWORDS of a key
+    are ranked; so a page with very many copies puts neither its rows nor its words into one value."""
     key = url_key(F.col("url")) if key is None else key
     k = rows.withColumn("_k", key)
     rank = F.struct((F.col("url") == F.col("_k")).alias("own"), (F.size("keywords") > 0).alias("has"), "score", F.col("last_refresh_at"), F.col("url").alias("u"))
     rest = [c for c in rows.columns if c not in ("url", "keywords", "first_seen_at", "last_refresh_at")]
-    words = F.sort_array(F.collect_list(F.struct(rank.alias("r"), "keywords")), asc=False)
-    out = k.groupBy("_k").agg(F.max_by(F.struct(*rest), rank).alias("x"), words.alias("w"), F.min("first_seen_at").alias("first_seen_at"), F.max("last_refresh_at").alias("last_refresh_at"))
-    union = F.slice(F.array_distinct(F.flatten(F.transform("w", lambda x: x["keywords"]))), 1, KEYWORDS)
-    return out.select(F.col("_k").alias("url"), *(F.col(f"x.{c}").alias(c) for c in rest), union.alias("keywords"), "first_seen_at", "last_refresh_at").select(*rows.columns)
+    out = k.groupBy("_k").agg(F.max_by(F.struct(*rest), rank).alias("x"), F.min("first_seen_at").alias("first_seen_at"), F.max("last_refresh_at").alias("last_refresh_at"))
+    each = k.select("_k", rank.alias("r"), F.posexplode("keywords").alias("p", "word"))
+    each = each.groupBy("_k", "word").agg(F.max(F.struct("r", (-F.col("p")).alias("p"))).alias("at"))
+    first = Window.partitionBy("_k").orderBy(F.desc("at"), "word")
+    words = each.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= KEYWORDS).groupBy("_k").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "word"))), lambda x: x["word"]).alias("keywords"))
+    met = out.hint("merge").join(words, "_k", "left")
+    union = F.coalesce("keywords", F.array().cast("array<string>"))
+    return met.select(F.col("_k").alias("url"), *(F.col(f"x.{c}").alias(c) for c in rest), union.alias("keywords"), "first_seen_at", "last_refresh_at").select(*rows.columns)
 
 
 def keeps_old(new: Column, old: Column) -> Column:
@@ -67,14 +75,48 @@ def keeps_old(new: Column, old: Column) -> Column:
 def upsert(table: DataFrame, batch: DataFrame) -> DataFrame:
     """The next version of the card table: both sides one row per key, full outer join; first_seen_at stays, keywords are
     guarded, and cards that the batch doesn't have are no longer active."""
-    old, new = merge_duplicates(table).alias("o"), merge_duplicates(batch).alias("n")
-    met = old.join(new, "url", "full")
     fresh = F.col("n.last_refresh_at").isNotNull()
-    cols = {c: F.when(fresh, F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")) for c in CARD if c != "url"}
+    return _merged(merge_duplicates(table), merge_duplicates(batch), {"active": F.coalesce(fresh, F.lit(False))}).select(*CARD)
+
+
+def _merged(old: DataFrame, new: DataFrame, others: dict[str, Column]) -> DataFrame:
+    """old o and new n, each with one row per url -> one row per url: what is new wins, but for what must stay."""
+    met = old.alias("o").hint("merge").join(new.alias("n"), "url", "full")
+    fresh = F.col("n.last_refresh_at").isNotNull()
+    cols = {c: F.when(fresh, F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")) for c in CARD if c not in ("url", "active")}
     cols["first_seen_at"] = F.coalesce("o.first_seen_at", "n.first_seen_at")
     cols["keywords"] = F.when(~fresh | (F.col("o.keywords").isNotNull() & keeps_old(F.col("n.keywords"), F.col("o.keywords"))), F.col("o.keywords")).otherwise(F.col("n.keywords"))
-    cols["active"] = F.coalesce(fresh, F.lit(False))
-    return met.select("url", *(v.alias(c) for c, v in cols.items())).select(*CARD)
+    return met.select("url", *(v.alias(c) for c, v in (cols | others).items()))
+
+
+#: Columns of the bucketed table: cards that the newest cycle met are the active ones.
+STAMPED = [*(c for c in CARD if c != "active"), "cycle"]
+
+
+def bucket(url: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(url), F.lit(buckets)).cast("int")
+
+
+def upsert_buckets(commit: store.Commit, batch: DataFrame, cycle: str, buckets: int = 256, name: str = "cards") -> list[int]:
+    """Merges a batch into the bucketed card table of a store's commit and returns the buckets that it touched: only those are
+    read and written. Instead of marking absent cards as inactive, which would rewrite them all, cards carry the cycle that
+    last met them; active() compares it with the newest."""
+    spark = batch.sparkSession
+    new = merge_duplicates(batch).withColumn("_b", bucket(F.col("url"), buckets))
+    touched = sorted(r[0] for r in new.select("_b").distinct().collect())  # `buckets` numbers at most
+    old = store.table(spark, commit.path, commit.before, name, [str(b) for b in touched])
+    if old is None:
+        rows = new.select(*(F.col(c) for c in STAMPED if c != "cycle"), F.lit(cycle).alias("cycle"))
+    else:
+        stamp = F.when(F.col("n.last_refresh_at").isNotNull(), F.lit(cycle)).otherwise(F.col("o.cycle"))
+        rows = _merged(old, new.drop("_b"), {"cycle": stamp}).select(*STAMPED)
+    commit.put_parts(name, rows.withColumn("_b", bucket(F.col("url"), buckets)), "_b")
+    return touched
+
+
+def active(rows: DataFrame, cycle: str) -> DataFrame:
+    """Rows of the bucketed table as cards: active are those that the newest cycle met."""
+    return rows.withColumn("active", F.col("cycle") == cycle).select(*CARD)
 
 
 def migrate_dimension(rows: DataFrame, moves: dict[str, str]) -> DataFrame:

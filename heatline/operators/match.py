@@ -1,10 +1,10 @@
 """Which texts hold which surfaces: an inverted-index join in place of every text against every surface.
 
 An ASCII surface matches at word boundaries, in any case, and not before `.digit` (so a later version is no hit). Its
-first alphanumeric run is its anchor: the boundaries force that run to be a whole run of the text, so the equi-join of
+alphanumeric runs are its anchors: the boundaries force each to be a whole run of the text, so the equi-join of
 runs and anchors loses no match, and the pattern is verified on what it brings. A surface with other characters matches
-as a substring; its anchor is the first pair of characters with such a one, met by the text's pairs. Surfaces without an
-anchor (one character, or no alphanumeric) have their first character for one, met by the text's characters. Only keys and
+as a substring; its anchors are its pairs of characters with such a one, met by the text's pairs. Of several anchors the one
+that the fewest texts offer is taken. Surfaces without an anchor (one character, or no alphanumeric) have their first character for one, met by the text's characters. Only keys and
 anchors move through that join; the texts meet what it finds.
 """
 
@@ -26,12 +26,27 @@ def hit(text: Column, surface: Column) -> Column:
     return F.when(ascii_, F.regexp_like(text, pattern(surface))).otherwise(F.lower(text).contains(F.lower(surface)))
 
 
-def surfaces_with_anchor(surfaces: DataFrame) -> DataFrame:
-    """surfaces(..., surface) + anchor; null where there is none."""
-    run = F.lower(F.regexp_extract("surface", "[A-Za-z0-9]+", 0))
-    ascii_ = F.col("surface").rlike(r"^[\x00-\x7F]+$")
-    wide = F.when(F.length("surface") >= 2, F.nullif(F.regexp_extract(F.lower("surface"), r"(?s)(^[^\x00-\x7F].|.[^\x00-\x7F])", 1), F.lit("")))
-    return surfaces.filter(F.coalesce(F.trim("surface"), F.lit("")) != "").withColumn("anchor", F.when(ascii_, F.nullif(run, F.lit(""))).otherwise(wide))
+def anchors_of(surface: Column) -> Column:
+    """Distinct anchors that any text with the surface offers: each alphanumeric run of an ASCII surface, as what bounds a
+    run inside it bounds it in the text too; each pair of characters with a non-ASCII one of another surface."""
+    low = F.lower(surface)
+    runs = F.regexp_extract_all(low, F.lit("([a-z0-9]+)"), 1)
+    pairs = F.when(F.length(low) >= 2, F.transform(F.sequence(F.lit(1), F.length(low) - 1), lambda i: F.substring(low, i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.when(surface.rlike(r"^[\x00-\x7F]+$"), runs).otherwise(F.filter(pairs, lambda p: ~p.rlike(r"^[\x00-\x7F]+$"))))
+
+
+def rarest_anchors(surfaces: DataFrame, offered: DataFrame) -> DataFrame:
+    """surfaces(..., surface) + anchor: of each surface's anchors the one that the fewest texts offer, so that a frequent word
+    in a name doesn't bring every text that has it. offered(anchor): what the texts offer, a row for each text. Surfaces with
+    an anchor that no text offers match nothing and go; those without anchors get null."""
+    forms = surfaces.filter(F.coalesce(F.trim("surface"), F.lit("")) != "").withColumn("_all", anchors_of(F.col("surface")))
+    own = forms.columns[:-1]
+    several = forms.filter(F.size("_all") > 1).select(*own, F.explode("_all").alias("anchor"))
+    wanted = several.select("anchor").distinct()
+    texts = offered.hint("merge").join(wanted, "anchor", "left_semi").groupBy("anchor").agg(F.count("*").alias("_n"))
+    met = several.hint("merge").join(texts, "anchor", "left")
+    best = met.groupBy(*own).agg(F.min_by("anchor", F.struct(F.coalesce("_n", F.lit(0)), "anchor")).alias("anchor"), F.min(F.coalesce("_n", F.lit(0))).alias("_least")).filter("_least > 0").drop("_least")
+    return best.unionByName(forms.filter(F.size("_all") <= 1).select(*own, F.get("_all", F.lit(0)).alias("anchor")))
 
 
 def text_anchors(text: Column) -> Column:
@@ -42,24 +57,24 @@ def text_anchors(text: Column) -> Column:
     return F.array_distinct(F.concat(runs, F.filter(pairs, lambda p: ~p.rlike(r"^[\x00-\x7F]+$"))))
 
 
-def matches(texts: DataFrame, surfaces: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """texts(key, text) and surfaces(canon, surface) -> distinct (key, canon)."""
-    forms = surfaces_with_anchor(surfaces.select("canon", "surface").distinct())
+def matches(texts: DataFrame, surfaces: DataFrame, key: str, text: str = "text", by: tuple[str, ...] = ("canon",)) -> DataFrame:
+    """texts(key, text) and surfaces(by..., surface) -> distinct (key, by...)."""
     rows = texts.select(F.col(key), F.col(text).alias("_text")).filter("_text is not null")
-    by = rows.select(key, F.explode(text_anchors(F.col("_text"))).alias("anchor"))
-    met = by.hint("merge").join(forms.filter("anchor is not null"), "anchor").select(key, "canon", "surface")
+    offered = rows.select(key, F.explode(text_anchors(F.col("_text"))).alias("anchor"))
+    forms = rarest_anchors(surfaces.select(*by, "surface").distinct(), offered)
+    met = offered.hint("merge").join(forms.filter("anchor is not null"), "anchor").select(key, *by, "surface")
     bare = forms.filter("anchor is null").withColumn("anchor", F.lower(F.substring("surface", 1, 1)))
-    if not bare.isEmpty():
+    if not surfaces.filter(F.size(anchors_of(F.col("surface"))) == 0).isEmpty():
         letters = rows.select(key, F.explode(F.array_distinct(F.split(F.lower("_text"), ""))).alias("anchor"))
-        met = met.union(letters.hint("merge").join(bare, "anchor").select(key, "canon", "surface"))
+        met = met.union(letters.hint("merge").join(bare, "anchor").select(key, *by, "surface"))
     found = met.distinct().hint("merge").join(rows, key)
-    return found.filter(hit(F.col("_text"), F.col("surface"))).select(key, "canon").distinct()
+    return found.filter(hit(F.col("_text"), F.col("surface"))).select(key, *by).distinct()
 
 
-def title_matches(cards: DataFrame, surfaces: DataFrame, key: str = "url", fields: tuple[str, ...] = ("title", "title_zh", "title_en")) -> DataFrame:
-    """Distinct (key, canon) where any of the title fields holds a surface."""
+def title_matches(cards: DataFrame, surfaces: DataFrame, key: str = "url", fields: tuple[str, ...] = ("title", "title_zh", "title_en"), by: tuple[str, ...] = ("canon",)) -> DataFrame:
+    """Distinct (key, by...) where any of the title fields holds a surface."""
     titles = cards.select(key, F.explode(F.array_distinct(F.array_compact(F.array(*fields)))).alias("text"))
-    return matches(titles, surfaces, key)
+    return matches(titles, surfaces, key, by=by)
 
 
 def term_surfaces(terms: DataFrame, lexicon: DataFrame) -> DataFrame:
@@ -84,14 +99,14 @@ def original_case(keyword: Column, text: Column) -> Column:
 
 
 def dictionary_keywords(cards: DataFrame, lexicon: DataFrame, stopwords: list[str], key: str = "url", title: str = "title", most: int = 3) -> DataFrame:
-    """(key, keywords): dictionary terms in the title, ASCII hits before others, in dictionary order; stopwords out, as the
-    title writes them."""
+    """(key, keywords): dictionary terms in the title, ASCII hits before others, each in dictionary order (lexicon's no);
+    stopwords out, as the title writes them."""
     from pyspark.sql import Window
 
     text = cards.select(F.col(key), F.col(title).alias("_t"))
-    plain = matches(text, lexicon.filter("is_ascii"), key, "_t").withColumn("class", F.lit(0))
-    wide = matches(text, lexicon.filter("not is_ascii"), key, "_t").withColumn("class", F.lit(1))
-    one = plain.union(wide).filter(~F.col("canon").isin(stopwords)).groupBy(key, "canon").agg(F.min("class").alias("class"))
-    first = Window.partitionBy(key).orderBy("class", "canon")
+    class_ = F.when(F.col("is_ascii"), 0).otherwise(1).alias("class")
+    met = matches(text, lexicon.select("canon", "surface", class_, "no"), key, "_t", by=("canon", "class", "no"))
+    one = met.filter(~F.col("canon").isin(stopwords)).groupBy(key, "canon").agg(F.min(F.struct("class", "no")).alias("at"))
+    first = Window.partitionBy(key).orderBy("at", "canon")
     kept = one.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= most).hint("merge").join(text, key)
     return kept.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("n", original_case(F.col("canon"), F.col("_t")).alias("k")))), lambda x: x["k"]).alias("keywords"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from heatline.functions import lexicon as L
 from heatline.functions import scores
 from heatline.functions.text import compact_key, has_cjk, title_key
 from heatline.operators import match
@@ -16,6 +17,17 @@ from heatline.operators import match
 WINDOW_DAYS, NEW_TERMS, BOARD, TOP_NEWS, TRANSLATIONS, EXPLANATIONS = 7, 150, 200, 3, 100, 60
 
 
+def without_stopwords(words: DataFrame, stopwords: DataFrame, column: str = "canon") -> DataFrame:
+    """Words whose canonical form, in any case, is not a stopword; those without one go. stopwords(word)."""
+    low = words.filter(F.col(column).isNotNull()).withColumn("_low", F.lower(column))
+    return low.join(L.small(stopwords.select(F.lower("word").alias("_low")).distinct()), "_low", "left_anti").drop("_low")
+
+
+def chinese_alias(lexicon: DataFrame) -> DataFrame:
+    """(canon, zh): the first of a term's spellings with CJK characters."""
+    return lexicon.filter(has_cjk(F.col("surface"))).groupBy("canon").agg(F.min_by("surface", "ord").alias("zh"))
+
+
 def keyword_links(cards: DataFrame, words: DataFrame) -> DataFrame:
     """(url, canon) from cards' keywords by the word -> canon table; stopwords are those without a canon there."""
     each = cards.select("url", F.explode(F.array_distinct("keywords")).alias("word"))
@@ -109,10 +121,10 @@ def sliding_mentions(links: DataFrame, cards: DataFrame, days: int = WINDOW_DAYS
     return by.select("canon", "published", F.sum("n").over(own).alias("mentions"))
 
 
-def absent_at_zero(terms: DataFrame, kept: DataFrame) -> DataFrame:
-    """terms(canon, hot, ...) with the heat of those that aren't among kept(canon) set to 0."""
+def absent_at_zero(terms: DataFrame, kept: DataFrame, scores: tuple[str, ...] = ("hot",)) -> DataFrame:
+    """terms(canon, hot, ...) with the scores of those that aren't among kept(canon) set to 0."""
     met = terms.hint("merge").join(kept.select("canon", F.lit(True).alias("_kept")).distinct(), "canon", "left")
-    return met.withColumn("hot", F.when(F.col("_kept"), F.col("hot")).otherwise(0.0)).drop("_kept")
+    return met.withColumns({c: F.when(F.col("_kept"), F.col(c)).otherwise(0.0) for c in scores}).drop("_kept")
 
 
 def index(terms: DataFrame, n: int = 500) -> DataFrame:
@@ -165,14 +177,16 @@ def trend(snapshots: DataFrame, days: int = 7) -> DataFrame:
     return rows.select("term", "date", "news_cnt", "win7_cnt", (F.col("win7_cnt") / F.col("top")).alias("share"))
 
 
-def english_names(terms: DataFrame, glossary: DataFrame, translations: DataFrame) -> DataFrame:
-    """terms(canon, display, display_zh, stored_en) -> + display_en: glossary (name -> en) for names with CJK, then this
-    cycle's translation (80 characters, no CJK), then the stored value."""
-    g = lambda key: glossary.select(F.col("name").alias(key), F.col("en").alias(f"en_{key}"))
-    met = terms.join(g("display"), "display", "left").join(g("display_zh"), "display_zh", "left").join(translations.select("display", F.substring(F.trim("en"), 1, 80).alias("en_now")), "display", "left")
+def english_names(terms: DataFrame, glossary: DataFrame, translations: DataFrame, key: str = "display") -> DataFrame:
+    """terms(canon, display, display_zh, stored_en) -> + display_en and from_glossary: glossary (name -> en) for names with
+    CJK, then the translation by key (80 characters, no CJK), then the stored value."""
+    small = L.fits(glossary)
+    g = lambda key: L.small(glossary.select(F.col("name").alias(key), F.col("en").alias(f"en_{key}")), small)
+    now = translations.select(key, F.substring(F.trim("en"), 1, 80).alias("en_now"))
+    met = terms.join(g("display"), "display", "left").join(g("display_zh"), "display_zh", "left").hint("merge").join(now, key, "left")
     named = F.when(has_cjk(F.col("display")), F.coalesce("en_display", "en_display_zh"))
-    now = F.when((F.col("en_now") != "") & ~has_cjk(F.col("en_now")), F.col("en_now"))
-    return met.select(*terms.columns, F.coalesce(named, now, "stored_en").alias("display_en"))
+    told = F.when((F.col("en_now") != "") & ~has_cjk(F.col("en_now")), F.col("en_now"))
+    return met.select(*terms.columns, F.coalesce(named, told, "stored_en").alias("display_en"), named.isNotNull().alias("from_glossary"))
 
 
 def to_translate(terms: DataFrame, budget: int = TRANSLATIONS) -> DataFrame:
@@ -191,8 +205,22 @@ def to_explain(terms: DataFrame, as_of: Column, static: DataFrame, budget: int =
 def apply_explanations(terms: DataFrame, made: DataFrame, as_of: Column) -> DataFrame:
     """made(canon, zh, en): with both languages, changed texts are written (200 and 300 characters) and every checked term
     is stamped."""
-    new = made.filter("zh <> '' and en <> ''").select("canon", F.substring("zh", 1, 200).alias("_zh"), F.substring("en", 1, 300).alias("_en"))
-    return terms.join(new, "canon", "left").withColumns({"explain_zh": F.coalesce("_zh", "explain_zh"), "explain_en": F.coalesce("_en", "explain_en"), "explain_updated_at": F.when(F.col("_zh").isNotNull(), as_of).otherwise(F.col("explain_updated_at"))}).drop("_zh", "_en")
+    said = lambda c: F.trim(F.coalesce(c, F.lit("")))
+    new = made.filter((said(F.col("zh")) != "") & (said(F.col("en")) != "")).select("canon", F.substring(said(F.col("zh")), 1, 200).alias("_zh"), F.substring(said(F.col("en")), 1, 300).alias("_en"))
+    return terms.hint("merge").join(new, "canon", "left").withColumns({"explain_zh": F.coalesce("_zh", "explain_zh"), "explain_en": F.coalesce("_en", "explain_en"), "explain_updated_at": F.when(F.col("_zh").isNotNull(), as_of).otherwise(F.col("explain_updated_at"))}).drop("_zh", "_en")
+
+
+def due_answers(answers: DataFrame, requests: DataFrame, pool: DataFrame, cycle: str, reps: DataFrame) -> DataFrame:
+    """(kind, canon, cycle, zh, en): for each term of the pool the newest answer to a request of an earlier cycle that hasn't
+    been applied. requests(cycle, kind, canon, ...), answers(cycle, kind, canon, zh, en) name the request's cycle;
+    pool(canon, translated_cycle, explained_cycle) says up to which one answers are in; a twin's answer is its representative's. An answer that nobody asked for, that
+    comes twice or that is older than one applied changes nothing."""
+    asked = requests.filter(F.col("cycle") < cycle).select("cycle", "kind", "canon").distinct()
+    met = to_rep(answers.hint("merge").join(asked, ["cycle", "kind", "canon"], "left_semi"), reps)
+    best = met.groupBy("kind", "canon").agg(F.max_by(F.struct("cycle", "zh", "en"), F.struct("cycle", "en", "zh")).alias("x")).select("kind", "canon", "x.*")
+    done = F.when(F.col("kind") == "translate", F.col("translated_cycle")).otherwise(F.col("explained_cycle"))
+    known = best.hint("merge").join(pool.select("canon", "translated_cycle", "explained_cycle"), "canon")
+    return known.filter(done.isNull() | (F.col("cycle") > done)).select("kind", "canon", "cycle", "zh", "en")
 
 
 def explanation(terms: DataFrame, static: DataFrame, lang: str = "zh") -> DataFrame:

@@ -184,3 +184,13 @@ def rate_limit(hits: DataFrame, limit: int, window: int = 60) -> DataFrame:
             yield part[["bucket", "key", "ts"]].assign(allowed=allowed, retry_after=wait)
 
     return passed.unionByName(runs.mapInPandas(fold, "bucket string, key string, ts timestamp, allowed boolean, retry_after int"))
+
+
+def day_deltas(rows: DataFrame, known: DataFrame | None = None, sign: int = 1) -> tuple[DataFrame, DataFrame]:
+    """(deltas, visitors): what rows(date, ip) add to their days' page views and unique visitors, and the (date, ip) that
+    known(date, ip) doesn't have yet. sign -1 takes rows back; then known are the visitors that stay after it."""
+    views = rows.groupBy("date").agg(F.count("*").alias("pv"))
+    each = rows.filter("ip is not null").select("date", "ip").distinct()
+    new = each if known is None else each.hint("merge").join(known.select("date", "ip"), ["date", "ip"], "left_anti")
+    visitors = new.groupBy("date").agg(F.count("*").alias("uv"))
+    return views.hint("merge").join(visitors, "date", "left").select("date", (F.col("pv") * sign).alias("pv"), (F.coalesce("uv", F.lit(0)) * sign).alias("uv")), new

@@ -178,15 +178,20 @@ def _(spark, sf):
 
 @add("m9_a16_backfill", "select canon as term, strftime(published, '%Y-%m-%d') || '-00' as cycle, count(*) as news_cnt from (select url, unnest(['quantum', 'robotics']) as canon, published, title from cards) where (canon = 'quantum' and regexp_matches(lower(title), '(^|[^a-z0-9])(is|was)([^a-z0-9.]|\\.[^0-9]|\\.?$)')) or (canon = 'robotics' and regexp_matches(lower(title), '(^|[^a-z0-9])(and|ne pas)([^a-z0-9.]|\\.[^0-9]|\\.?$)')) group by all", "cards")
 def _(spark, sf):
-    lex = spark.createDataFrame([("quantum", "is", 0, True), ("quantum", "was", 1, True), ("robotics", "and", 0, True), ("robotics", "ne pas", 1, True)], "canon string, surface string, ord int, is_ascii boolean")
+    lex = spark.createDataFrame([("quantum", "is", 0, True), ("quantum", "was", 1, True), ("robotics", "and", 0, True), ("robotics", "ne pas", 1, True)], "canon string, surface string, ord int, is_ascii boolean").withColumn("no", F.when(F.col("canon") == "quantum", 0).otherwise(1))
     snaps = _snaps(spark, sf).select("term", "cycle")
     _, made = T.backfill(scored_cards(spark, sf), lex, snaps, [], force=True)
     return made.select("term", "cycle", "news_cnt")
 
 
-@add("c10_dictionary_keywords", "select url, string_agg(k, ',' order by n) as keywords from (select url, k, row_number() over (partition by url order by k) as n from (select url, unnest(['and', 'is', 'the', 'was']) as k, title from cards) where regexp_matches(lower(title), '(^|[^a-z0-9])' || k || '([^a-z0-9.]|\\.[^0-9]|\\.?$)')) where n <= 3 group by url", "cards")
+#: Not in the order of their names: of more than three hits, the first three by the dictionary stay.
+_DICTIONARY = ["was", "the", "les", "is", "and", "der"]
+
+
+@add("c10_dictionary_keywords", f"""select url, string_agg(k, ',' order by n) as keywords from (select url, k, row_number() over (partition by url order by no) as n
+  from (select url, title, unnest({_DICTIONARY}) as k, generate_subscripts({_DICTIONARY}, 1) as no from cards) where regexp_matches(lower(title), '(^|[^a-z0-9])' || k || '([^a-z0-9.]|\\.[^0-9]|\\.?$)')) where n <= 3 group by url""", "cards")
 def _(spark, sf):
-    lex = spark.createDataFrame([(w, w, 0, True) for w in ("and", "is", "the", "was")], "canon string, surface string, ord int, is_ascii boolean")
+    lex = L.spelled(spark.createDataFrame([(i, w, []) for i, w in enumerate(_DICTIONARY)], "no int, canon string, forms array<string>"))
     return match.dictionary_keywords(cards(spark, sf), lex, []).select("url", F.lower(F.array_join("keywords", ",")).alias("keywords"))
 
 

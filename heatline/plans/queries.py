@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from heatline.plans import landed_queries, misc_queries, news_queries, term_queries, traffic_queries
+from heatline.plans import landed_queries, misc_queries, news_queries, refresh_queries, term_queries, traffic_queries
 
-_PARTS = (traffic_queries, news_queries, term_queries, landed_queries, misc_queries)
+_PARTS = (traffic_queries, news_queries, term_queries, landed_queries, misc_queries, refresh_queries)
 
 
 def queries() -> dict:

@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from heatline.functions import lexicon as L
 from heatline.operators import boards, cards, match, search, terms
+from heatline.operators import cards as C
+from heatline.plans import refresh
 from heatline.plans.refresh import refresh_terms
+from heatline.sources import store
 
 
 
@@ -96,10 +99,10 @@ def test_refresh(spark):
     current = df.filter("url in ('u1', 'u5')").select("url", F.lit(10.0).alias("signal"))
     models = spark.createDataFrame([("me/NewModel-7B-GGUF", "NewModel-7B-GGUF", 30, 3, 0), ("me/NewModel-7B", "NewModel-7B", 40, 9, 1)], "full_id string, term string, likes long, trending_score long, pos long")
     at = datetime.datetime(2024, 1, 29)
-    old = spark.createDataFrame([("open-thing", "open-thing", None, None, at, 0), ("gone-term", "Gone", None, "Gone", at, 3)], "term string, display string, display_zh string, display_en string, first_seen_at timestamp, likes long")
+    old = spark.createDataFrame([("open-thing", "open-thing", None, None, at, 2.0), ("gone-term", "Gone", None, "Gone", at, 3.0)], "term string, display string, display_zh string, display_en string, first_seen_at timestamp, hot double")
     snaps = spark.createDataFrame([("open-thing", "2024-01-30-08", 1, 1, 1, 0.0), ("openthing", "2024-01-30-08", 1, 1, 1, 0.0)], "term string, cycle string, news_cnt long, win7_cnt long, score_sum long, signal_sum double")
     pool = refresh_terms(df, current, models, old, snaps, L.load(spark), as_of(), "2024-01-31-08", L.STOPWORDS, L.MEDIA)
-    t = {r.canon: r for r in pool.terms.collect()}
+    t = {r.term: r for r in pool.terms.collect()}
     assert "openthing" not in t and t["open-thing"].mentions == 4 and t["open-thing"].win7 == 2
     assert t["open-thing"].hot == 10 * 3.0 + 20 * 1.5 and float(t["open-thing"].rise) == 0.0  # two in the window now and in the twins' last cycle
     assert t["open-thing"].first_seen_at.date() == DAY(2024, 1, 1)
@@ -110,6 +113,83 @@ def test_refresh(spark):
     w = pool.words.collect()
     assert w[0].id == "open-thing" and [n.official_url for n in w[0].top_news] == ["u3", "u2", "u1"]
     assert w[0].display == "OpenThing"
+    assert {r.day for r in pool.days.collect()} == {"2024-01-30", "2024-01-31"}
+    pool.clear()
+
+
+def test_requests_and_answers_over_cycles(spark):
+    """Requests of one cycle, answers in the next, applied once; explanations stay with terms and go to a twin's representative."""
+    rows = [card("u1", "智象 ships", 10, "2024-01-31", ["智象"]), card("u2", "fast-lane opens", 9, "2024-01-30", ["fast-lane"]), card("u3", "the fastlane report", 8, "2024-01-30", ["fastlane"])]
+    df = spark.createDataFrame(rows, CARDS)
+    current = df.select("url", F.lit(1.0).alias("signal"))
+    models = spark.createDataFrame([], "full_id string, term string, likes long, trending_score long, pos long")
+    lexicon = L.load(spark)
+    snaps = spark.createDataFrame([], refresh.SNAPSHOT)
+
+    def cycle(at, old, requests, answers, hours=0):
+        now = F.lit("2024-01-31 08:00:00").cast("timestamp") + F.make_dt_interval(hours=F.lit(hours))
+        made = refresh_terms(df, current, models, old, snaps, lexicon, now, at, L.STOPWORDS, [], requests=requests, answers=answers)
+        return refresh.cut(made.terms), refresh.cut(made.requests)
+
+    old = refresh.pool_rows(spark.createDataFrame([("fastlane", "fastlane", "旧", "old", datetime.datetime(2024, 1, 30, 9))], "term string, display string, explain_zh string, explain_en string, explain_updated_at timestamp"))
+    terms1, asked1 = cycle("2024-01-31-08", old, None, None)
+    t = {r.term: r for r in terms1.collect()}
+    assert t["fastlane"].explain_zh == "旧" and "fast-lane" not in t  # the known twin represents both
+    assert {(r.kind, r.canon) for r in asked1.collect()} == {("translate", "智象"), ("explain", "智象")}
+    asked1 = asked1.union(spark.createDataFrame([("2024-01-31-08", "explain", "fast-lane", "x", [], None, None, 9)], asked1.schema))
+    said = [("2024-01-31-08", "translate", "智象", None, " Zhixiang "), ("2024-01-31-08", "explain", "智象", "象", "an elephant"), ("2024-01-31-08", "explain", "fast-lane", "新", "new"), ("2024-01-31-00", "translate", "fastlane", None, "not asked")]
+    answers = spark.createDataFrame(said * 2, refresh.ANSWER)
+    assert {r.display_en for r in cycle("2024-01-31-08", terms1, asked1, answers)[0].collect()} == {None}  # the same cycle doesn't take its own answers
+    terms2, asked2 = cycle("2024-01-31-12", terms1, asked1, answers, 4)
+    t = {r.term: r for r in terms2.collect()}
+    assert t["智象"].display_en == "Zhixiang" and t["智象"].explain_en == "an elephant" and t["fastlane"].explain_en == "new" and t["fastlane"].display_en is None
+    assert t["智象"].translated_cycle == "2024-01-31-08" and t["fastlane"].explain_updated_at.hour == 12
+    assert [(r.kind, r.canon) for r in asked2.collect()] == [("translate", "智象")]  # asked again for a better name
+    edited = terms2.withColumn("explain_en", F.lit("edited"))
+    terms3, _ = cycle("2024-01-31-16", edited, asked1.union(asked2), answers, 8)
+    assert {r.explain_en for r in terms3.collect()} == {"edited"}  # no answer is applied twice
+
+
+def test_stopwords_and_aliases(spark):
+    words = spark.createDataFrame([("x", "AI"), ("y", "rust"), ("z", None)], "word string, canon string")
+    assert [r.word for r in terms.without_stopwords(words, spark.createDataFrame([("ai",)], "word string")).collect()] == ["y"]
+    lex = L.spelled(spark.createDataFrame([(0, "robotics", ["robot", "机器人", "机械"]), (1, "rust", [])], "no int, canon string, forms array<string>"))
+    assert [tuple(r) for r in terms.chinese_alias(lex).collect()] == [("robotics", "机器人")]
+    table = {r.word: r.canon for r in L.canonical(spark.createDataFrame([("Robots",), ("rusts",), ("Dev-Ops",), ("json",)], "word string"), lex).collect()}
+    assert table == {"Robots": "robotics", "rusts": "rust", "Dev-Ops": "dev-ops", "json": "JSON"}
+
+
+def test_buckets_equal_the_whole_merge(spark, tmp_path):
+    cols = "url string, title string, title_zh string, title_en string, summary_zh string, summary_en string, dimension string, source string, region string, published string, hn_points long, reddit_score long, reddit_comments long, score long, trend long, hot long, keywords array<string>"
+    made = random.Random(1)
+    row = lambda i: (f"https://h/{i}", f"t{i}", "", "", "", "", "d", "s", "r", "2024-01-01", 0, 0, 0, made.randrange(99), 0, 0, made.sample(["a1", "b1", "c1", "d1"], made.randrange(4)))
+    whole, path = None, f"{tmp_path}/store"
+    for n, urls in enumerate([range(300), [3, 5, 3, 7], range(290, 320), []]):
+        batch = C.stored(spark.createDataFrame([row(i) for i in urls], cols), F.lit(f"2024-01-0{n + 1}").cast("timestamp"))
+        batch = refresh.cut(batch)
+        whole = refresh.cut(C.upsert(batch.limit(0) if whole is None else whole, batch))
+        commit = store.Commit(spark, path)
+        touched = C.upsert_buckets(commit, batch, f"2024-01-0{n + 1}", buckets=64)
+        at = commit.publish()
+        assert len(touched) <= len(set(urls)) and (n != 1 or len(touched) <= 3)
+        changed = {b for b, folder in at.tables["cards"]["parts"].items() if commit.before.tables.get("cards", {"parts": {}})["parts"].get(b) != folder}
+        assert changed == {str(b) for b in touched}
+        got = C.active(store.table(spark, path, at, "cards"), f"2024-01-0{n + 1}")
+        assert sorted(map(tuple, got.select(C.CARD).collect()), key=str) == sorted(map(tuple, whole.select(C.CARD).collect()), key=str)
+
+
+def test_rarest_anchor_loses_no_match(spark):
+    made = random.Random(4)
+    words = ["the", "verge", "a", "x1", "Σx", "机器", "器人", "9", "c++", ".", "-", "Ab"]
+    texts = [(i, made.choice(["", " "]).join(made.choices(words, k=made.randrange(1, 8)))) for i in range(200)]
+    forms = sorted({made.choice(["", " ", "-"]).join(made.choices(words, k=made.randrange(1, 4))) for _ in range(150)} | {"the verge", "+", "机"})
+    t, f = spark.createDataFrame(texts, "key long, text string"), spark.createDataFrame([(s, s) for s in forms], "canon string, surface string")
+    got = {tuple(r) for r in match.matches(t, f, "key").collect()}
+    every = t.crossJoin(f.filter("trim(surface) <> ''")).filter(match.hit(F.col("text"), F.col("surface"))).select("key", "canon")
+    assert got == {tuple(r) for r in every.collect()} and len(got) > 300
+    offered = spark.createDataFrame([("the",)] * 5 + [("verge",)], "anchor string")
+    best = {r.surface: r.anchor for r in match.rarest_anchors(spark.createDataFrame([("the verge",), ("the moon",), ("the",)], "surface string"), offered).collect()}
+    assert best == {"the verge": "verge", "the": "the"}
 
 
 @pytest.mark.parametrize("parts", [1, 16])

@@ -2,6 +2,8 @@
 
 import json
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from heatline.sources import landed as L
@@ -131,3 +133,63 @@ def test_pool_and_top_sinks(spark, tmp_path):
     pool = sinks.latest(spark, f"{tmp_path}/pool")
     assert set(pool.columns) == {"url", "dimension", "score"} and pool.filter("dimension = 'd2'").first().url == "u2"
     assert sinks.publish_tops(rows.withColumn("rank", F.lit(1)), f"{tmp_path}/tops") == 1 and sinks.latest(spark, f"{tmp_path}/tops").count() == 2
+
+
+def test_damaged_glossary_files_are_reported(spark, tmp_path):
+    from heatline.functions import lexicon as L
+
+    files = {"a.json": '{"deep-sea": ["deep sea"]}', "b.json": '{"ice": ["i', "c.json": " ", "d.json": "[1]"}
+    for name, text in files.items():
+        (tmp_path / name).write_text(text)
+    told = {r.file.split("/")[-1]: r.problem for r in L.glossary(spark, str(tmp_path)).collect()}
+    assert told == {"a.json": None, "b.json": "no JSON object of lists", "c.json": "empty file", "d.json": "no JSON object of lists"}
+    assert {r.canon for r in L.load(spark, str(tmp_path)).collect()} == {"deep-sea"}
+
+
+def test_commits_of_several_tables(spark, tmp_path):
+    """Readers see the tables of one commit, whatever dies in between; parts that a commit doesn't touch stay where they are."""
+    from heatline.sources import store
+
+    path = f"{tmp_path}/s"
+    rows = lambda *xs: spark.createDataFrame(list(xs), "k string, v int")
+    see = lambda name, at=None: sorted(map(tuple, store.table(spark, path, at or store.newest(spark, path), name).collect()))
+    one = store.Commit(spark, path)
+    one.put("a", rows(("x", 1)))
+    one.put_parts("b", rows(("p", 1), ("q", 1), (None, 1)).withColumn("_k", F.col("k")), "_k")
+    assert store.newest(spark, path).number == 0 and store.table(spark, path, store.newest(spark, path), "a") is None
+    one.publish(batch=1)
+    pinned = store.newest(spark, path)
+    died = store.Commit(spark, path)  # dies after its first table
+    died.put("a", rows(("x", 99)))
+    assert see("a") == [("x", 1)]
+    two = store.Commit(spark, path)
+    two.put("a", rows(("x", 2)))
+    two.put_parts("b", rows(("q", 2), ("r", 2)).withColumn("_k", F.col("k")), "_k")
+    two.publish(batch=2)
+    assert see("a") == [("x", 2)] and see("a", pinned) == [("x", 1)]
+    assert sorted(map(str, store.table(spark, path, store.newest(spark, path), "b").collect())) == sorted(map(str, rows(("p", 1), (None, 1), ("q", 2), ("r", 2)).collect()))
+    assert store.newest(spark, path).tables["b"]["parts"]["p"] == pinned.tables["b"]["parts"]["p"]
+    with pytest.raises(RuntimeError):  # begun before the second commit
+        died.publish(batch=9)
+    store.retire(spark, path, keep=1)
+    assert store.numbers(spark, path) == [2] and see("a") == [("x", 2)]
+    assert len(list((tmp_path / "s" / "a").iterdir())) == 1  # the dead writer's folder is gone
+    three = store.Commit(spark, path)
+    three.put_parts("b", rows().withColumn("_k", F.col("k")), "_k", keep=False)
+    three.publish()
+    assert see("b") == [] and store.newest(spark, path).notes == {}
+
+
+def test_every_landed_line_is_accepted_or_rejected(spark):
+    line = json.dumps
+    day = "2024-01-03T10:00:00"
+    lines = [line({"ip": "1", "country": "", "ts": day}), line({"ip": "", "ts": day}), "{broken", "", None, line({"ip": 5, "ts": "never"}), "[]"]
+    out = traffic.judged(spark.createDataFrame([(x,) for x in lines], "value string"), "visits", "ip string, country string, ts timestamp").collect()
+    assert sorted((r.status, r.reason) for r in out) == [("accepted", None), *[("rejected", "malformed")] * 5, ("rejected", "no ip")]
+    assert all((r.raw is None) == (r.status == "accepted") for r in out) and {r.country for r in out if r.ip == "1"} == {"Unknown"}
+    batch = {"session_id": "s", "path": "/", "country": None, "ts": day, "events": [{"event_type": "click", "event_data": "{}"}] * 60 + [{"event_type": "hack"}]}
+    shape = "session_id string, path string, country string, ts timestamp, events array<struct<event_type string, event_data string>>"
+    out = traffic.judged(spark.createDataFrame([(line(batch),), (line(batch | {"events": []}),)], "value string"), "batches", shape).groupBy("status", "reason").count().collect()
+    assert {(r.status, r.reason, r["count"]) for r in out} == {("accepted", None, 50), ("rejected", "over the batch's limit", 11), ("rejected", "no events", 1)}
+    kept = traffic.event_batches(spark.createDataFrame([batch | {"ts": None}], shape)).count()
+    assert kept == 50

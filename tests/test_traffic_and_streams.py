@@ -3,6 +3,7 @@
 import datetime
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from heatline.operators import traffic as T
@@ -103,29 +104,111 @@ def test_replayed_batch_is_published_once(spark, tmp_path):
     assert versions(spark, path) == [1, 2] and made == [3, 5] and latest(spark, path).count() == 5
 
 
-def test_refresh_cycles_stream(spark, tmp_path):
-    """Items of two files as two cycles: cards, then terms, snapshots and the word board from them."""
-    from heatline.functions import lexicon as L
-    from heatline.sources.sinks import latest, versions
+ITEMS = "url string, title string, title_zh string, title_en string, summary_zh string, summary_en string, dimension string, source string, region string, published date, hn_points long, reddit_score long, reddit_comments long, keywords array<string>, fetched_at timestamp"
+
 
+def item(i, word, hour):
     day = datetime.date(2024, 1, 30)
-    cols = "url string, title string, title_zh string, title_en string, summary_zh string, summary_en string, dimension string, source string, region string, published date, hn_points long, reddit_score long, reddit_comments long, keywords array<string>"
-    item = lambda i, word: (f"https://h/{i}?utm_source=a", f"About {word} {i}", None, None, "", "", "d0", "s", "away", day, i, 0, 0, [word, "common"])
-    for k in range(2):
-        spark.createDataFrame([item(i, f"word{i % 3}") for i in range(10 * k, 10 * k + 12)], cols).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    return (f"https://h/{i}?utm_source=a", f"About {word} {i}", None, None, "", "", f"d{i % 2}", "s", "away", day, i, 0, 0, [word, "common"], datetime.datetime(2024, 1, 31, hour, 5))
+
+
+def test_refresh_cycles_stream(spark, tmp_path, monkeypatch):
+    """Three hours in two files, the second begun after a crash between two tables: one commit for each hour, a rise between
+    them, and answers that came in between."""
+    from heatline.functions import lexicon as L
+    from heatline.plans import refresh as R
+    from heatline.sources import store
+
+    path = f"{tmp_path}/out"
+    land = lambda rows: spark.createDataFrame(rows, ITEMS).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    land([item(i, f"word{i % 3}", 8) for i in range(12)])
     models = spark.createDataFrame([("org/word1-chat", "word1-chat", 5, 2, 0)], "full_id string, term string, likes long, trending_score long, pos long")
-    stream = S.read_landed(spark, f"{tmp_path}/in", cols, files=1)
-    q = S.refresh_cycles(stream, f"{tmp_path}/out", f"{tmp_path}/cp", models, L.load(spark), as_of(), "2024-01-31-08", ["ai"], [])
+    said = [("2024-01-31-08", "explain", "common", "常", "usual")]
+    answers = lambda s: s.createDataFrame(said, R.ANSWER)
+    start = lambda: S.refresh_cycles(S.read_landed(spark, f"{tmp_path}/in", ITEMS, files=1), path, f"{tmp_path}/cp", models, L.load(spark), ["ai"], [], answers=answers, buckets=8)
+    q = start()
     assert q.awaitTermination(600) and q.exception() is None
-    cards = latest(spark, f"{tmp_path}/out/cards")
-    assert cards.count() == 22 and cards.filter("active").count() == 12 and all("utm" not in r.url for r in cards.collect())
-    for name in ("cards", "terms", "snapshots", "words"):
-        assert versions(spark, f"{tmp_path}/out/{name}") == [1, 2]
-    terms = {r.canon: r.mentions for r in latest(spark, f"{tmp_path}/out/terms").collect()}
-    assert terms["common"] == 22 and "word1" in terms
-    words = {r.id: r.news_cnt for r in latest(spark, f"{tmp_path}/out/words").collect()}
-    assert words["common"] == 22
-    assert latest(spark, f"{tmp_path}/out/snapshots").filter("term = 'common'").count() == 1
+    see = lambda name: store.table(spark, path, store.newest(spark, path), name)
+    assert store.newest(spark, path).notes["cycle"] == "2024-01-31-08" and see("cards").count() == 12
+
+    land([item(i, f"word{i % 3}", 9) for i in range(10, 16)] + [item(i, "late", 7) for i in (90,)] + [item(i, "more", 10) for i in range(30, 32)])
+    put, calls = store.Commit.put, []
+
+    def dies(self, name, df, part="all"):
+        calls.append(name)
+        if len(calls) == 5:  # inside the second hour of the batch
+            raise OSError("the machine is gone")
+        return put(self, name, df, part)
+
+    monkeypatch.setattr(store.Commit, "put", dies)
+    q = start()
+    with pytest.raises(Exception):
+        q.awaitTermination(600)
+    half = store.newest(spark, path)
+    assert half.notes["hour"] == "2024-01-31-07" and half.notes["cycle"] == "2024-01-31-08"
+    assert store.table(spark, path, half, "cards").count() == 13 == store.table(spark, path, half, "terms").filter("term = 'common'").first().mentions
+    monkeypatch.setattr(store.Commit, "put", put)
+    q = start()
+    assert q.awaitTermination(600) and q.exception() is None
+    last = store.newest(spark, path)
+    assert (last.number, last.notes["hour"], last.notes["cycle"]) == (4, "2024-01-31-10", "2024-01-31-10")
+    cards = see("cards")
+    assert cards.count() == 19 and cards.filter("cycle = '2024-01-31-10'").count() == 2 and all("utm" not in r.url for r in cards.collect())
+    terms = {r.term: r for r in see("terms").collect()}
+    assert terms["common"].mentions == 19 and terms["common"].explain_en == "usual" and terms["common"].explained_cycle == "2024-01-31-08"
+    assert terms["common"].rise == round((19 - 17) / 17, 4) and "word1" in terms
+    assert {r.cycle for r in see("snapshots").filter("term = 'common'").collect()} == {f"2024-01-31-{h}" for h in ("08", "09", "10")}
+    assert {r.id: r.news_cnt for r in see("words").collect()}["common"] == 19
+    assert {r.cycle for r in see("requests").collect()} == {"2024-01-31-08", "2024-01-31-09", "2024-01-31-10"}
+    pool = see("news_pool")
+    assert pool.filter("not from_history").count() == 2 and pool.count() == 19 and see("tops").filter("rank = 1").count() == 2
+
+
+def test_ingest_after_a_restart(spark, tmp_path):
+    """Landed lines = accepted + rejected, each once, whatever was restarted; the accepted ones as the batch reader gives them."""
+    import json
+
+    from heatline.sources import traffic
+
+    shape = "query string, country string, ts timestamp"
+    lines = [json.dumps({"query": q, "ts": f"2024-01-0{i % 3 + 1} 00:00:00"}) for i, q in enumerate(["spark", " ", "a{b}", "x" * 99] * 10)] + ["{", "nothing"]
+    (tmp_path / "in").mkdir()
+    for k in range(2):
+        (tmp_path / "in" / f"{k}.json").write_text("\n".join(lines[k * 20 : k * 20 + 20] if k == 0 else lines[20:]))
+        stream = spark.readStream.schema("value string").format("text").load(f"{tmp_path}/in")
+        q = S.ingest(stream, "searches", shape, f"{tmp_path}/out", f"{tmp_path}/cp")
+        assert q.awaitTermination(120) and q.exception() is None
+    out = spark.read.parquet(f"{tmp_path}/out")
+    assert out.count() == len(lines) == 42 and out.filter("status = 'rejected'").groupBy("reason").count().count() == 3
+    batch = traffic.searches(spark.read.schema(shape).json(f"{tmp_path}/in").filter("ts is not null")).select("query", "country", F.to_date("ts").alias("date"))
+    assert sorted(map(tuple, out.filter("status = 'accepted'").select("query", "country", "date").collect())) == sorted(map(tuple, batch.collect()))
+    assert out.filter("status = 'rejected' and raw is null").count() == 0
+
+
+def test_late_rows_are_corrections(spark, tmp_path):
+    """Stream plus corrections = one batch over all rows, and a closed day changes by a correction only."""
+    made = random.Random(7)
+    day = lambda d: datetime.datetime(2024, 1, d) + datetime.timedelta(seconds=made.randrange(86400))
+    files = [[(str(made.randrange(6)), day(d)) for d in (1, 1, 2)] for _ in range(3)] + [[("9", day(9)), (None, day(8))], [("1", day(1)), ("new", day(1)), ("new", day(2)), ("2", day(9))], [("new", day(1)), ("8", day(10))]]
+    path = f"{tmp_path}/days"
+    for k, rows in enumerate(files):
+        spark.createDataFrame(rows, "ip string, ts timestamp").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        q = S.count_days(S.read_landed(spark, f"{tmp_path}/in", "ip string, ts timestamp", files=1), path, f"{tmp_path}/cp")
+        assert q.awaitTermination(120) and q.exception() is None
+        if k == 3:
+            before = {r.date: (r.pv, r.uv) for r in S.day_counters(spark, path).collect()}
+        if k == 4:
+            closed = {r.date: (r.pv, r.uv) for r in S.day_counters(spark, path).collect()}
+            assert all(closed[d] == before[d] for d in before if d.day < 8)
+            assert S.correct_days(spark, path) > 0
+    assert S.correct_days(spark, path) > 0 and S.correct_days(spark, path) == 0
+    got = {r.date: (r.pv, r.uv) for r in S.day_counters(spark, path).collect()}
+    every = [r for rows in files for r in rows]
+    want = {d: (sum(t.date() == d for _, t in every), len({ip for ip, t in every if t.date() == d and ip is not None})) for d in {t.date() for _, t in every}}
+    assert got == want
+    rows = spark.createDataFrame([(datetime.date(2024, 1, 1), "new")], "date date, ip string")
+    back, _ = T.day_deltas(rows, rows.limit(0), sign=-1)
+    assert [tuple(r)[1:] for r in back.collect()] == [(-1, -1)]
 
 
 def test_rate_limit_of_a_hot_key(spark):
