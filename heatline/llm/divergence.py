@@ -30,7 +30,7 @@ from heatline.llm.common import Scratch
 
 SCALE = 1_000_000_000
 #: Terms that a task gathers before it passes their counts on.
-GATHERED = 400_000
+GATHERED = 600_000
 #: Groups (lang and source) up to which their table is broadcast.
 FITS = 20_000
 #: Bytes to the bytes of terms: ASCII letters in lower case, bytes of other characters as they are, all else a space.
@@ -49,42 +49,41 @@ def differ(p: Column, q: Column) -> Column:
 
 
 def counted(texts: DataFrame) -> DataFrame:
-    """texts(lang, weights array<struct<idx,n>>, text) -> (lang, term, idx, n): occurrences for each source idx, and under
-    idx -1 the documents that have the term. Counts are partial: a term may stand in several rows."""
+    """texts(lang, weights array<struct<idx,n>>, text) -> (lang, term, idx, n, docs): occurrences of a term in the texts of
+    source idx and documents with it. Counts are partial: a term and source may stand in several rows."""
 
-    def emit(held: dict[tuple[str, int], Counter]) -> Iterator[pa.RecordBatch]:
-        for (lang, idx), terms in held.items():
-            shape = [pa.array([lang] * len(terms), pa.string()), pa.array(list(terms), pa.binary()).cast(pa.string()), pa.array([idx] * len(terms), pa.int32()), pa.array(list(terms.values()), pa.int64())]
-            yield pa.RecordBatch.from_arrays(shape, ["lang", "term", "idx", "n"])
+    def emit(held: dict[tuple[str, int], tuple[Counter, Counter]]) -> Iterator[pa.RecordBatch]:
+        for (lang, idx), (terms, docs) in held.items():
+            arrays = [pa.array([lang] * len(terms), pa.string()), pa.array(list(terms), pa.binary()).cast(pa.string()), pa.array([idx] * len(terms), pa.int32()), pa.array(list(terms.values()), pa.int64()), pa.array([docs[t] for t in terms], pa.int64())]
+            yield pa.RecordBatch.from_arrays(arrays, ["lang", "term", "idx", "n", "docs"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[str, int], Counter] = defaultdict(Counter)
+        held: dict[tuple[str, int], tuple[Counter, Counter]] = defaultdict(lambda: (Counter(), Counter()))
         size = 0
         for batch in batches:
             for lang, weights, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist()):
                 words = text.translate(_TERM).split()
                 size += len(words)
                 if len(weights) == 1 and weights[0]["n"] == 1:
-                    held[lang, weights[0]["idx"]].update(words)
-                    held[lang, -1].update(set(words))
+                    terms, docs = held[lang, weights[0]["idx"]]
+                    terms.update(words)
+                    docs.update(set(words))
                 else:
                     own = Counter(words)
                     for idx, n in [(w["idx"], w["n"]) for w in weights]:
-                        into = held[lang, idx]
+                        terms, docs = held[lang, idx]
                         for term, count in own.items():
-                            into[term] += n * count
-                    into, n = held[lang, -1], sum(w["n"] for w in weights)
-                    for term in own:
-                        into[term] += n
+                            terms[term] += n * count
+                            docs[term] += n
                 if size > GATHERED:
-                    size = sum(map(len, held.values()))
+                    size = sum(len(terms) for terms, _ in held.values())
                     if size > GATHERED:
                         yield from emit(held)
                         held.clear()
                         size = 0
         yield from emit(held)
 
-    return texts.select("lang", "weights", "text").mapInArrow(run, "lang string, term string, idx int, n long")
+    return texts.select("lang", "weights", "text").mapInArrow(run, "lang string, term string, idx int, n long, docs long")
 
 
 def audit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", least: int = 3, top: int = 200) -> DataFrame:
@@ -101,10 +100,10 @@ def audit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sourc
     weights = copies.join(groups.hint(how), ["lang", "source"]).groupBy("digest", "lang").agg(F.collect_list(F.struct("idx", "n")).alias("weights"))
     once = keyed.groupBy("digest", "lang").agg(F.first("text").alias("text"))
     parts = counted(once.hint("merge").join(weights, ["digest", "lang"]))
-    sums = parts.groupBy("lang", "term", "idx").agg(F.sum("n").alias("n"))
+    sums = parts.groupBy("lang", "term", "idx").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     kept = scratch.write(
         sums.groupBy("lang", "term")
-        .agg(F.max(F.when(F.col("idx") < 0, F.col("n"))).alias("docs"), F.sum(F.when(F.col("idx") >= 0, F.col("n"))).alias("total"), F.collect_list(F.when(F.col("idx") >= 0, F.struct("idx", "n"))).alias("counts"))
+        .agg(F.sum("docs").alias("docs"), F.sum("n").alias("total"), F.collect_list(F.struct("idx", "n")).alias("counts"))
         .filter(F.col("docs") >= least),
         "kept",
     )
