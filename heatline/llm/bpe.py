@@ -151,24 +151,31 @@ def codec(name: str = FILE, leaf: int = LEAF) -> Codec:
     return Codec(public_tokenizers.path(name), leaf)
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", name: str = FILE, leaf: int = LEAF, spread: int = SPREAD) -> DataFrame:
-    """(id, n_tokens, ids) for each row; ids are little-endian unsigned 32-bit numbers in one binary value."""
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", name: str = FILE, leaf: int = LEAF, spread: int = SPREAD, decoded_col: str | None = None) -> DataFrame:
+    """(id, n_tokens, ids) for each row; ids are little-endian unsigned 32-bit numbers in one binary value. With decoded_col
+    also the text that decode() gives for them, which saves a second pass through Python workers."""
+    added = [decoded_col] if decoded_col else []
     rows = docs.select(F.col(id_col).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(name, leaf)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([own.encode(t) for t in batch.column(1).to_pylist()], pa.binary())], ["key", "ids"])
+            ids = [own.encode(t) for t in batch.column(1).to_pylist()]
+            texts = [pa.array([own.decode(i) for i in ids], pa.string())] if added else []
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), *texts], ["key", "ids", *added])
 
     unsplit = "|".join(rf"(?<!{k}){k}{{{spread + 1},}}+" for k in _KINDS)
     far = (F.length("text") > spread) & F.col("text").rlike(unsplit)
-    made = rows.filter(~far).mapInArrow(near, f"key {kind}, ids binary")
+    made = rows.filter(~far).mapInArrow(near, f"key {kind}, ids binary" + "".join(f", `{c}` string" for c in added))
     long = rows.filter(far).withColumn("digest", F.sha2("text", 256))
     if not long.isEmpty():
         ids = _spread(long, name, leaf, spread)
-        made = made.union(long.select("key", "digest").hint("merge").join(ids, "digest").select("key", "ids"))
-    return made.select(F.col("key").alias(id_col), (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids")
+        coded = long.select("key", "digest").hint("merge").join(ids, "digest").select("key", "ids")
+        if added:
+            coded = decode(coded.withColumn("_ids", F.col("ids")), "_ids", decoded_col, name).select("key", "ids", decoded_col)
+        made = made.union(coded)
+    return made.select(F.col("key").alias(id_col), (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", *added)
 
 
 def _pieces(own: Codec, text: str, spread: int) -> Iterator[tuple[bool, bytes]]:
@@ -267,5 +274,5 @@ def decode(coded: DataFrame, ids_col: str = "ids", text_col: str = "decoded", na
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256) of every text, encoded and decoded."""
-    coded = encode(docs, id_col, text_col).withColumn("ids_sha256", F.sha2("ids", 256))
-    return decode(coded).select(id_col, "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    coded = encode(docs, id_col, text_col, decoded_col="decoded")
+    return coded.select(id_col, "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

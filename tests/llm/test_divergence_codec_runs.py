@@ -94,6 +94,8 @@ def test_encoding_over_the_cluster(spark, library, spread):
     assert sorted((r.doc_id, r.decoded) for r in found) == sorted((i % 200, t or "") for i, t in enumerate(texts))
     wanted = sorted((i % 200, len(e.ids)) for i, e in enumerate(library.encode_batch([t or "" for t in texts], add_special_tokens=False)))
     assert sorted((r.doc_id, r.n_tokens) for r in found) == wanted
+    both = bpe.encode(docs, leaf=8, spread=spread, decoded_col="back")
+    assert sorted((r.doc_id, r.n_tokens, r.back) for r in both.collect()) == sorted((r.doc_id, r.n_tokens, r.decoded) for r in found)
     assert bpe.encode(docs.limit(0)).count() == 0
 
 
