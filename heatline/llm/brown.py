@@ -5,8 +5,14 @@ also stands before its first word. Words get their classes by exchange: a word m
 likelihood of the class bigrams most. The CORE most frequent words exchange until none moves or ROUNDS are done. Then
 every other word of the head moves from the rest into the class that is best for it, in Spark: its counts of neighbours
 in each class are summed over all training texts by word, and weighed against the small class table (a step of the
-distributed exchange of Uszkoreit and Brants 2008). The end token has a class of its own. Words beyond the head table,
-and those never seen, make up one rare class: the head holds at most HEAD words, all of the highest counts.
+distributed exchange of Uszkoreit and Brants 2008). The end token has a class of its own.
+
+Words seen once, whatever the table's size, and words never seen make up one rare class: a word's first further use is best
+foretold by words that have been seen once. Good and Turing's estimates share it out: of new tokens, as many are unseen words
+as the training texts have words seen once (n1), and 2 * n2 are words seen once (n2: words seen twice). Unseen words together
+have one share, as in the base score, so the probabilities of all known words and of an unseen one add up to 1. The head
+holds at most HEAD words, all of the highest counts; words seen twice or more beyond it also lie in the rare class, each with
+its own count for a share.
 
 Corpus counts cover all training texts. They are summed per task before the shuffle, and stay in Spark as a table; only
 the head table (some MB, whatever the corpus; words over LONG bytes stay out of it) goes to the tasks. The other tokens
@@ -230,18 +236,24 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     vocab = scratch.write(word_counts(train), "words")
     total, size = vocab.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
 
-    # Levels of count, eight to a doubling: the head is all words of the highest levels that hold at most `head` words.
-    level = F.when(F.octet_length("word") <= LONG, F.floor(F.log2("n") * 8)).otherwise(-1)
+    # Levels of count, eight to a doubling: the head is all words of the highest levels that hold at most `head` words; words
+    # seen once never are in it, the end token always is.
+    is_end = F.col("word") == F.lit(END)
+    level = F.when((F.octet_length("word") <= LONG) & (F.col("n") > 1), F.floor(F.log2("n") * 8)).otherwise(-1)
     least, kept = 1 << 20, 0
     for n, k in vocab.groupBy(level.alias("level")).count().filter("level >= 0").orderBy(F.desc("level")).collect():
         if kept + k > head:
             break
         least, kept = n, kept + k
-    top = vocab.filter(level >= least)
-    table = top.toArrow()
+    in_head = is_end | (level >= least)
+    table = vocab.filter(in_head).toArrow()
     order = sorted(zip(table["n"].to_pylist(), table["word"].to_pylist()), key=lambda x: (-x[0], x[1]))
     words, counts = [w for _, w in order], np.array([n for n, _ in order], np.int64)
-    rare_tokens, rare_words = total - int(counts.sum()), size - len(words)
+    once, twice = vocab.filter(~is_end).agg(F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first()
+    rare_tokens = total - int(counts.sum())
+    # shares of the rare class: one for all unseen words, one for each word seen once, its count for each other word
+    unseen, single = once + 1, min(1.0, (2 * twice + 1) / (once + 1))
+    rare_whole = unseen + once * single + rare_tokens - once
 
     frequent = [w for w in words if w != END][:core]
     pairs = pair_counts(train, {w: i for i, w in enumerate(frequent)}, len(frequent) + 1)
@@ -256,11 +268,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
 
     n_class = np.bincount(of, counts, rare + 1)
     n_class[rare] = rare_tokens
-    v_class = np.bincount(of, minlength=rare + 1)
-    v_class[rare] = rare_words
     share = (n_class + 1) / (n_class + 1).sum()
     step = np.log10((moves + share) / (moves.sum(1, keepdims=True) + 1))
-    emit = np.log10((counts + 1) / (n_class + v_class + 1)[of]) if len(of) else np.zeros(0)
+    emit = np.log10(counts / n_class[of]) if len(of) else np.zeros(0)
     base = np.log10((counts + 1) / (total + size + 1)) if len(of) else np.zeros(0)
     sent = spark.sparkContext.broadcast((words, of, emit, base, step, first, rare))
 
@@ -293,9 +303,11 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     half = docs.select(id_col, text_col, "held_out").mapInArrow(run, f"`{id_col}` {kind}, held_out boolean, n_tokens long, n_head long, base double, model double, rest array<binary>, times array<long>")
     half = scratch.write(half.withColumn("row", F.monotonically_increasing_id()), "half")
     rest = half.select("row", F.explode(F.arrays_zip("rest", "times")).alias("x")).select("row", F.col("x.rest").alias("word"), F.col("x.times").alias("k"))
-    met = rest.hint("merge").join(vocab.filter(level < least), "word", "left").groupBy("row").agg(F.sum(F.when(F.col("n").isNotNull(), F.col("k")).otherwise(0)).alias("known"), F.sum("k").alias("k"), F.sum(F.col("k") * F.log10(F.coalesce("n", F.lit(0)) + 1)).alias("logs"))
-    flat, flat_rare = math.log10(total + size + 1), math.log10(rare_tokens + rare_words + 1)
+    n = F.coalesce("n", F.lit(0))
+    within = F.when(n == 0, F.lit(float(unseen))).when(n == 1, F.lit(single)).otherwise(n)
+    met = rest.hint("merge").join(vocab.filter(~in_head), "word", "left").groupBy("row").agg(F.sum(F.when(n > 0, F.col("k")).otherwise(0)).alias("known"), F.sum("k").alias("k"), F.sum(F.col("k") * F.log10(n + 1)).alias("logs"), F.sum(F.col("k") * F.log10(within)).alias("rare"))
+    flat, flat_rare = math.log10(total + size + 1), math.log10(rare_whole)
     both = half.drop("rest", "times").hint("merge").join(met, "row", "left")
     k, logs = F.coalesce("k", F.lit(0)), F.coalesce("logs", F.lit(0.0))
-    scored = both.select(id_col, "held_out", "n_tokens", (F.col("n_head") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"), (F.col("base") + logs - k * flat).alias("base_score"), (F.col("model") + logs - k * flat_rare).alias("score"))
+    scored = both.select(id_col, "held_out", "n_tokens", (F.col("n_head") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"), (F.col("base") + logs - k * flat).alias("base_score"), (F.col("model") + F.coalesce("rare", F.lit(0.0)) - k * flat_rare).alias("score"))
     return scored.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))

@@ -2,17 +2,25 @@
 
 A paragraph is a line, or a run of lines without a blank one between them, as wrapped notices are. It becomes a sparse
 vector of word 1- and 2-grams that occur in the templates. A multinomial logistic regression tells families apart, and
-from an unknown class that is trained on a bounded sample of corpus paragraphs (a documented parameter). A temperature,
-fitted on templates that a first model doesn't see, calibrates the probabilities; below CERTAIN the class is unknown. A
-prediction counts only if a template of that family confirms it: at least SIMILAR of the template's five-word shingles
-(of the whole sequence, for a shorter one, in order) are in the paragraph, or of the paragraph's in the template.
-
-Every line is classified. A run of lines is tried from each line that shares a five-word shingle with a template, line
-by line up to twice the longest template; the most similar run counts, and its first line is the place.
+from an unknown class that is trained on a bounded sample of corpus paragraphs (a documented parameter) and on sentences
+that talk about licences. A temperature, fitted on templates that a first model doesn't see, calibrates the probabilities;
+below CERTAIN the class is unknown. A prediction counts only if a template of that family confirms it: at least SIMILAR of
+the template's five-word shingles (of the whole sequence, for a shorter one, in order) are in the paragraph, or of the
+paragraph's in the template.
+
+Versions are left out of both, as one number in many words must not decide a family. They are read from the confirmed
+paragraph exactly: a version that the family has gives its name (GPL-2.0), one that it doesn't have gives no licence, and a
+family whose texts need a version but don't state one is named without (GPL). The parts of a Creative Commons licence are
+read in the same way. A line with `SPDX-License-Identifier:` is no matter for a classifier: the identifier is looked up.
+
+Every line is classified. Then the words of each block of lines are looked through for template shingles, across line
+ends, so a notice is found at any wrap width: from the line of the first shingle of a group, line by line to that of the
+last, the most similar run counts, and its first line is the place. A run ends at four times the longest template, as a
+notice of which more is foreign is none.
 
 Null and empty texts have no paragraphs and no rows; texts of any length are read whole. Repeated rows each give theirs;
 a line that states a licence gives one row, with the likeliest family. Other columns are not read. An empty table gives
-an empty result; with no corpus sample the unknown class is trained on empty paragraphs alone.
+an empty result; with no corpus sample the unknown class is trained on the sentences and on empty paragraphs alone.
 """
 
 from __future__ import annotations
@@ -27,35 +35,93 @@ from pyspark.sql import functions as F
 
 #: Corpus paragraphs in the training sample, at most; share of shingles and probability that a licence needs.
 SAMPLE, SIMILAR, CERTAIN, SHINGLE, SEED = 2000, 0.8, 0.5, 5, 3
-#: Variants of each template, steps of the fit, and template 2-grams from which a line's shingles are looked at.
-COPIES, STEPS, OPENS = 10, 250, 3
+#: Variants of each template, steps of the fit, and words without a template shingle that end a run.
+COPIES, STEPS, GAP = 10, 250, 40
 
 # Short statements and paragraphs of public licences.
 TEMPLATES = {
-    "MIT": ["Released under the MIT License.", "Licensed under the MIT License.", "SPDX-License-Identifier: MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."],
-    "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "SPDX-License-Identifier: Apache-2.0", "You may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."],
-    "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.", "SPDX-License-Identifier: GPL-3.0-or-later", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version.", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."],
-    "LGPL": ["This library is licensed under the GNU Lesser General Public License.", "SPDX-License-Identifier: LGPL-2.1-or-later", "You can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation."],
-    "AGPL-3.0": ["Licensed under the GNU Affero General Public License, version 3.", "SPDX-License-Identifier: AGPL-3.0-only"],
-    "BSD": ["Licensed under the BSD 3-Clause License.", "Licensed under the BSD 2-Clause License.", "SPDX-License-Identifier: BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."],
-    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0.", "SPDX-License-Identifier: MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."],
-    "ISC": ["Licensed under the ISC License.", "SPDX-License-Identifier: ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
-    "Zlib": ["Licensed under the zlib License.", "SPDX-License-Identifier: Zlib", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"],
-    "Unlicense": ["SPDX-License-Identifier: Unlicense", "This is free and unencumbered software released into the public domain.", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."],
+    "MIT": ["Released under the MIT License.", "Licensed under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."],
+    "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "You may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."],
+    "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version.", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."],
+    "LGPL": ["This library is licensed under the GNU Lesser General Public License.", "You can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation."],
+    "AGPL-3.0": ["Licensed under the GNU Affero General Public License, version 3."],
+    "BSD": ["Licensed under the BSD 3-Clause License.", "Licensed under the BSD 2-Clause License.", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."],
+    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0.", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."],
+    "ISC": ["Licensed under the ISC License.", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
+    "Zlib": ["Licensed under the zlib License.", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"],
+    "Unlicense": ["This is free and unencumbered software released into the public domain.", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."],
     "CC-BY": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "CC-BY-SA": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
     "CC-BY-NC": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
+    "CC-BY-ND": ["Licensed under CC BY-ND 4.0.", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."],
     "CC0": ["To the extent possible under law, the author has waived all copyright and related rights to this work.", "CC0 1.0 Universal public domain dedication."],
     "Proprietary": ["All rights reserved. No part of this publication may be reproduced without prior written permission.", "Copyright. All rights reserved."],
 }
 
+# Further licences by their identifiers and names; the versions that families have; identifiers by family.
+NAMES = {"EUPL-1.2": "European Union Public Licence, version 1.2", "EPL-2.0": "Eclipse Public License, version 2.0", "BSL-1.0": "Boost Software License, version 1.0", "Artistic-2.0": "Artistic License, version 2.0", "OFL-1.1": "SIL Open Font License, version 1.1", "CDDL-1.1": "Common Development and Distribution License, version 1.1"}
+VERSIONS = {
+    "GPL-3.0": ("GPL", "1.0 2.0 3.0"), "AGPL-3.0": ("AGPL", "1.0 3.0"), "LGPL": ("LGPL", "2.0 2.1 3.0"), "MPL-2.0": ("MPL", "1.0 1.1 2.0"), "Apache-2.0": ("Apache", "1.0 1.1 2.0"), "CC-BY": ("CC-BY", "1.0 2.0 2.5 3.0 4.0"),
+    "EUPL-1.2": ("EUPL", "1.0 1.1 1.2"), "EPL-2.0": ("EPL", "1.0 2.0"), "BSL-1.0": ("BSL", "1.0"), "Artistic-2.0": ("Artistic", "1.0 2.0"), "OFL-1.1": ("OFL", "1.0 1.1"), "CDDL-1.1": ("CDDL", "1.0 1.1"), "CC0": ("CC0", "1.0"),
+}
+IDENTIFIERS = "MIT ISC Zlib Unlicense BSD-2-Clause BSD-3-Clause CC0-1.0".split()
+#: Families that may stand without a version: their texts belong to one version, or to all.
+_VERSION_FREE = {"Apache-2.0", "CC0", "MPL-2.0"}
+#: What a licence text without a version is called, and version names that are the families' own.
+_PLAIN = {"LGPL-2.1": "LGPL", "CC0-1.0": "CC0", "BSD-2-Clause": "BSD", "BSD-3-Clause": "BSD"}
+TEMPLATES |= {k: [f"Licensed under the {name}.", f"This work is distributed under the terms of the {name}."] for k, name in NAMES.items()}
+#: Sentences that name licences and grant nothing, for the unknown class: own ones, each subject with each saying.
+_SUBJECTS = ["the MIT License", "the Apache License", "the GNU General Public License", "the GNU Lesser General Public License", "the Mozilla Public License", "Creative Commons", "the BSD license", "a driving licence", "the copyright notice", "public domain software"]
+_SAYINGS = ["The committee discussed {} for three hours and went home.", "Many lawyers wonder how {} would fare in court.", "Her talk compared {} with older rules of the trade.", "In 1989 nobody had heard of {} yet.", "Ask your local office about {} before you travel.", "He wrote a short history of {} and its critics."]
+
 _TABLE = bytes(32 if chr(i) in "!\"#$%&'()*,/:;<=>?@[\\]^_`{|}~" else i for i in range(256))
 
 
 def words(paragraph: str) -> list[bytes]:
-    """Lower-cased words; dots and hyphens count inside a word only."""
+    """Lower-cased words; dots and hyphens count inside a word only, and a version is # whatever its number."""
     raw = paragraph.lower().encode("utf-8", "surrogatepass").translate(_TABLE)
-    return [w for w in (x.strip(b".-") for x in raw.split()) if w]
+    return [_VERSION.sub(b"#", w) if w[-1:].isdigit() or b"-clause" in w else w for w in (x.strip(b".-") for x in raw.split()) if w]
+
+
+_VERSION = re.compile(rb"^v?[0-9]+([.][0-9]+)*$|(?<=license-)[0-9.]+$|^[0-9](?=-clause$)")
+_STATED = re.compile(r"(?:version|\bv[.]?|\bby(?:-[a-z]+)*|[al]?gpl[ -]?|(?:mpl|apache|eupl|epl|cc0|cddl|ofl|bsl|artistic)[ -]?|license-|licenses?/[a-z-]+/|attribution(?:-[a-z]+)*|universal|licen[sc]e,?)[ \n]*v?([0-9]+(?:[.][0-9]+)?)(?![0-9]*-clause)", re.I)
+_SPDX = re.compile(r"SPDX-License-Identifier:[ \t]*([A-Za-z0-9.+-]+)")
+
+
+def _spdx(name: str) -> str | None:
+    """The licence of an identifier, by the table's exact spelling; null for others."""
+    bare = re.sub(r"(-only|-or-later|[+])$", "", name)
+    if bare in IDENTIFIERS or bare in TEMPLATES:
+        return _PLAIN.get(bare, bare)
+    for base, known in VERSIONS.values():
+        if bare in {f"{base}-{v}" for v in known.split()}:
+            return _PLAIN.get(bare, bare)
+    parts = re.fullmatch(r"CC-BY((?:-NC|-ND|-SA)*)-([0-9.]+)", bare)
+    return _commons(parts[1].strip("-").split("-"), parts[2]) if parts else None
+
+
+def _commons(parts: list[str], version: str | None) -> str | None:
+    """The name of a Creative Commons licence; version 4.0 goes without saying."""
+    kept = [p for p in ("NC", "ND", "SA") if p in parts]
+    if version is not None and version not in VERSIONS["CC-BY"][1].split() or {"ND", "SA"} <= set(kept):
+        return None
+    return "-".join(["CC-BY", *kept, *([version] if version not in (None, "4.0") else [])])
+
+
+def settled(family: str, paragraph: str) -> str | None:
+    """The licence of a paragraph that the family's templates confirm, by the tokens in it; null if they rule it out."""
+    stated = [v if "." in v else f"{v}.0" for v in _STATED.findall(paragraph)]
+    if family.startswith("CC-BY"):
+        low = paragraph.lower()
+        marks = {"NC": r"non-?commercial|\bby-nc|-nc\b", "ND": r"no-?deriv|-nd\b", "SA": r"share-?alike|-sa\b"}
+        return _commons([k for k, mark in marks.items() if re.search(mark, low)], stated[0] if stated else None)
+    if family not in VERSIONS:
+        return family
+    base, known = VERSIONS[family]
+    if not stated:
+        return family if family in _VERSION_FREE else base
+    name = f"{base}-{stated[0]}"
+    return _PLAIN.get(name, name) if stated[0] in known.split() else None
 
 
 def _grams(own: list[bytes]) -> list:
@@ -86,10 +152,11 @@ class Classifier:
         every = [t for ts in self.templates.values() for t in ts]
         grams = sorted({g for t in every for g in _grams(t)}, key=repr)
         self.index = {g: i for i, g in enumerate(grams)}
-        self.pairs = np.array([isinstance(g, tuple) for g in grams])
         self.shingles = set().union(*(_shingles(t, SHINGLE) for t in every))
-        self.longest = 2 * max(map(len, every))
+        self.begins = {x[0] for x in self.shingles}
+        self.most = 4 * max(map(len, every))
         rows: list[tuple[int, int, list[bytes]]] = []  # class, template, words
+        unknown = [*unknown, *(saying.format(subject) for subject in _SUBJECTS for saying in _SAYINGS)]
         filler = [w for t in unknown[:200] for w in words(t)] or [b"x"]
         n = 0
         for k, ts in enumerate(self.templates.values(), 1):
@@ -143,7 +210,7 @@ class Classifier:
 
     def _classes(self, at: list[list[int]]) -> np.ndarray:
         """Probabilities of the classes for lists of n-gram numbers."""
-        z = np.stack([self.weights[k].sum(0) / np.sqrt(len(k)) + self.weights[-1] for k in at])
+        z = np.stack([self.weights[k].sum(0) / np.sqrt(max(1, len(k))) + self.weights[-1] for k in at])
         return self._softmax(z / self.heat)
 
     def _confirmed(self, p: np.ndarray, own: list[bytes]) -> tuple[str, float, float] | None:
@@ -159,32 +226,63 @@ class Classifier:
         return list({k for g in _grams(own) if (k := get(g)) is not None})
 
     def scan(self, text: str | None) -> list[tuple[int, str, float, float]]:
-        """(place of the first line, family, probability, similarity) of the paragraphs that are a licence."""
-        lines = [words(x) for x in (text or "").split("\n")]
+        """(place of the first line, licence, probability, similarity) of the paragraphs that are a licence."""
+        raw = (text or "").split("\n")
+        lines = [words(x) for x in raw]
         at = {i: n for i, own in enumerate(lines) if (n := self._numbers(own))}
         found, where = {}, list(at)
         for b in range(0, len(where), 512):
             part = where[b : b + 512]
             p = self._classes([at[i] for i in part])
             for j in (p[:, 0] < 1 - CERTAIN).nonzero()[0].tolist():
-                if told := self._confirmed(p[j], lines[part[j]]):
-                    found[part[j]] = told
-        done = -1
-        for i in where:
-            if i <= done or i in found or self.pairs[at[i]].sum() < OPENS or not _shingles(lines[i], SHINGLE) & self.shingles:
+                i = part[j]
+                if told := self._confirmed(p[j], lines[i]):
+                    found[i] = (settled(told[0], raw[i]), *told[1:])
+        for i, line in enumerate(raw):
+            if named := _SPDX.search(line):  # an identifier is exact
+                found[i] = (_spdx(named[1]), 1.0, 1.0)
+        for low, high in self._runs(lines, found):
+            found |= self._wrapped(raw, lines, low, high)
+        return [(i, *found[i]) for i in sorted(found) if found[i][0]]
+
+    def _runs(self, lines: list[list[bytes]], found: dict) -> Iterator[tuple[int, int]]:
+        """(first line, last line) of the runs of more than a line between which template shingles stand."""
+        block: list[tuple[bytes, int]] = []
+        for i in range(len(lines) + 1):
+            if i < len(lines) and lines[i] and i not in found:
+                block += [(w, i) for w in lines[i]]
                 continue
-            own, best = list(lines[i]), None
-            for j in range(i + 1, len(lines)):
-                if not lines[j] or len(own) >= self.longest or j in found:
+            own = [w for w, _ in block]
+            hits = [k for k in range(len(own) - SHINGLE + 1) if own[k] in self.begins and tuple(own[k : k + SHINGLE]) in self.shingles]
+            first = None
+            for k, after in zip(hits, [*hits[1:], None]):
+                first = k if first is None else first
+                if after is None or after - k > GAP:
+                    low, high = block[first][1], block[k + SHINGLE - 1][1]
+                    if high > low:
+                        yield low, high
+                    first = None
+            block = []
+
+    def _wrapped(self, raw: list[str], lines: list[list[bytes]], low: int, high: int) -> dict[int, tuple]:
+        """Licences of the lines low to high by their first lines: from each line the most similar run, then on after it."""
+        found = {}
+        while low < high:
+            own, best = list(lines[low]), None
+            for j in range(low + 1, high + 1):
+                if len(own) > self.most:
                     break
+                before = max(0, len(own) - SHINGLE + 1)
                 own += lines[j]
+                if not any(tuple(own[k : k + SHINGLE]) in self.shingles for k in range(before, len(own) - SHINGLE + 1)):
+                    continue  # the line ends no shingle, so the run is no more similar than before
                 told = self._confirmed(self._classes([self._numbers(own)])[0], own)
-                if told and (best is None or told[2] > best[1][2]):
+                if told and (best is None or told[2] >= best[1][2]):
                     best = (j, told)
             if best:
-                done = best[0]
-                found[i] = best[1]
-        return [(i, *found[i]) for i in sorted(found)]
+                found[low] = (settled(best[1][0], "\n".join(raw[low : best[0] + 1])), *best[1][1:])
+            low = best[0] + 1 if best else low + 1
+        return found
 
 
 def train(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE, templates: dict[str, list[str]] = TEMPLATES) -> Classifier:
