@@ -142,8 +142,11 @@ def profiles(terms: DataFrame, news: DataFrame, trends: DataFrame, models: DataF
     """One row per term: its row, related news, activity, model block and explanation. All sides are grouped by term."""
     n = news.groupBy("canon").agg(F.array_sort(F.collect_list(F.struct("rank", "url", "title", "heat"))).alias("news"))
     t = trends.groupBy(F.col("term").alias("canon")).agg(F.array_sort(F.collect_list(F.struct("date", "win7_cnt", "share"))).alias("activity"))
-    m = models.groupBy("canon").agg(F.max_by(F.struct("full_id", "likes", "downloads"), "trending_score").alias("model"))
-    return terms.join(n, "canon", "left").join(t, "canon", "left").join(m, "canon", "left").join(explained, "canon", "left")
+    m = models.groupBy("canon").agg(F.max_by(F.struct("full_id", "likes", "downloads"), F.struct("trending_score", "full_id")).alias("model"))
+    out = terms
+    for side in (n, t, m, explained):
+        out = out.hint("merge").join(side, "canon", "left")
+    return out
 
 
 def flattened(lists: DataFrame, items: str = "items") -> DataFrame:

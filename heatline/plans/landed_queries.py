@@ -216,6 +216,28 @@ def _(spark, sf):
     return L.canonical(w.union(more).distinct(), L.load(spark), "w")
 
 
+@add("c6_j20_singular_words", """select * from (with w as (select distinct unnest(keywords) as w from cards), f as (select w from w union select w || 's' from w), d as (select w from w where length(w) = 7), a as (select * from (values """ + _ACRONYMS + """) x(k, v))
+  select f.w, coalesce(v, c) as canon from (select w, case when w in (select w from d) then 'the-' || w when w like '%s' and w not like '%ss' and left(w, -1) in (select w from d) then 'the-' || left(w, -1) else w end as c from f) f left join a on c = k)""", "cards")
+def _(spark, sf):
+    """Words and their plurals; words of seven letters are the dictionary's, and a plural of one is the term."""
+    w = cards(spark, sf).select(F.explode("keywords").alias("w")).distinct()
+    terms = w.filter("length(w) = 7").select(F.lit(0).alias("no"), F.concat(F.lit("the-"), "w").alias("canon"), F.array("w").alias("forms"))
+    return L.canonical(w.union(w.select(F.concat("w", F.lit("s")))), L.spelled(terms), "w")
+
+
+@add("f3_stopwords", """select w from (select distinct unnest(keywords) as w from cards) where length(w) <> 5""", "cards")
+def _(spark, sf):
+    w = cards(spark, sf).select(F.explode("keywords").alias("w")).distinct()
+    return T.without_stopwords(w.select("w", F.initcap("w").alias("canon")), w.filter("length(w) = 5").select(F.upper("w").alias("word"))).select("w")
+
+
+@add("c13_chinese_alias", "select source as canon, min_by(s, n) as zh from (select distinct source, dimension as s, 0 as n from cards union all select distinct source, '字' || source, 1 from cards union all select distinct source, '名' || source, 2 from cards) where regexp_matches(s, '[\\x{4e00}-\\x{9fff}]') group by source", "cards")
+def _(spark, sf):
+    own = cards(spark, sf).groupBy(F.col("source").alias("canon")).agg(F.min("dimension").alias("d"))
+    forms = F.array("d", F.concat(F.lit("字"), "canon"), F.concat(F.lit("名"), "canon"))
+    return T.chinese_alias(L.spelled(own.select(F.lit(0).alias("no"), "canon", forms.alias("forms"))))
+
+
 @add("c33_source_suffix", "select url, regexp_replace(title, '\\s+$', '') as title from cards", "cards")
 def _(spark, sf):
     c = cards(spark, sf)
@@ -272,14 +294,26 @@ def _(spark, sf):
     return T.absent_at_zero(s.withColumn("hot", F.col("heat")), s.filter("mentions > 1")).select("canon", "hot")
 
 
-@add("p10_profiles", "select canon, least(m, 50)::int as news, mentions from (select canon, count(distinct coalesce(nullif(regexp_replace(lower(title), '[!?,.;:()\\[\\]\"'' \t]', '', 'g'), ''), url)) as m from links join scored using (url) group by canon) join (select canon, mentions from sums) using (canon)", "sums")
+@add("p10_profiles", """select * from (with n as (select canon, url, row_number() over (partition by canon order by heat desc, published desc, url) as rank from (select canon, url, published, coalesce(nullif(hot, 0), score, 0) as heat, row_number() over (partition by canon, coalesce(nullif(regexp_replace(lower(title), '[!?,.;:()\\[\\]"'' \t]', '', 'g'), ''), url) order by coalesce(nullif(hot, 0), score, 0) desc, published desc, url) as m from links join (select *, score as hot from scored) s using (url)) where m = 1),
+  active as (select term, win7_cnt, date, count(*) over (partition by term) as k, max(win7_cnt) over (partition by term) as top from (select *, row_number() over (partition by term order by date desc) as m from (select canon as term, left(cycle, 10) as date, max_by(win7_cnt, cycle) as win7_cnt from (select canon, unnest(['2024-01-29-08', '2024-01-30-08', '2024-01-30-20']) as cycle, unnest([mentions, win7, mentions + 1]) as win7_cnt from sums) group by canon, left(cycle, 10))) where m <= 7)
+  select canon, mentions, coalesce((select string_agg(url, ' ' order by rank) from n where n.canon = s.canon and rank <= 50), '') as news,
+    coalesce((select string_agg(date || '=' || win7_cnt, ' ' order by date) from active a where a.term = s.canon and k >= 2 and top > 0), '') as activity,
+    (select max_by(full_id, (trending_score, full_id)) from models m where split_part(lower(m.term), '-', 1) = s.canon) as model,
+    case when length(canon) % 4 = 0 then 'said of ' || canon when length(canon) % 4 = 1 then 'stored of ' || canon else printf('%s: %d mentions, %d in 7 days, heat %.1f', canon, mentions, win7, heat) end as explanation
+  from sums s)""", "sums", "models")
 def _(spark, sf):
-    s = _sums(spark, sf).select("canon", "mentions", "win7", F.col("heat").alias("hot"), F.lit(None).cast("string").alias("explain_zh"), F.lit(None).cast("string").alias("explain_en"))
+    """Every part of a profile: row, news in order, activity of the last days, best model, explanation."""
     c = cut(scored_cards(spark, sf))
-    news = B.term_news(_links(spark, sf, c), c)
-    m = models(spark, sf).withColumn("canon", F.lower("term"))
-    static = s.limit(0).select("canon", F.lit("").alias("zh"), F.lit("").alias("en"))
-    return B.profiles(s, news, T.trend(_snaps(spark, sf)), m, T.explanation(s, static)).select("canon", F.size("news").alias("news"), "mentions")
+    links = _links(spark, sf, c)
+    n = F.length("canon") % 4
+    s = cut(_sums(spark, sf).select("canon", "mentions", "win7", F.col("heat").alias("hot"), F.when(n == 1, F.concat(F.lit("stored of "), "canon")).alias("explain_zh"), F.lit("").alias("explain_en")))
+    snaps = s.select(F.col("canon").alias("term"), F.explode(F.arrays_zip(F.array(*(F.lit(x) for x in ("2024-01-29-08", "2024-01-30-08", "2024-01-30-20"))).alias("cycle"), F.array("mentions", "win7", F.col("mentions") + 1).alias("n"))).alias("x")).select("term", F.col("x.cycle").alias("cycle"), F.lit(0).alias("news_cnt"), F.col("x.n").alias("win7_cnt"))
+    m = models(spark, sf).withColumn("canon", F.split(F.lower("term"), "-")[0])
+    static = s.filter("length(canon) % 4 = 0").select("canon", F.concat(F.lit("said of "), "canon").alias("zh"), F.lit("").alias("en"))
+    made = B.profiles(s, B.term_news(links, c), T.trend(snaps), m, T.explanation(s, static))
+    said = F.coalesce(F.array_join(F.transform("news", lambda x: x["url"]), " "), F.lit(""))
+    seen = F.coalesce(F.array_join(F.transform("activity", lambda x: F.concat(x["date"], F.lit("="), x["win7_cnt"])), " "), F.lit(""))
+    return made.select("canon", "mentions", said.alias("news"), seen.alias("activity"), F.col("model.full_id").alias("model"), "explanation")
 
 
 @add("w3_keep_first", "select url, title from (select url, title, row_number() over (partition by case when doc_id % 4 = 0 then url else source end order by doc_id) as n from cards) where n = 1", "cards")

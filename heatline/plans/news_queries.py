@@ -11,6 +11,8 @@ from heatline.operators import cards as C
 from heatline.operators import match, search
 from heatline.plans.refresh import cut
 from heatline.plans.standins import as_of, cards, models, read, scored_cards, sql
+from heatline.sources import store
+from heatline.sources.scratch import Scratch
 
 Q, O = {}, {}
 
@@ -195,6 +197,20 @@ def _(spark, sf):
     return made.select("url", "score", "trend", "active", F.to_date("first_seen_at").alias("first_seen"), F.to_date("last_refresh_at").alias("refreshed"), F.array_join("keywords", ",").alias("keywords"))
 
 
+@add("m1_j5_bucketed_upsert", "select url, case when doc_id % 3 = 0 then score else 1 end as score, case when doc_id % 3 = 0 then trend else 7 end as trend, doc_id % 3 = 0 as active, case when doc_id % 2 = 0 then date '2024-01-10' else date '2024-01-31' end as first_seen, case when doc_id % 3 = 0 then date '2024-01-31' else date '2024-01-10' end as refreshed, array_to_string(keywords, ',') as keywords from scored where doc_id % 2 = 0 or doc_id % 3 = 0", "scored")
+def _(spark, sf):
+    """The merge above by two commits of a bucketed table."""
+    scratch = Scratch(spark, "cards")
+    c = scratch.write(scored_cards(spark, sf))
+    old = C.stored(c.filter("doc_id % 2 = 0").withColumns({"score": F.lit(1), "trend": F.lit(7)}), F.lit("2024-01-10").cast("timestamp"))
+    new = C.stored(c.filter("doc_id % 3 = 0"), as_of())
+    for cycle, batch in (("2024-01-10-00", old), ("2024-01-31-00", new.unionByName(new.withColumn("url", F.concat("url", F.lit("?utm_source=x")))))):
+        commit = store.Commit(spark, f"{scratch.path}/store")
+        C.upsert_buckets(commit, batch, cycle, buckets=16)
+        made = C.active(store.table(spark, commit.path, commit.publish(), "cards"), cycle)
+    return made.select("url", "score", "trend", "active", F.to_date("first_seen_at").alias("first_seen"), F.to_date("last_refresh_at").alias("refreshed"), F.array_join("keywords", ",").alias("keywords"))
+
+
 @add("u7_keyword_guard", "select url, len(list_filter(keywords, lambda k: k <> keywords[1]))::int as n_new, len(keywords) > 1 as kept from cards where len(keywords) > 0", "cards")
 def _(spark, sf):
     c = cards(spark, sf).filter(F.size("keywords") > 0)

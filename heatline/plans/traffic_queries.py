@@ -105,6 +105,28 @@ def _(spark, sf):
     return S.events(user_events(spark, sf)).select("id", "event_type", "event_data", "country")
 
 
+@add("st1_judged_lines", """select case when event_type = 'error' then null else id end as id, case when event_type in ('click', 'search') then 'accepted' else 'rejected' end as status,
+  case when event_type = 'error' then 'malformed' when event_type not in ('click', 'search') then 'event type' end as reason, case when event_type <> 'error' then date end as date, event_type <> 'error' and event_type not in ('click', 'search') as kept_raw from user_events""", "user_events")
+def _(spark, sf):
+    """Events as landed lines of JSON; the lines of errors were cut off in the middle."""
+    e = user_events(spark, sf)
+    line = F.to_json(F.struct("id", "event_type", "event_data", "session_id", "path", "country", "ts"))
+    lines = e.select(F.when(F.col("event_type") == "error", F.substring(line, 1, 20)).otherwise(line).alias("value"))
+    out = S.judged(lines, "events", "id long, event_type string, event_data string, session_id string, path string, country string, ts timestamp")
+    return out.select("id", "status", "reason", "date", (F.coalesce("raw", F.lit("")).endswith("}")).alias("kept_raw"))
+
+
+@add("st9_a3_corrections", """select date, count(*) filter (where path <> 'click') as pv_stream, count(distinct ip) filter (where path <> 'click') as uv_stream, count(*) filter (where path = 'click') as pv_late,
+  count(distinct ip) - count(distinct ip) filter (where path <> 'click') as uv_late from visits group by date""", "visits")
+def _(spark, sf):
+    """Clicks as the rows that came late: their deltas correct the days that the others had closed."""
+    v = visits(spark, sf).withColumn("_late", F.col("path") == "click")
+    stream, known = T.day_deltas(v.filter("not _late"))
+    late, _new = T.day_deltas(v.filter("_late"), known)
+    sums = [F.coalesce(F.sum(F.when(F.col("kind") == k, F.col(c))), F.lit(0)).alias(f"{c}_{k}") for k in ("stream", "late") for c in ("pv", "uv")]
+    return stream.withColumn("kind", F.lit("stream")).union(late.withColumn("kind", F.lit("late"))).groupBy("date").agg(*sums)
+
+
 @add("s19_visits", "select id, ip, country from visits where ip <> ''", "visits")
 def _(spark, sf):
     return S.visits(visits(spark, sf)).select("id", "ip", "country")
