@@ -124,6 +124,14 @@ def settled(family: str, paragraph: str) -> str | None:
     return _PLAIN.get(name, name) if stated[0] in known.split() else None
 
 
+def _named(family: str, raw: list[str], low: int, high: int) -> str | None:
+    """The licence of the lines low to high; if their sentence goes on without a version, the next line's first words count."""
+    paragraph = "\n".join(raw[low : high + 1])
+    if high + 1 < len(raw) and not paragraph.rstrip().endswith((".", ":", ";", "!", "?")) and not _STATED.search(paragraph):
+        paragraph += "\n" + " ".join(raw[high + 1].split()[:4])
+    return settled(family, paragraph)
+
+
 def _grams(own: list[bytes]) -> list:
     return [*own, *zip(own, own[1:])]
 
@@ -237,7 +245,7 @@ class Classifier:
             for j in (p[:, 0] < 1 - CERTAIN).nonzero()[0].tolist():
                 i = part[j]
                 if told := self._confirmed(p[j], lines[i]):
-                    found[i] = (settled(told[0], raw[i]), *told[1:])
+                    found[i] = (_named(told[0], raw, i, i), *told[1:])
         for i, line in enumerate(raw):
             if named := _SPDX.search(line):  # an identifier is exact
                 found[i] = (_spdx(named[1]), 1.0, 1.0)
@@ -280,7 +288,7 @@ class Classifier:
                 if told and (best is None or told[2] >= best[1][2]):
                     best = (j, told)
             if best:
-                found[low] = (settled(best[1][0], "\n".join(raw[low : best[0] + 1])), *best[1][1:])
+                found[low] = (_named(best[1][0], raw, low, best[0]), *best[1][1:])
             low = best[0] + 1 if best else low + 1
         return found
 
