@@ -95,12 +95,13 @@ def audit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sourc
     groups = scratch.write(rows.select("lang", "source").distinct().withColumn("idx", F.row_number().over(in_lang) - 1), "groups")
     how = "broadcast" if groups.count() <= FITS else "merge"
 
-    keyed = rows.withColumn("digest", F.unhex(F.sha2("text", 256)))
+    keyed = rows.withColumn("digest", F.substring(F.unhex(F.sha2("text", 256)), 1, 16))
     copies = keyed.groupBy("digest", "lang", "source").agg(F.count("*").alias("n"))
     weights = copies.join(groups.hint(how), ["lang", "source"]).groupBy("digest", "lang").agg(F.collect_list(F.struct("idx", "n")).alias("weights"))
     once = keyed.groupBy("digest", "lang").agg(F.first("text").alias("text"))
     parts = counted(once.hint("merge").join(weights, ["digest", "lang"]))
-    sums = parts.groupBy("lang", "term", "idx").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    # tasks have summed before the shuffle, and dealing by term serves both aggregations
+    sums = parts.repartition("lang", "term").groupBy("lang", "term", "idx").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     kept = scratch.write(
         sums.groupBy("lang", "term")
         .agg(F.sum("docs").alias("docs"), F.sum("n").alias("total"), F.collect_list(F.struct("idx", "n")).alias("counts"))
