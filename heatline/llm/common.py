@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import contextvars
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +16,7 @@ from pyspark.sql import functions as F
 SPACES = r"[\x20\x09-\x0D]+"
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _left: dict[str, SparkSession] = {}
+_owner: contextvars.ContextVar[list | None] = contextvars.ContextVar("owner", default=None)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,11 +45,13 @@ def _delete(spark: SparkSession, path: str) -> None:
 class Scratch:
     """Intermediate tables of one run, in a folder of their own. Losing an executor costs no recomputation of them, and a
     join on them sees true sizes. Shuffle files of a write go when it ends, and a table when drop() names it; the tables
-    that a lazy result still reads go with clear(), or when the driver ends."""
+    that a lazy result still reads go with owned(), or when the driver ends."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.path = spark, f"{shared_dir(spark)}/heatline/{name}-{uuid.uuid4().hex}"
         _left[self.path] = spark
+        if (mine := _owner.get()) is not None:
+            mine.append(self.path)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         was = self.spark.conf.get(_CLEANUP, "false")
@@ -62,24 +67,43 @@ class Scratch:
             _delete(self.spark, f"{self.path}/{name}")
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared one."""
+    if not path.startswith(f"{shared_dir(spark)}/heatline/"):
+        raise ValueError(f"{path} is not an intermediate table")
+    _delete(spark, path)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as an intermediate table of its own."""
     return Scratch(df.sparkSession, name).write(df, "table")
 
 
-def runs() -> set[str]:
-    """Folders of the runs whose intermediate tables are still there."""
-    return set(_left)
+@contextlib.contextmanager
+def owned() -> Iterator[None]:
+    """Deletes at its end the intermediate tables of the runs that were begun inside it, and of no others: for a caller who
+    writes their results inside."""
+    mine: list[str] = []
+    token = _owner.set(mine)
+    try:
+        yield
+    finally:
+        _owner.reset(token)
+        _drop_runs(mine)
+
+
+def _drop_runs(paths: list[str]) -> None:
+    for path in paths:
+        spark = _left.pop(path, None)
+        with contextlib.suppress(Exception):  # the session may have ended before
+            if spark:
+                _delete(spark, path)
 
 
 @atexit.register
-def clear(keep: set[str] = frozenset()) -> None:
-    """Deletes the intermediate tables of all runs so far but those to keep: call it once their results are written."""
-    for path, spark in list(_left.items()):
-        if path not in keep:
-            with contextlib.suppress(Exception):  # the session may have ended before
-                _delete(spark, path)
-            _left.pop(path, None)
+def clear() -> None:
+    """Deletes the intermediate tables of all runs so far."""
+    _drop_runs(list(_left))
 
 
 def fold(key: Column, parts: int) -> Column:
