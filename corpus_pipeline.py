@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heatline.llm import copies, leaks, lines, packing, quality
-from heatline.llm.common import clear, runs, shared_dir, table
+from heatline.llm.common import delete, owned, shared_dir, table
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,8 +59,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, top = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/heatline/pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
-        before = runs()
-        stage(spark, docs, sf_dir).write.parquet(f"{top}/{k}-{name}")
+        with owned():  # what the stage's plan reads goes when the stage is written
+            stage(spark, docs, sf_dir).write.parquet(f"{top}/{k}-{name}")
         docs = spark.read.parquet(f"{top}/{k}-{name}")
-        clear(keep=before)  # what the stage's plan read is no longer needed
+        if k:
+            delete(spark, f"{top}/{k - 1}-{STAGES[k - 1][0]}")
     return docs
