@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from heatline.functions import lexicon as L
@@ -9,6 +10,7 @@ from heatline.functions import scores
 from heatline.functions import text as X
 from heatline.operators import boards as B
 from heatline.operators import match
+from heatline.operators import term_days as D
 from heatline.operators import terms as T
 from heatline.plans.refresh import cut
 from heatline.plans.standins import SQL, as_of, models, read, scored_cards, sql
@@ -109,6 +111,31 @@ def _(spark, sf):
     return B.term_news(_links(spark, sf, c), c).select("canon", "rank", "url")
 
 
+#: Twins of the second state: words that share all but their first letter's neighbour stand under the first of them.
+_TWIN = "left(canon, 1) || substr(canon, 3)"
+
+
+@add("a10_a12_deltas", f"""with r as (select canon, min(canon) over (partition by {_TWIN}) as rep from (select distinct canon from links))
+  select rep as canon, count(*) as mentions, coalesce(sum(case when published >= date '2024-01-24' then score * (case when date '2024-01-31' - published <= 1 then 3.0 when date '2024-01-31' - published <= 3 then 1.5 else 1.0 end)::double end), 0) as heat,
+    count(*) filter (where published >= date '2024-01-24') as win7, min(published) as earliest, max(published) as latest
+  from (select distinct url, rep from links join r using (canon)) join scored using (url) group by rep""".replace("with r as (", "select * from (with r as (", 1) + ")", "links")
+def _(spark, sf):
+    """Sums of a first state, in which half of the cards are there, a third of these with other days and scores, and no terms
+    are twins; then the deltas to the whole state, in which words are."""
+    c = cut(scored_cards(spark, sf).select("url", "doc_id", "published", "dimension", "score", "keywords"))
+    links = cut(_links(spark, sf, c))
+    old_cards = c.filter("doc_id % 2 = 0").withColumns({"published": F.when(F.col("doc_id") % 3 == 0, F.date_sub("published", 40)).otherwise(F.col("published")), "score": F.when(F.col("doc_id") % 3 == 0, F.lit(1)).otherwise(F.col("score"))})
+    old_links = links.hint("merge").join(old_cards.select("url"), "url", "left_semi")
+    names = links.select("canon").distinct()
+    none, key = names.withColumn("rep", F.col("canon")), F.concat(F.substring("canon", 1, 1), F.substring("canon", F.lit(3), F.length("canon")))
+    twins = names.withColumn("rep", F.min("canon").over(Window.partitionBy(key)))
+    before = cut(D.apply(None, D.deltas(old_cards.select("url"), (links.limit(0), c.limit(0), none), (old_links, old_cards, none))))
+    batch = c.filter("doc_id % 2 = 1 or doc_id % 3 = 0").select("url")
+    touched = cut(D.touched_urls(batch, old_links, links, none, twins))
+    now = D.apply(before, D.deltas(touched, (old_links, old_cards, none), (links, c, twins)))
+    return D.from_days(now, as_of()).select("canon", "mentions", "heat", "win7", "earliest", "latest")
+
+
 @add("j12_current_counters", "select canon, cur_cnt, cur_score from sums where cur_cnt > 0", "sums")
 def _(spark, sf):
     return _sums(spark, sf).filter("cur_cnt > 0").select("canon", "cur_cnt", "cur_score")

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from heatline.functions import lexicon as L
-from heatline.operators import boards, cards, match, search, terms
+from heatline.operators import boards, cards, match, search, term_days, terms
 from heatline.operators import cards as C
 from heatline.plans import refresh
 from heatline.plans.refresh import refresh_terms
@@ -178,6 +178,35 @@ def test_buckets_equal_the_whole_merge(spark, tmp_path):
         assert sorted(map(tuple, got.select(C.CARD).collect()), key=str) == sorted(map(tuple, whole.select(C.CARD).collect()), key=str)
 
 
+def test_ten_cycles_of_deltas_equal_full_aggregates(spark):
+    """Cards come, change and go, links change, and twins meet and part; after each cycle the sums give the full refresh."""
+    made = random.Random(6)
+    names = ["ai-x", "aix", "b-b", "bb", "c"]
+    cards_of, links_of, reps_of, sums = {}, set(), {n: n for n in names}, None
+    frame = lambda rows, shape: spark.createDataFrame(rows, shape).coalesce(1)
+    state = lambda: (frame(sorted(links_of), "url string, canon string"), frame([(u, *c) for u, c in sorted(cards_of.items())], "url string, published date, dimension string, score long"), frame(sorted(reps_of.items()), "canon string, rep string"))
+    before = state()
+    for k in range(10):
+        batch = made.sample(range(14), 4)
+        for u in (f"u{i}" for i in batch):
+            links_of -= {x for x in links_of if x[0] == u}
+            cards_of.pop(u, None)
+            if made.random() < 0.8:
+                cards_of[u] = (DAY(2024, 1, 20) + datetime.timedelta(days=made.randrange(12)), made.choice(["d1", "d2", None]), made.choice([None, 1, 5, 9]))
+                links_of |= {(u, n) for n in made.sample(names, made.randrange(4))}
+        reps_of = {n: n for n in names} | made.choice([{}, {"aix": "ai-x"}, {"ai-x": "aix", "bb": "b-b"}])
+        after = state()
+        touched = term_days.touched_urls(frame([(f"u{i}",) for i in batch], "url string"), before[0], after[0], before[2], after[2])
+        sums = refresh.cut(term_days.apply(sums, term_days.deltas(touched, before, after)).coalesce(1))
+        full = terms.aggregate(terms.to_rep(after[0], after[2]).distinct(), after[1], frame([], "url string, signal double"), as_of())
+        cols = ["canon", "mentions", "heat", "win7", "earliest", "latest", "days", "dims"]
+        got, want = (sorted(map(tuple, df.select(cols).collect())) for df in (term_days.from_days(sums, as_of()), full))
+        assert got == want, k
+        before = after
+    flow = sorted(map(tuple, terms.sliding_mentions(terms.to_rep(after[0], after[2]).distinct(), after[1]).collect()))
+    assert sorted(map(tuple, term_days.daily_mentions(sums).collect())) == flow
+
+
 def test_rarest_anchor_loses_no_match(spark):
     made = random.Random(4)
     words = ["the", "verge", "a", "x1", "Σx", "机器", "器人", "9", "c++", ".", "-", "Ab"]
