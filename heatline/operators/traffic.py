@@ -6,10 +6,11 @@ over rows that are aggregated already.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from heatline.functions.scores import rounded
+from heatline.functions.text import strip
 
 
 def since(as_of: Column, days: int, most: int = 90) -> Column:
@@ -74,6 +75,20 @@ def suggest(searches: DataFrame, prefix: str, as_of: Column, n: int = 8) -> Data
     return rows.groupBy("query").agg(F.count("*").alias("n")).orderBy(F.desc(F.lower("query").startswith(p)), F.desc("n"), "query").limit(n)
 
 
+def suggestions(searches: DataFrame, as_of: Column, n: int = 8, longest: int = 12) -> DataFrame:
+    """(typed, rank, query, n): what suggest() gives, for every text of up to `longest` characters that a query of 30 days
+    holds, so that a request reads n rows by key instead of the log.
+
+    Queries are counted first. Each distinct one, 80 characters at most, offers its pieces; of a piece's queries the best n
+    are kept, in each task before the shuffle too, so a piece that most queries hold is no hot key."""
+    asked = recent(searches, as_of, 30).filter("query <> ''").groupBy("query").agg(F.count("*").alias("n"))
+    low, at = F.lower("query"), lambda i, k: F.substring(F.lower("query"), i, k)
+    pieces = F.flatten(F.transform(F.sequence(F.lit(1), F.length(low)), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.length(low) - i + 1)), lambda k: at(i, k))))
+    each = asked.select("query", "n", F.explode(F.array_distinct(F.transform(pieces, strip))).alias("typed")).filter("typed <> ''")
+    best = Window.partitionBy("typed").orderBy(F.desc(F.lower("query").startswith(F.col("typed"))), F.desc("n"), "query")
+    return each.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= n).select("typed", "rank", "query", "n")
+
+
 def events_by_type(events: DataFrame, as_of: Column, days: int = 30) -> DataFrame:
     """Counts by type, and their total in the row whose type is null, in one pass."""
     return recent(events, as_of, days).rollup("event_type").agg(F.count("*").alias("n"))
@@ -148,6 +163,24 @@ def page_view_counters(visits: DataFrame) -> DataFrame:
     return visits.groupBy("date").agg(F.count("*").alias("views"))
 
 
+#: Fields of a slot in a file.
+SLOT = "slot_id string, name string, region string, active boolean, sort_order int, start_date date, end_date date, created_at date"
+
+
+def slot_files(spark: SparkSession, path: str) -> DataFrame:
+    """Slots of JSON files (one slot a line) as rows of SLOT, and for each line that is none a row with `problem` and the line:
+    what isn't JSON, what doesn't fit the fields, and slots without an id."""
+    lines = spark.read.text(path).filter("trim(value) <> ''").select("value", F.col("_metadata.file_path").alias("file"))
+    made = lines.select(F.from_json("value", f"{SLOT}, _bad string", {"columnNameOfCorruptRecord": "_bad"}).alias("s"), "value", "file").select("s.*", "value", "file")
+    problem = F.when(F.col("_bad").isNotNull(), "no JSON of a slot").when(F.coalesce(F.trim("slot_id"), F.lit("")) == "", "no id")
+    return made.withColumn("problem", problem).withColumn("line", F.when(F.col("problem").isNotNull(), F.col("value"))).drop("_bad", "value")
+
+
+def fallback_slots(spark: SparkSession, path: str, as_of: Column, region: str) -> DataFrame:
+    """The slots of files that may be shown, by the filters and the order of the table; slot_files() reports the others."""
+    return active_slots(slot_files(spark, path).filter("problem is null").drop("problem", "line", "file"), as_of, region)
+
+
 def slots_or(slots: DataFrame, fallback: DataFrame) -> DataFrame:
     """The slot table, or the rows of the slot file where the table has none."""
     return fallback.select(*slots.columns) if slots.isEmpty() else slots

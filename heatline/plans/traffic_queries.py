@@ -95,6 +95,12 @@ def _(spark, sf):
     return T.suggest(searches(spark, sf), "Th", as_of())
 
 
+@add("t8_suggestion_table", """select typed, rank, query, n from (select typed, query, n, row_number() over (partition by typed order by starts_with(lower(query), typed) desc, n desc, query)::int as rank
+  from (select distinct query, n, trim(substr(lower(query), i, k)) as typed from (select query, count(*) as n from searches where date >= date '2024-01-01' and query <> '' group by query), unnest(range(1, 81)) as a(i), unnest(range(1, 13)) as b(k) where i + k - 1 <= length(query)) where typed <> '') where rank <= 8""", "searches")
+def _(spark, sf):
+    return T.suggestions(searches(spark, sf), as_of())
+
+
 @add("f1_t7_active_slots", "select slot_id, name, region, sort_order from slots where active and region in ('cn', 'all') and (start_date is null or start_date <= date '2024-01-31') and (end_date is null or end_date >= date '2024-01-31')", "slots")
 def _(spark, sf):
     return T.active_slots(slots(spark, sf), as_of(), "cn").select("slot_id", "name", "region", "sort_order")

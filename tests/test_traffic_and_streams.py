@@ -253,3 +253,26 @@ def test_active_slots(spark):
     s = spark.createDataFrame(rows, "slot_id string, name string, region string, active boolean, sort_order int, start_date date, end_date date, created_at date")
     assert [r.slot_id for r in T.active_slots(s, as_of(), "cn").collect()] == ["b", "a"]
     assert T.drop_deleted(spark.createDataFrame([("a",), ("zz",)], "slot_id string"), s).count() == 1
+
+
+def test_suggestions_for_all_that_can_be_typed(spark):
+    made = random.Random(3)
+    rows = [("".join(made.choices("abA é", k=made.randrange(1, 7))).strip(), datetime.date(2024, 1, made.choice([1, 20]))) for _ in range(120)] + [("", datetime.date(2024, 1, 20)), (None, None)]
+    df = spark.createDataFrame(rows, "query string, date date").coalesce(1)
+    table = {}
+    for r in T.suggestions(df, as_of(), n=3, longest=3).orderBy("typed", "rank").collect():
+        table.setdefault(r.typed, []).append((r.query, r.n))
+    for typed in made.sample(sorted(table), 12):
+        assert table[typed] == [tuple(r) for r in T.suggest(df, typed, as_of(), 3).collect()], typed
+    assert all(len(t) <= 3 for t in table) and "" not in table
+
+
+def test_slot_files_report_what_is_damaged(spark, tmp_path):
+    import json
+
+    good = {"slot_id": "a", "name": "A", "region": "all", "active": True, "sort_order": 2, "start_date": "2024-01-01", "created_at": "2024-01-01"}
+    lines = [json.dumps(good), json.dumps(good | {"slot_id": "b", "sort_order": 1}), json.dumps(good | {"slot_id": "c", "active": False}), json.dumps(good | {"slot_id": " "}), json.dumps(good | {"sort_order": "first"}), '{"slot_id": "d', ""]
+    (tmp_path / "slots.json").write_text("\n".join(lines))
+    assert [r.slot_id for r in T.fallback_slots(spark, f"{tmp_path}/slots.json", as_of(), "en").collect()] == ["b", "a"]
+    told = [(r.problem, r.line) for r in T.slot_files(spark, f"{tmp_path}/slots.json").filter("problem is not null").collect()]
+    assert sorted(told) == sorted([("no id", lines[3]), ("no JSON of a slot", lines[4]), ("no JSON of a slot", lines[5])])
