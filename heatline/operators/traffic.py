@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from heatline.functions.scores import rounded
 from heatline.functions.text import strip
+from heatline.sources.scratch import written
 
 
 def since(as_of: Column, days: int, most: int = 90) -> Column:
@@ -138,19 +139,44 @@ def drop_deleted(stats: DataFrame, slots: DataFrame) -> DataFrame:
     return stats.join(slots.select("slot_id"), "slot_id", "left_semi")
 
 
-def country_of(rows: DataFrame, ranges: DataFrame, bits: int = 16) -> DataFrame:
-    """rows(ip_num, header) + country: the header's code first (XX and T1 say nothing), else the range that holds the
-    number, else Unknown.
-
-    Only the distinct numbers meet the ranges, by an equi-join on their high bits (a range goes to each bucket that it
-    touches); of ranges that overlap the one that begins first counts. The rows then meet the result by number."""
-    size = 1 << bits
-    spread = ranges.select("lo", "hi", F.col("country").alias("_c"), F.explode(F.sequence(F.floor(F.col("lo") / size), F.floor(F.col("hi") / size))).alias("_b"))
-    own = rows.select("ip_num").filter("ip_num is not null").distinct().withColumn("_b", F.floor(F.col("ip_num") / size))
-    met = own.hint("merge").join(spread, "_b").filter(F.col("ip_num").between(F.col("lo"), F.col("hi")))
-    one = met.groupBy("ip_num").agg(F.min(F.struct("lo", "_c"))["_c"].alias("_c"))
+def _swept(df: DataFrame, *order: Column) -> DataFrame:
+    """df in range partitions of the order, as a written table whose rows know their partition (_part), so that a sweep goes
+    through each partition on its own and only one value for each is carried over its border."""
+    return written(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+
+
+def first_ranges(ranges: DataFrame) -> DataFrame:
+    """ranges(lo, hi, country), overlapping at will -> those that count somewhere; where several hold a place, the one that
+    begins first counts, then the first by country. In this order a range counts behind the highest end before it, so what
+    is left has rising ends."""
+    order = [F.col("lo"), F.col("country"), F.col("hi")]
+    dealt = _swept(ranges.filter("lo <= hi").select("lo", "hi", "country"), *order)
+    ends = dealt.groupBy("_part").agg(F.max("hi").alias("_top"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    carried = ends.select("_part", F.max("_top").over(before).alias("_carried"))
+    own = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    met = dealt.withColumn("_before", F.max("hi").over(own)).join(F.broadcast(carried), "_part")
+    return met.filter(F.coalesce(F.col("hi") > F.greatest("_before", "_carried"), F.lit(True))).select("lo", "hi", "country")
+
+
+def country_of(rows: DataFrame, ranges: DataFrame) -> DataFrame:
+    """rows(ip_num, header) + country: the header's code first (XX and T1 say nothing), else that of the range that holds the
+    number, else Unknown. Numbers and ends may be of any type with an order: longs, or IPv6 addresses as binary.
+
+    A sweep: the distinct numbers and the ends of first_ranges() lie in one order, dealt out by ranges of it, and a number
+    takes the next end at or after it. A partition without an end behind a number takes the first one of the partitions
+    after it. Wide ranges cost one row each."""
+    kept = first_ranges(ranges)
+    own = rows.select(F.col("ip_num").alias("at")).filter("at is not null").distinct().withColumn("range", F.lit(None).cast(kept.select(F.struct("lo", "country")).schema[0].dataType))
+    dealt = _swept(own.unionByName(kept.select(F.col("hi").alias("at"), F.struct("lo", "country").alias("range"))), F.col("at"))
+    first = dealt.groupBy("_part").agg(F.min_by("range", F.when(F.col("range").isNotNull(), F.col("at"))).alias("_first"))
+    later = Window.orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1)
+    carried = first.select("_part", F.last("_first", ignorenulls=True).over(later).alias("_carried"))
+    back = Window.partitionBy("_part").orderBy(F.desc("at"), F.col("range").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    met = dealt.withColumn("_next", F.last("range", ignorenulls=True).over(back)).join(F.broadcast(carried), "_part").filter("range is null")
+    found = met.select(F.col("at").alias("ip_num"), F.coalesce("_next", "_carried").alias("_r")).filter("_r.lo <= ip_num").select("ip_num", F.col("_r.country").alias("_c"))
     said = F.upper(F.trim("header"))
-    return rows.hint("merge").join(one, "ip_num", "left").select(*rows.columns, F.coalesce(F.when(~said.isin("", "XX", "T1"), said), "_c", F.lit("Unknown")).alias("country"))
+    return rows.hint("merge").join(found, "ip_num", "left").select(*rows.columns, F.coalesce(F.when(~said.isin("", "XX", "T1"), said), "_c", F.lit("Unknown")).alias("country"))
 
 
 def page_views(visits: DataFrame, as_of: Column, days: int = 30) -> DataFrame:

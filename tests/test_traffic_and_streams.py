@@ -276,3 +276,32 @@ def test_slot_files_report_what_is_damaged(spark, tmp_path):
     assert [r.slot_id for r in T.fallback_slots(spark, f"{tmp_path}/slots.json", as_of(), "en").collect()] == ["b", "a"]
     told = [(r.problem, r.line) for r in T.slot_files(spark, f"{tmp_path}/slots.json").filter("problem is not null").collect()]
     assert sorted(told) == sorted([("no id", lines[3]), ("no JSON of a slot", lines[4]), ("no JSON of a slot", lines[5])])
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_country_sweep_against_every_pair(spark, parts):
+    """Overlaps, one range over everything, equal begins and ends, gaps, over many partition borders; longs and IPv6."""
+    import ipaddress
+
+    made = random.Random(parts)
+    ranges = [(lo := made.randrange(1000), lo + made.choice([0, 1, 5, 80, 400]), made.choice(["AA", "BB", "CC"])) for _ in range(60)] + [(500, 500, "DD"), (500, 501, "AA"), (900, 899, "never")]
+    asked = [made.randrange(1500) for _ in range(300)] + [None]
+
+    def want(x, held):
+        inside = sorted((lo, c) for lo, hi, c in held if x is not None and lo <= x <= hi)
+        return inside[0][1] if inside else "Unknown"
+
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for held in (ranges, [*ranges, (0, 10**6, "ZZ")], []):
+            rows = spark.createDataFrame([(x, "") for x in asked], "ip_num long, header string")
+            out = T.country_of(rows, spark.createDataFrame(held, "lo long, hi long, country string")).collect()
+            assert sorted((str(r.ip_num), r.country) for r in out) == sorted((str(x), want(x, held)) for x in asked)
+        six = lambda x: ipaddress.ip_address(2**100 + x).packed
+        rows = spark.createDataFrame([(six(x), "") for x in asked if x is not None], "ip_num binary, header string")
+        out = T.country_of(rows, spark.createDataFrame([(six(lo), six(hi), c) for lo, hi, c in ranges], "lo binary, hi binary, country string")).collect()
+        assert sorted((bytes(r.ip_num), r.country) for r in out) == sorted((six(x), want(x, ranges)) for x in asked if x is not None)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
