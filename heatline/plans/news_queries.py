@@ -10,7 +10,7 @@ from heatline.operators import boards as B
 from heatline.operators import cards as C
 from heatline.operators import match, search
 from heatline.plans.refresh import cut
-from heatline.plans.standins import as_of, cards, models, read, scored_cards, sql
+from heatline.plans.standins import _TITLE_KEY, as_of, cards, models, read, scored_cards, sql
 from heatline.sources import store
 from heatline.sources.scratch import Scratch
 
@@ -49,10 +49,6 @@ def _(spark, sf):
     return made.select("url", F.col("page_id").alias("page"), F.to_date("first_seen_at").alias("first_seen"), F.to_date("last_refresh_at").alias("refreshed"))
 
 
-_MARKS = "[' || '!！?？,，.。;；:：、()（）\\[\\]【】\"“”''‘’…~～「」『』' || ']"
-_TITLE_KEY = "nullif(regexp_replace(regexp_replace(replace(lower({0}), 'ß', 'ss'), '[·・]', ' ', 'g'), '" + _MARKS + "|\\s', '', 'g'), '')"
-
-
 @add("c4_title_keys", f"select url, {_TITLE_KEY.format('title')} as key from cards", "cards")
 def _(spark, sf):
     return cards(spark, sf).select("url", X.title_key(F.col("title")).alias("key"))
