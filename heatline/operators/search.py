@@ -11,12 +11,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from heatline.functions.lexicon import small
+from heatline.functions.lexicon import fits
 from heatline.functions.scores import FIELD_WEIGHTS, relevance, words_in
 from heatline.functions.text import highlight, query_words, title_key
 
 #: Characters of an anchor.
 PIECE = 3
+#: Shares that the cards of one title are dealt to.
+SHARES = 16
 
 
 def pool(models: DataFrame, news: DataFrame, history: DataFrame, words: DataFrame) -> DataFrame:
@@ -47,11 +49,21 @@ def search(cards: DataFrame, queries: DataFrame, n: int = 20, words: int = 3) ->
     word cards apart, the first `words`."""
     names = [c for c in FIELD_WEIGHTS if c in cards.columns]
     asked = queries.withColumn("words", query_words(F.col("q"))).filter(F.size("words") > 0)
-    anchors = asked.select("qid", F.explode("words").alias("word")).select("qid", F.substring("word", 1, PIECE).alias("anchor")).distinct()
+    key = F.when(F.col("kind") == "news", F.coalesce(*(title_key(F.col(c)) for c in ("title_zh", "title_en", "title") if c in cards.columns)))
+    cards = cards.withColumn("_k", F.coalesce(key, F.concat(F.lit("\u0000"), "kind", F.lit(":"), "id"))).withColumn("_s", F.pmod(F.xxhash64("kind", "id"), F.lit(SHARES)))
+    each = asked.withColumn("_all", F.array_distinct(F.transform("words", lambda w: F.substring(w, 1, PIECE))))
+    anchors = each.select("qid", F.posexplode("_all").alias("_p", "anchor"), "_all")
     lengths = [r.n for r in anchors.select(F.length("anchor").alias("n")).distinct().collect()]  # PIECE of them at most
-    pairs = cards.select("kind", "id", F.explode(pieces([F.col(c) for c in names], lengths)).alias("anchor"))
-    pairs = pairs.join(small(anchors), "anchor").select("kind", "id", "qid").distinct()
-    met = cards.hint("merge").join(pairs, ["kind", "id"]).hint("merge").join(asked, "qid")
+    offered = F.explode(pieces([F.col(c) for c in names], lengths)).alias("anchor")
+    if fits(anchors):
+        # of a query's anchors that a card has the first one stands for the pair
+        own = cards.filter("kind is not null and id is not null").repartition("_k", "_s").withColumn("_text", F.lower(F.concat_ws("\u0001", *names)))
+        firsts = each.select(*asked.columns, F.posexplode("_all").alias("_p", "anchor"), "_all").select(*asked.columns, "anchor", F.slice("_all", F.lit(1), F.col("_p")).alias("_before"))
+        met = own.select("*", offered).join(F.broadcast(firsts), "anchor")
+        met = met.filter(~F.exists("_before", lambda a: F.col("_text").contains(a))).drop("anchor", "_before", "_text")
+    else:
+        pairs = cards.select("kind", "id", offered).hint("merge").join(anchors.select("qid", "anchor"), "anchor").select("kind", "id", "qid").distinct()
+        met = cards.hint("merge").join(pairs, ["kind", "id"]).hint("merge").join(asked, "qid")
     met = met.withColumns({f"_{c}": F.lower(F.coalesce(c, F.lit(""))) for c in names})
     met = met.withColumns({f"_{c}": words_in(F.col("words"), F.col(f"_{c}")) for c in names})
     met = met.filter(" or ".join(f"`_{c}` > 0" for c in names))
@@ -59,12 +71,14 @@ def search(cards: DataFrame, queries: DataFrame, n: int = 20, words: int = 3) ->
     out = met.withColumns({"score": score, "fields": fields}).filter("score is not null").drop(*(f"_{c}" for c in names))
     word = F.col("kind") == "word"
     order = [F.desc("score"), F.col("kind"), F.col("id")]
-    key = F.when(F.col("kind") == "news", F.coalesce(*(title_key(F.col(c)) for c in ("title_zh", "title_en", "title") if c in cards.columns)))
-    out = out.withColumn("_k", F.coalesce(key, F.concat(F.lit("\u0000"), "kind", F.lit(":"), "id")))
-    out = out.withColumn("_n", F.row_number().over(Window.partitionBy("qid", "_k").orderBy(*order))).filter("_n = 1")
+    most = {"main": max(1, min(n, 100)), "word": words}
     out = out.withColumn("section", F.when(word, "word").otherwise("main"))
-    out = out.withColumn("rank", F.row_number().over(Window.partitionBy("qid", "section").orderBy(*order)))
-    return out.filter(F.col("rank") <= F.when(word, words).otherwise(max(1, min(n, 100)))).drop("_k", "_n", "side")
+    # The first rows of each share hold those of the whole: a row that others of its share keep out has as many better titles
+    # before it. So the hits are ranked where their cards lie, and few rows of each share move.
+    for share in (["_s"], []):
+        out = out.withColumn("_n", F.row_number().over(Window.partitionBy("qid", "_k", *share).orderBy(*order))).filter("_n = 1")
+        out = out.withColumn("rank", F.row_number().over(Window.partitionBy("qid", "section", *share).orderBy(*order))).filter(F.col("rank") <= max(most.values()))
+    return out.filter(F.col("rank") <= F.when(word, most["word"]).otherwise(most["main"])).drop("_k", "_s", "_n", "side")
 
 
 def history_hits(found: DataFrame) -> DataFrame:
