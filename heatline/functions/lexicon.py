@@ -6,6 +6,7 @@ bounded size, joined with a broadcast hint only where load() has checked the siz
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +29,14 @@ ACRONYMS = {x.lower(): x for x in "API AR AWS CD CI CLI CNN CSS CV DevOps DL GAN
 SMALL = 100_000
 
 
+def listed(spark: SparkSession, rows: list[tuple], shape: str) -> DataFrame:
+    """Few rows of the program as a table. They come as one Arrow table, which the plan holds as literal rows; a list of
+    tuples would start Python workers in every stage that reads it."""
+    fields = [f.split(maxsplit=1) for f in shape.split(", ")]
+    kinds = {"string": pa.string(), "int": pa.int32(), "array<string>": pa.list_(pa.string())}
+    return spark.createDataFrame(pa.table([pa.array([r[i] for r in rows], kinds[t]) for i, (_, t) in enumerate(fields)], names=[n for n, _ in fields]))
+
+
 def load(spark: SparkSession, path: str | None = None) -> DataFrame:
     """(canon, surface, ord, is_ascii, no): a glossary file is one JSON object canon -> [surfaces]; keys with _ are comments.
     no is the place of the term in the dictionary, ord that of the spelling within the term."""
@@ -35,7 +44,7 @@ def load(spark: SparkSession, path: str | None = None) -> DataFrame:
         raw = glossary(spark, path).filter("problem is null").select(F.posexplode("terms").alias("no", "canon", "forms"))
         raw = raw.filter(~F.col("canon").startswith("_"))
     else:
-        raw = spark.createDataFrame([(i, *kv) for i, kv in enumerate(SEED.items())], "no int, canon string, forms array<string>")
+        raw = listed(spark, [(i, *kv) for i, kv in enumerate(SEED.items())], "no int, canon string, forms array<string>")
     return spelled(raw)
 
 
@@ -65,7 +74,7 @@ def small(df: DataFrame, known: bool | None = None) -> DataFrame:
 
 def governed(lexicon: DataFrame) -> DataFrame:
     """(canon): terms whose name the dictionary or the list of abbreviations rules."""
-    short = lexicon.sparkSession.createDataFrame([(x,) for x in ACRONYMS.values()], "canon string")
+    short = listed(lexicon.sparkSession, [(x,) for x in ACRONYMS.values()], "canon string")
     return lexicon.select("canon").union(short).distinct()
 
 

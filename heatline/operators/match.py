@@ -5,11 +5,14 @@ alphanumeric runs are its anchors: the boundaries force each to be a whole run o
 runs and anchors loses no match, and the pattern is verified on what it brings. A surface with other characters matches
 as a substring; its anchors are its pairs of characters with such a one, met by the text's pairs. Of several anchors the one
 that the fewest texts offer is taken. Surfaces without an anchor (one character, or no alphanumeric) have their first character for one, met by the text's characters. Only keys and
-anchors move through that join; the texts meet what it finds.
+anchors move through that join; the texts meet what it finds. A surface that is one run needs no text: the text says with
+each run whether it stands there but before `.digit`.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,31 +53,40 @@ def rarest_anchors(surfaces: DataFrame, offered: DataFrame) -> DataFrame:
 
 
 def text_anchors(text: Column) -> Column:
-    """Distinct anchors that a text offers: its alphanumeric runs, and its two-character pieces with a non-ASCII one."""
-    runs = F.transform(F.regexp_extract_all(text, F.lit("([A-Za-z0-9]+)"), 1), lambda w: F.lower(w))
-    low = F.lower(text)
-    pairs = F.when(F.length(low) >= 2, F.transform(F.sequence(F.lit(1), F.length(low) - 1), lambda i: F.substring(low, i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(F.concat(runs, F.filter(pairs, lambda p: ~p.rlike(r"^[\x00-\x7F]+$"))))
-
-
-def matches(texts: DataFrame, surfaces: DataFrame, key: str, text: str = "text", by: tuple[str, ...] = ("canon",)) -> DataFrame:
-    """texts(key, text) and surfaces(by..., surface) -> distinct (key, by...)."""
+    """Distinct (anchor, whole) that a text offers: its alphanumeric runs, and its two-character pieces with a non-ASCII one.
+    whole: a run that stands somewhere but before `.digit`, so that a surface that is this run is a hit."""
+    runs = lambda pattern: F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(pattern), 1), lambda w: F.lower(w)))
+    pairs = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"(?s)(?=([^\x00-\x7F].|[\x00-\x7F][^\x00-\x7F]))"), 1))
+    each = lambda values, whole: F.transform(values, lambda a: F.struct(a.alias("anchor"), F.lit(whole).alias("whole")))
+    whole = runs(r"([A-Za-z0-9]++)(?!\.\d)")
+    part = F.when(text.rlike(r"[A-Za-z0-9]\.\d"), F.array_except(runs("([A-Za-z0-9]+)"), whole)).otherwise(F.array().cast("array<string>"))
+    return F.concat(each(whole, True), each(part, False), each(pairs, False))
+
+
+def matches(texts: DataFrame, surfaces: DataFrame, key: str, text: str = "text", by: tuple[str, ...] = ("canon",), cut: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """texts(key, text) and surfaces(by..., surface) -> distinct (key, by...). cut may write a table and read it back: the
+    anchors of the texts, which several sides use."""
     rows = texts.select(F.col(key), F.col(text).alias("_text")).filter("_text is not null")
-    offered = rows.select(key, F.explode(text_anchors(F.col("_text"))).alias("anchor"))
-    forms = rarest_anchors(surfaces.select(*by, "surface").distinct(), offered)
+    offered = cut(rows.select(key, F.inline(text_anchors(F.col("_text")))))
+    # one run: no text is looked at
+    one = F.col("surface").rlike(r"\A[A-Za-z0-9]+\z")
+    runs = surfaces.filter(one).select(*by, F.lower("surface").alias("anchor")).distinct()
+    sure = offered.filter("whole").select(key, "anchor").hint("merge").join(runs, "anchor").select(key, *by)
+    offered = offered.select(key, "anchor")
+    forms = rarest_anchors(surfaces.filter(~one).select(*by, "surface").distinct(), offered)
     met = offered.hint("merge").join(forms.filter("anchor is not null"), "anchor").select(key, *by, "surface")
     bare = forms.filter("anchor is null").withColumn("anchor", F.lower(F.substring("surface", 1, 1)))
     if not surfaces.filter(F.size(anchors_of(F.col("surface"))) == 0).isEmpty():
         letters = rows.select(key, F.explode(F.array_distinct(F.split(F.lower("_text"), ""))).alias("anchor"))
         met = met.union(letters.hint("merge").join(bare, "anchor").select(key, *by, "surface"))
     found = met.distinct().hint("merge").join(rows, key)
-    return found.filter(hit(F.col("_text"), F.col("surface"))).select(key, *by).distinct()
+    return found.filter(hit(F.col("_text"), F.col("surface"))).select(key, *by).union(sure).distinct()
 
 
-def title_matches(cards: DataFrame, surfaces: DataFrame, key: str = "url", fields: tuple[str, ...] = ("title", "title_zh", "title_en"), by: tuple[str, ...] = ("canon",)) -> DataFrame:
+def title_matches(cards: DataFrame, surfaces: DataFrame, key: str = "url", fields: tuple[str, ...] = ("title", "title_zh", "title_en"), by: tuple[str, ...] = ("canon",), cut: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """Distinct (key, by...) where any of the title fields holds a surface."""
     titles = cards.select(key, F.explode(F.array_distinct(F.array_compact(F.array(*fields)))).alias("text"))
-    return matches(titles, surfaces, key, by=by)
+    return matches(titles, surfaces, key, by=by, cut=cut)
 
 
 def term_surfaces(terms: DataFrame, lexicon: DataFrame) -> DataFrame:
